@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.fingerprints import op10_fingerprints
+from textloom.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.fingerprints import op10_fingerprints
 from textloom.llm.toxicity import op6_toxicity
 from textloom.llm.quality import op1_quality
+from textloom.llm.pieces import op2_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op1_quality": op1_quality,
     "op6_toxicity": op6_toxicity,
     "op10_fingerprints": op10_fingerprints,

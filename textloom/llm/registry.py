@@ -10,8 +10,10 @@ from textloom.llm.fingerprints import op10_fingerprints
 from textloom.llm.toxicity import op6_toxicity
 from textloom.llm.quality import op1_quality
 from textloom.llm.pieces import op2_sentencepiece
+from textloom.llm.tokens import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_token_counts": op9_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op1_quality": op1_quality,
     "op6_toxicity": op6_toxicity,

@@ -11,8 +11,10 @@ from textloom.llm.toxicity import op6_toxicity
 from textloom.llm.quality import op1_quality
 from textloom.llm.pieces import op2_sentencepiece
 from textloom.llm.tokens import op9_token_counts
+from textloom.llm.decontamination import op5_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontamination": op5_decontamination,
     "op9_token_counts": op9_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op1_quality": op1_quality,

@@ -12,8 +12,10 @@ from textloom.llm.quality import op1_quality
 from textloom.llm.pieces import op2_sentencepiece
 from textloom.llm.tokens import op9_token_counts
 from textloom.llm.decontamination import op5_decontamination
+from textloom.llm.lm import op8_lm_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_lm_scores": op8_lm_scores,
     "op5_decontamination": op5_decontamination,
     "op9_token_counts": op9_token_counts,
     "op2_sentencepiece": op2_sentencepiece,

@@ -13,8 +13,10 @@ from textloom.llm.pieces import op2_sentencepiece
 from textloom.llm.tokens import op9_token_counts
 from textloom.llm.decontamination import op5_decontamination
 from textloom.llm.lm import op8_lm_scores
+from textloom.llm.secrets import op3_secrets, secrets_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secrets": op3_secrets,
     "op8_lm_scores": op8_lm_scores,
     "op5_decontamination": op5_decontamination,
     "op9_token_counts": op9_token_counts,
@@ -24,4 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secrets": secrets_sql(),
+}

@@ -106,6 +106,10 @@ def _counter(source: str) -> Counter:
     return Counter(source)
 
 
+#: Before a block's own numbers; counts begin with how many there are, which is never 0.
+_HEAD = b"\0\0\0\0"
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Length, then the arrays, as 32-bit numbers."""
     return np.concatenate([np.array([len(arrays[0])]), *arrays]).astype("<u4").tobytes()
@@ -161,7 +165,7 @@ class Block:
         at = np.flatnonzero(common)
         pieces[at] = self.counter.count([pretokens[i] for i in at])
         total = np.bincount(doc, times * pieces[token], minlength=n).astype(np.int64) + np.array(self.special, dtype=np.int64)
-        yield (self.block % self.buckets, self.block, "", json.dumps([[i, b, int(t)] for i, b, t in zip(self.ids, self.bytes, total, strict=True)]).encode())
+        yield (self.block % self.buckets, self.block, "", _HEAD + json.dumps([[i, b, int(t)] for i, b, t in zip(self.ids, self.bytes, total, strict=True)]).encode())
         rare = np.flatnonzero(~common)
         if not len(rare):
             return
@@ -182,7 +186,7 @@ def _count_bucket(counter: Counter, rows: pd.DataFrame) -> pd.DataFrame:
     place: defaultdict[str, int] = defaultdict(count().__next__)
     out, waiting = [], []
     for block, names, data in zip(rows["block"], rows["names"], rows["data"], strict=True):
-        if data[:1] == b"[":
+        if data[:4] == _HEAD:
             out.append((block, data))
             continue
         x = np.frombuffer(data, dtype="<u4").astype(np.int64)
@@ -199,10 +203,10 @@ def _count_bucket(counter: Counter, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
-    head = next(json.loads(d) for d in rows["data"] if d[:1] == b"[")
+    head = next(json.loads(d[4:]) for d in rows["data"] if d[:4] == _HEAD)
     total = np.array([t for _, _, t in head], dtype=np.int64)
     for d in rows["data"]:
-        if d[:1] != b"[":
+        if d[:4] != _HEAD:
             x = np.frombuffer(d, dtype="<u4").astype(np.int64)
             total[x[1 : 1 + x[0]]] += x[1 + x[0] :]
     return pd.DataFrame({"doc_id": pd.array([i for i, _, _ in head], dtype="Int64"), "n_bytes": [b for _, b, _ in head], "n_tokens": total})

@@ -14,8 +14,10 @@ from textloom.llm.tokens import op9_token_counts
 from textloom.llm.decontamination import op5_decontamination
 from textloom.llm.lm import op8_lm_scores
 from textloom.llm.secrets import op3_secrets, secrets_sql
+from textloom.llm.neardup import op4_near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op3_secrets": op3_secrets,
     "op8_lm_scores": op8_lm_scores,
     "op5_decontamination": op5_decontamination,

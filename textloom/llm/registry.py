@@ -15,8 +15,10 @@ from textloom.llm.decontamination import op5_decontamination
 from textloom.llm.lm import op8_lm_scores
 from textloom.llm.secrets import op3_secrets, secrets_sql
 from textloom.llm.neardup import op4_near_duplicates
+from textloom.llm.lines import op7_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_dedup": op7_line_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op3_secrets": op3_secrets,
     "op8_lm_scores": op8_lm_scores,

@@ -1,15 +1,37 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate and encode documents."""
+"""The corpus pipeline: filter, deduplicate, decontaminate and encode documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
+the last return the columns of documents. Between stages the rows are written to the shared
+folder and read again, so a lost executor costs at most one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from textloom.llm.common import materialize
+from textloom.llm.decontamination import drop_contaminated
+from textloom.llm.lines import drop_lines
+from textloom.llm.neardup import keep_one
+from textloom.llm.pieces import encode_stage
+from textloom.llm.toxicity import keep_clean
+
+STAGES = [
+    ("toxicity", keep_clean),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", keep_one),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", encode_stage),
+]
+
+#: Learned and approximate stages have no SQL; tests hold the run against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = materialize(docs, f"stage-{number}")
     return docs

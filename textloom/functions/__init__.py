@@ -1 +1 @@
-"""textloom package."""
+"""Column functions: tokens, titles, names and paths."""

@@ -1 +1 @@
-"""textloom package."""
+"""Operators over corpora: retrieval, structure extraction, merging, events, rules."""

@@ -1 +1 @@
-"""textloom package."""
+"""The queries of the engine and the SQL that gives the same rows."""

@@ -1 +1 @@
-"""textloom package."""
+"""Sources and sinks: source trees, JSON-lines corpora, model servers."""

@@ -1 +1 @@
-"""textloom package."""
+"""Stateful operators over streams."""

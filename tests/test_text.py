@@ -46,5 +46,5 @@ def test_names(spark):
 def test_titles(spark):
     body = "public class Foo { public Foo() { } public int Bar(int a) { } }"
     df = spark.createDataFrame([("Foo", "src/Foo.cs", "cs", body)], "n string, p string, l string, b string")
-    assert df.select(fn.class_title(F.col("n"), F.col("p"), F.col("l"), F.col("b"))).first()[0] == "Foo • 1 members • constructor • Foo.cs cs"
+    assert df.select(fn.class_title(F.col("n"), F.col("p"), F.col("l"), F.col("b"))).first()[0] == "Foo • 2 members • constructor • Foo.cs cs"
     assert df.select(fn.function_title(F.col("n"), F.col("p"), F.col("l"), F.lit("get it"))).first()[0] == "Foo — get (Foo.cs cs)"

@@ -115,7 +115,10 @@ def _regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     ridge[0] = 1e-2
     for _ in range(12):
         p = _sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x
+        hessian = np.zeros((x.shape[1], x.shape[1]))
+        for at in range(0, len(x), 1024):  # a part of the rows at a time, so that no copy of all is made
+            part = x[at : at + 1024]
+            hessian += (part * (p * (1 - p))[at : at + 1024, None]).T @ part
         hessian[np.diag_indices_from(hessian)] += ridge
         step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
         largest = np.abs(step).max()
@@ -127,15 +130,24 @@ def _regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def select_stems(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     """The stems that tell the two kinds apart best, by chi-squared of their presence."""
-    df = [Counter(), Counter()]
-    for text, y in zip(texts, toxic, strict=True):
-        df[y].update({s for w in set(words_of(text)) for s in stems(w)})
+    both = [(t, y) for t, y in zip(texts, toxic, strict=True)]
+    df: Counter[str] = Counter()
+    for text, y in both:
+        if y:
+            df.update({s for w in set(words_of(text)) for s in stems(w)})
+    # Only stems that some toxic texts share are counted in the others.
+    often = {s: a for s, a in df.items() if a >= 4}
+    del df
+    clean: Counter[str] = Counter()
+    for text, y in both:
+        if not y:
+            clean.update({s for w in set(words_of(text)) for s in stems(w) if s in often})
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     ranked = []
-    for s, a in df[1].items():
-        b = df[0].get(s, 0)
-        if a < 4 or a * n0 <= b * n1:
+    for s, a in often.items():
+        b = clean.get(s, 0)
+        if a * n0 <= b * n1:
             continue
         c, d = n1 - a, n0 - b
         ranked.append((-((a * d - b * c) ** 2) * len(toxic) / max(1, (a + b) * (c + d) * n1 * n0), s))
@@ -148,8 +160,7 @@ def fit_rows(texts: list[str], labels: list[int]) -> Chain:
     if not len(texts):
         chain.weights = [np.array([0.0] * (1 + 2 * len(chain.columns) + i)) for i in range(len(CATEGORIES))]
         return chain
-    sets = [set(words_of(t)) for t in texts]
-    marks = {c: np.array([bool(y) and any(w in s for w in CATEGORY_WORDS[c]) for y, s in zip(toxic, sets, strict=True)]) for c in CATEGORY_WORDS}
+    marks = {c: np.array([bool(y) and not set(CATEGORY_WORDS[c]).isdisjoint(words_of(t)) for y, t in zip(toxic, texts, strict=True)]) for c in CATEGORY_WORDS}
     marks["implicit"] = (toxic == 1) & ~np.logical_or.reduce(list(marks.values()))
     marks["toxicity"] = toxic == 1
     cache: dict[str, tuple[int, ...]] = {}

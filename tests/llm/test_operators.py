@@ -342,6 +342,19 @@ def test_lines(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_lines_with_an_edit_meet(spark):
+    random.seed(11)
+    rows = []
+    for n in (20, 30, 60, 100):
+        for i in range(200):
+            line = "".join(random.choice("abcdefghijklmnopqrstuvwxyz" + "    " * (i % 2)) for _ in range(n))
+            at = random.randrange(n) if n >= 60 else n - 1
+            pair = [line, line[:at] + "X" + line[at + 1 :]]
+            rows.append((len(rows), "\n".join(pair)))
+    removed = lines.dedup_lines(table(spark, rows)).agg(F.sum("n_removed")).first()[0]
+    assert removed >= 0.99 * len(rows)
+
+
 def test_lines_on_edges(spark, edges, nothing):
     out = lines.dedup_lines(edges)
     got = out.collect()

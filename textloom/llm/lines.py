@@ -1,9 +1,9 @@
 """Line deduplication: of each component of near-equal lines one stays.
 
-Equal lines are one vertex, by a 64-bit hash and the length. A line's signature has BANDS MinHash values of its
-character shingles that start at words (SPAN characters each; minima over hash xor seed); each
-value is a band. Lines of a band are candidates in a chain by length, and with the band's first line, if AGREE bytes of
-their signatures (a byte of each of 16 such values) are equal: at similarity 0.8 about nine are. Candidates
+Equal lines are one vertex, by a 64-bit hash and the length. A line's signature has BANDS bands of ROWS MinHash values
+of all its five-character shingles (minima over hash xor seed): two lines of similarity 0.8 share a band with
+probability 0.995. Lines of a band are candidates in a chain by length, and with the band's first line, if AGREE of 32
+places of their signatures (four bits of each of 32 values) are equal: at similarity 0.8 about 26 are. Candidates
 are verified by the exact Jaccard similarity of all their five-character shingles, each line's likeliest
 first, then those that still join two components. Links make components by distributed union-find; the first
 occurrence (smallest id, then place) of a component stays.
@@ -30,8 +30,8 @@ from textloom.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SPAN = 20
-BANDS = 6
+BANDS = 10
+ROWS = 4
 SALTS = 64
 #: Of the lines whose id a sample takes (one of SAMPLE), as many make a band value hot.
 SAMPLE = 64
@@ -39,8 +39,8 @@ HOT_IN_SAMPLE = 32
 #: Rows that may be broadcast: 8 bytes each, or 32 for lines to remove.
 BROADCAST_ROWS = 1_000_000
 
-#: Bytes of two signatures that are equal, at least, in a candidate.
-AGREE = 4
+#: Places of two signatures that are equal, at least, in a candidate.
+AGREE = 16
 
 
 def _seed(i: int) -> int:
@@ -59,38 +59,41 @@ def occurrences(keyed: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """For each distinct line its id, size, how often it occurs, its BANDS values, and a byte of 16 values (s0, s1)."""
-    anchored = F.regexp_extract_all("line", F.lit(r"(?<!\S)(?=(\S.{0,%d}))" % (SPAN - 1)), F.lit(1))
-    shingles = lines.select("id", "size", F.posexplode(anchored).alias("nth", "shingle"))
-    hashed = shingles.select("id", "size", "nth", F.xxhash64("shingle").alias("h"))
-    values = [F.min(F.col("h").bitwiseXOR(F.lit(_seed(i)))).alias(f"v{i}") for i in range(16)]
+    """For each distinct line its id, size, how often it occurs, its bands (hashes of ROWS values each), and four bits of 32 values (s0, s1).
+
+    Shifts bring other bits of a hash to the front: with seeds alone a short line's shingles would win in the same order again and again.
+    """
+    each = lines.select("id", "size", F.posexplode(shingles(F.col("line"))).alias("nth", "shingle"))
+    hashed = each.select("id", "size", "nth", F.xxhash64("shingle").alias("h"))
+    values = [F.min(F.shiftleft("h", 4 * (i % 9)).bitwiseXOR(F.lit(_seed(i)))).alias(f"v{i}") for i in range(ROWS * BANDS)]
     found = hashed.groupBy("id", "size").agg(F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("times"), *values)
-    return found.select("id", "size", "times", *[f"v{i}" for i in range(BANDS)], _bytes(range(8)).alias("s0"), _bytes(range(8, 16)).alias("s1"))
+    bands = F.array(*[F.xxhash64(F.lit(i), *[f"v{j}" for j in range(ROWS * i, ROWS * (i + 1))]) for i in range(BANDS)])
+    return found.select("id", "size", "times", bands.alias("bands"), _nibbles(range(16)).alias("s0"), _nibbles(range(16, 32)).alias("s1"))
 
 
-def _bytes(places: range) -> Column:
-    """The last bytes of eight values as one number."""
+def _nibbles(places: range) -> Column:
+    """Four bits of each of 16 values as one number; a value's low bits can be zeros and its high ones mostly are its seed's."""
     out = F.lit(0).cast("long")
     for k, i in enumerate(places):
-        out = out.bitwiseOR(F.shiftleft(F.col(f"v{i}").bitwiseAND(F.lit(255).cast("long")), 8 * k))
+        out = out.bitwiseOR(F.shiftleft(F.xxhash64(f"v{i}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
     return out
 
 
 def _agreement(a: str, b: str) -> Column:
-    """How many of the 16 bytes of two signatures are equal."""
-    out = F.lit(0)
+    """How many of the 32 places of two signatures are equal."""
+    out = F.lit(32)
     for part in ("s0", "s1"):
         x = F.col(f"{a}.{part}").bitwiseXOR(F.col(f"{b}.{part}"))
-        for k in range(8):
-            out = out + (F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255).cast("long")) == 0).cast("int")
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        out = out - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     return out
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:
     """(a, b, agree) with a > b: lines that follow each other in a band, and each with the first line there."""
-    bands = F.array(*[F.xxhash64(F.lit(i), F.col(f"v{i}")) for i in range(BANDS)])
-    rows = lines.select(F.struct("id", "s0", "s1").alias("own"), "size", F.explode(bands).alias("v"))
-    sampled = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode(bands).alias("v"))
+    rows = lines.select(F.struct("id", "s0", "s1").alias("own"), "size", F.explode("bands").alias("v"))
+    sampled = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("v"))
     # At most BANDS * (lines / SAMPLE) / HOT_IN_SAMPLE values.
     hot = materialize(sampled.groupBy("v").count().where(F.col("count") >= HOT_IN_SAMPLE).select("v", F.lit(True).alias("hot")), "hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot

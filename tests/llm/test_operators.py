@@ -355,6 +355,20 @@ def test_lines_with_an_edit_meet(spark):
     assert removed >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_lines_with_a_common_passage(spark, monkeypatch, crowd):
+    """Near-equal lines among many that share a passage and aren't all similar."""
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    random.seed(12)
+    made = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, rows = made(90), []
+    for i in range(600):
+        end = made(20)
+        rows += [(i, passage + end), (10_000 - i, passage + end[:-1] + "X")]
+    removed = lines.dedup_lines(table(spark, rows)).agg(F.sum("n_removed")).first()[0]
+    assert 594 <= removed <= 600
+
+
 def test_lines_on_edges(spark, edges, nothing):
     out = lines.dedup_lines(edges)
     got = out.collect()

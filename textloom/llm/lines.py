@@ -2,13 +2,14 @@
 
 Equal lines are one vertex, by a 64-bit hash and the length. A line's signature has BANDS bands of ROWS MinHash values
 of all its five-character shingles (minima over hash xor seed): two lines of similarity 0.8 share a band with
-probability 0.995. Lines of a band are candidates in a chain by length, and with the band's first line, if AGREE of 32
+probability 0.995. All pairs of lines of a band are candidates if AGREE of 32
 places of their signatures (four bits of each of 32 values) are equal: at similarity 0.8 about 26 are. Candidates
 are verified by the exact Jaccard similarity of all their five-character shingles, each line's likeliest
 first, then those that still join two components. Links make components by distributed union-find; the first
 occurrence (smallest id, then place) of a component stays.
 
-A band value that many lines share is salted: chains within each salt, then a chain of their first lines.
+A bucket of many lines is parted by further values of the signatures, in as many ways that similar lines meet in one.
+Where its lines are so alike that this saves nothing, all its pairs are compared, however many they are.
 
 All of it is DataFrame functions.
 
@@ -32,10 +33,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
-SALTS = 64
-#: Of the lines whose id a sample takes (one of SAMPLE), as many make a band value hot.
-SAMPLE = 64
-HOT_IN_SAMPLE = 32
+#: Buckets of more lines are parted where that saves comparisons, LEVELS times at most. Two lines of similarity 0.8 share one of a bucket's parts with probability 0.998.
+CROWD = 256
+LEVELS = 2
+PARTS = 6
 #: Rows that may be broadcast: 8 bytes each, or 32 for lines to remove.
 BROADCAST_ROWS = 1_000_000
 
@@ -91,22 +92,37 @@ def _agreement(a: str, b: str) -> Column:
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b, agree) with a > b: lines that follow each other in a band, and each with the first line there."""
-    rows = lines.select(F.struct("id", "s0", "s1").alias("own"), "size", F.explode("bands").alias("v"))
-    sampled = lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("v"))
-    # At most BANDS * (lines / SAMPLE) / HOT_IN_SAMPLE values.
-    hot = materialize(sampled.groupBy("v").count().where(F.col("count") >= HOT_IN_SAMPLE).select("v", F.lit(True).alias("hot")), "hot")
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    rows = rows.join(hot, "v", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("own.id", "size"), F.lit(SALTS))).otherwise(F.lit(0)))
-    chain = Window.partitionBy("v", "salt").orderBy("size", "own")
-    linked = rows.select("own", F.lag("own").over(chain).alias("before"), F.first("own").over(chain).alias("first"))
-    pairs = linked.where("before is not null").select("own", F.explode(F.array_distinct(F.array("before", "first"))).alias("other"))
-    # The first line of each salt, from the hot rows alone: a second use of all rows would deal them out again.
-    leaders = rows.where("hot").groupBy("v", "salt").agg(F.min(F.struct("size", "own")).alias("least")).select("v", "least.size", "least.own")
-    second = Window.partitionBy("v").orderBy("size", "own")
-    pairs = pairs.unionByName(leaders.select("own", F.lag("own").over(second).alias("other")).where("other is not null"))
-    pairs = pairs.where("own.id != other.id").withColumn("agree", _agreement("own", "other")).where(F.col("agree") >= AGREE)
-    return pairs.select(F.greatest("own.id", "other.id").alias("a"), F.least("own.id", "other.id").alias("b"), "agree").distinct()
+    """(a, b, agree) with a > b: all pairs of lines that share a bucket and agree."""
+    rows = lines.select(F.struct("id", "s0", "s1").alias("own"), F.posexplode("bands").alias("band", "v"))
+    # Buckets of one line, which are most, go before the join.
+    shared = materialize(rows.withColumn("n", F.count("*").over(Window.partitionBy("v"))).where("n > 1"), "buckets")
+    whole = []
+    for level in range(LEVELS):
+        crowded = shared.where(F.col("n") > CROWD)
+        if crowded.isEmpty():
+            break
+        split = materialize(crowded.withColumn("w", F.explode(_parts(level))), "parts")
+        counts = materialize(split.groupBy("v", "n", "w").agg(F.count("*").alias("m")), "counts")
+        # Where most lines of a bucket are alike, parts of it would be compared more often than the whole.
+        saves = materialize(counts.groupBy("v", "n").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs")).where("pairs < n * (n - 1)").select("v"), "saves")
+        whole += [shared.where(F.col("n") <= CROWD), crowded.join(saves, "v", "left_anti").select(*shared.columns)]
+        shared = split.join(saves, "v", "left_semi").join(counts.select("v", "w", "m").where("m > 1"), ["v", "w"]).select("own", "band", F.col("w").alias("v"), F.col("m").alias("n"))
+        shared = materialize(shared, "buckets")
+    for part in whole:
+        shared = shared.unionByName(part)
+    x, y = shared.select("v", F.col("own").alias("x")), shared.select("v", F.col("own").alias("y"))
+    pairs = x.join(y, "v").where("x.id > y.id").withColumn("agree", _agreement("x", "y")).where(F.col("agree") >= AGREE)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "agree").distinct()
+
+
+def _parts(level: int) -> Column:
+    """Keys of the parts of a bucket in which a line stands: the bucket and a byte of its signature, at PARTS places outside the band."""
+    keys = []
+    for t in range(PARTS):
+        at = F.pmod(2 * F.col("band") + 2 + PARTS * level + t, F.lit(16))
+        half = F.when(at < 8, F.col("own.s0")).otherwise(F.col("own.s1"))
+        keys.append(F.xxhash64("v", at, F.call_function("shiftrightunsigned", half, 8 * F.pmod(at, F.lit(8))).bitwiseAND(F.lit(255).cast("long"))))
+    return F.array(*keys)
 
 
 def likeliest(pairs: DataFrame) -> DataFrame:

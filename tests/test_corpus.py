@@ -128,6 +128,61 @@ def test_command_line(spark, source, tmp_path, capsys):
     assert main(["run", "x", "--corpus", f"file://{tmp_path}/nowhere"], server) == 1
 
 
+def test_directory_records_of_large_files(spark, tmp_path):
+    import hashlib
+
+    start = "x" * (tree.MAX_BYTES + 1)
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text(start + name)
+    for embed in (True, False):
+        rows = {r["rel"]: r for r in tree.directory_records(spark, str(tmp_path), 0, embed).collect()}
+        for name in "ab":
+            r = rows[f"{name}.txt"]
+            assert r["sha256"] == hashlib.sha256((start + name).encode()).hexdigest()
+            assert r["text"] == (start + name if embed else None)
+
+
+def test_slow_files_give_no_part_of_their_definitions(spark, monkeypatch):
+    from textloom.operators import structure
+
+    def slow(lang, content, kind, time_limit):
+        yield "first", "def first(): pass"
+        raise TimeoutError
+
+    monkeypatch.setattr(structure, "definitions", slow)
+    taken = []
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            import pandas as pd
+
+            taken.extend(run(iter([pd.DataFrame({"rel": ["a.py"], "lang": ["py"], "content": ["x"]})])))
+
+    structure.extract_definitions(Rows(), "function")
+    assert len(taken[0]) == 1 and taken[0]["error"].notna().all()
+
+
+def test_extract_logs_files_that_fail(spark, tmp_path, caplog, monkeypatch):
+    from textloom.operators import extract as e
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.py").write_text("x = 1")
+    (tmp_path / "tree/gone.py").write_text("x = 1")
+    listed = e.tree.listing
+
+    def then_gone(*args):
+        files = listed(*args)
+        os.unlink(tmp_path / "tree/gone.py")
+        return files
+
+    monkeypatch.setattr(e.tree, "listing", then_gone)
+    e.extract(spark, str(tmp_path / "tree"), f"file://{tmp_path}/corpus")
+    assert "gone.py: FileNotFoundError" in caplog.text
+
+
 def test_directory_records(spark, source):
     rows = {r["rel"]: r for r in tree.directory_records(spark, str(source), 0).collect()}
     assert "b.py" in rows and "sub/d.cs" not in rows and rows["b.py"]["lang"] == "py"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -10,6 +12,8 @@ from textloom.operators import merge as m
 from textloom.operators.structure import extract_definitions, records
 from textloom.sources import corpus, tree
 
+log = logging.getLogger(__name__)
+
 
 def plan(spark: SparkSession, root: str, existing: DataFrame, max_bytes: int = tree.MAX_BYTES, prune_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines to write, errors) of a tree and an existing corpus (pos, id, hash, json).
@@ -33,13 +37,15 @@ def plan(spark: SparkSession, root: str, existing: DataFrame, max_bytes: int = t
 
 
 def extract(spark: SparkSession, root: str, path: str, max_bytes: int = tree.MAX_BYTES, prune_deleted: bool = False) -> int:
-    """Refresh the corpus at ``path`` from a tree; returns how many lines it has. Nothing is written if the tree has no file to take and the corpus no entry."""
+    """Refresh the corpus at ``path`` from a tree; returns how many lines it has. Files that couldn't be read or took too long are logged. Nothing is written if the tree has no file to take and the corpus no entry."""
     existing = corpus.load_entries(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
-    lines, _ = plan(spark, root, existing, max_bytes, prune_deleted)
+    lines, errors = plan(spark, root, existing, max_bytes, prune_deleted)
     lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     n = lines.count()
     if n > 1:
         corpus.write(lines, path)
+    for row in errors.toLocalIterator():
+        log.warning("%s: %s", row["rel"], row["error"])
     lines.unpersist()
     existing.unpersist()
     return n

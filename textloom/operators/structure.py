@@ -120,7 +120,8 @@ def extract_definitions(files: DataFrame, kind: str) -> DataFrame:
             out = []
             for rel, lang, content in zip(b["rel"], b["lang"], b["content"], strict=True):
                 try:
-                    out.extend((rel, lang, n, name, text, None) for n, (name, text) in enumerate(definitions(lang, content or "", kind, TIME_LIMIT)))
+                    found = list(definitions(lang, content or "", kind, TIME_LIMIT))  # all or none: what a slow file gave so far isn't kept
+                    out.extend((rel, lang, n, name, text, None) for n, (name, text) in enumerate(found))
                 except TimeoutError:
                     out.append((rel, lang, -1, None, None, f"{kind} patterns took over {TIME_LIMIT:g} s"))
             yield pd.DataFrame(out, columns=["rel", "lang", "n", "name", "body", "error"])

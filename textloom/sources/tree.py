@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from textloom.functions.text import basename, tree_line
 
 MAX_BYTES = 3_145_728
+#: Bytes that are read at once where only the hash is wanted.
+CHUNK = 1_048_576
 
 #: Extensions of text files, in any case.
 ALLOWED_EXTENSIONS = (
@@ -106,15 +108,15 @@ def scan_totals(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return files.where(~F.col("is_dir")).where(allowed()).agg(F.count_if(fits).alias("files"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("bytes"), F.count_if(~fits).alias("too_large"))
 
 
-def decode(data: bytes, max_bytes: int = MAX_BYTES) -> str | None:
-    """Text without a byte order mark, bad bytes replaced; None for a file with a zero byte or too long a one."""
-    if b"\0" in data or len(data) > max_bytes:
+def decode(data: bytes, max_bytes: int | None = MAX_BYTES) -> str | None:
+    """Text without a byte order mark, bad bytes replaced; None for a file with a zero byte or too long a one (without a limit none is)."""
+    if b"\0" in data or (max_bytes is not None and len(data) > max_bytes):
         return None
     return data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
 
 
-def read_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files with lang, size (bytes), content, file_hash (of the bytes) and error; content is null where there is no text."""
+def read_files(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Files with lang, size (bytes), content, file_hash (of all bytes) and error; content is null where there is no text or more than max_bytes."""
     import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +125,12 @@ def read_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
             for ord_, rel, path, lang in zip(b["ord"], b["rel"], b["abs_path"], b["lang"], strict=True):
                 try:
                     with open(path, "rb") as f:
-                        data = f.read(max_bytes + 1)
-                    out.append((ord_, rel, path, lang, len(data), decode(data, max_bytes), hashlib.sha256(data).hexdigest(), None))
+                        data = f.read() if max_bytes is None else f.read(max_bytes + 1)
+                        digest, size = hashlib.sha256(data), len(data)
+                        while more := f.read(CHUNK):
+                            digest.update(more)
+                            size += len(more)
+                    out.append((ord_, rel, path, lang, size, decode(data, max_bytes), digest.hexdigest(), None))
                 except OSError as e:
                     out.append((ord_, rel, path, lang, None, None, "", type(e).__name__))
             yield pd.DataFrame(out, columns=["ord", "rel", "abs_path", "lang", "size", "content", "file_hash", "error"]).astype({"size": "Int64"})
@@ -145,7 +151,7 @@ def manifest(files: DataFrame, root: str) -> DataFrame:
 def directory_records(spark: SparkSession, root: str, depth: int = 8, embed_text: bool = True) -> DataFrame:
     """A record for each file down to a depth: path, rel, size, mtime, sha256, lang, depth, text."""
     files = listing(spark, root, depth).where(~F.col("is_dir"))
-    read = read_files(files).select("ord", "content", "file_hash")
+    read = read_files(files, None if embed_text else 0).select("ord", "content", "file_hash")
     extension = F.regexp_extract(basename("rel"), r"\.([^.]+)$", 1)
     return files.join(read, "ord").select(F.col("abs_path").alias("path"), "rel", "size", "mtime", F.col("file_hash").alias("sha256"), F.when(extension == "", F.lit("unknown")).otherwise(language()).alias("lang"), "depth", (F.col("content") if embed_text else F.lit(None).cast("string")).alias("text"))
 

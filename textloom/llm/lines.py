@@ -220,7 +220,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The columns given, with the text's remaining lines, n_lines and n_removed."""
-    source = documents.select(*[c for c in documents.columns if c not in ("n_lines", "n_removed", "_key", "_gone", "_parts")])
+    source = documents.select(*[c for c in documents.columns if c not in ("n_lines", "n_removed", "_key", "_gone")])
     keyed = with_key(source)
     lines = occurrences(keyed)
     distinct = materialize(signatures(lines), "lines")
@@ -235,11 +235,11 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     # Each component's first place, taken out of all places: a component in very many texts meets in no task.
     first = again.groupBy("root").agg(F.min(F.struct("doc", "pos", "_key")).alias("first")).select("first._key", "first.pos")
     gone = again.join(first, ["_key", "pos"], "left_anti").groupBy("_key").agg(F.collect_set("pos").alias("_gone"))
-    joined = keyed.join(gone, "_key", "left").withColumn("_parts", F.split("text", "\n", -1))
-    parts = F.col("_parts")
-    # The places that stay, in order; each is then one look-up.
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    joined = keyed.join(gone, "_key", "left")
+    parts = F.split("text", "\n", -1)
+    # A function over an array of one cuts the text once; a place that stays is then one look-up.
+    rebuilt = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone"))), lambda i: F.get(p, i)), "\n"))
+    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.get(rebuilt, 0))
     removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
     return joined.select(*[left.alias("text") if c == "text" else F.col(c) for c in source.columns], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

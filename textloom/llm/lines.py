@@ -7,9 +7,9 @@ A pair that shares a band is a candidate if AGREE of the VALUES places of the si
 at similarity 0.8 about 19 are. Candidates are verified by the exact Jaccard similarity of all their shingles.
 
 A bucket (the lines of a band's value) never gives all its pairs at once. First each of its lines meets the bucket's
-first one, and of these pairs each line's likeliest is verified. Links make components by distributed union-find.
-A bucket that lies in one component is done, however many lines it has. In the others the lines outside the
-bucket's largest component meet all lines of other components. Crowded ones of these are parted
+first one, and of these pairs each line's likeliest is verified, then those that still join two components; links make
+components by distributed union-find. A bucket that lies in one component is done, however many lines it has. In the
+others the lines outside the bucket's largest component meet one line of that, and what is left meets all lines of other components. Crowded ones of these are parted
 by further values of the signatures before, in as many ways that similar lines meet in one. Where lines are so alike that
 parting saves nothing and yet in different components, all these pairs are compared, however many they are.
 The first occurrence (smallest id, then place) of a component stays.
@@ -39,7 +39,7 @@ VALUES = 24
 ROWS = 4
 BANDS = 12
 #: Places of two signatures that are equal, at least, in a candidate: at similarity 0.8 19.5 on average with a deviation of 1.9.
-AGREE = 12
+AGREE = 14
 #: Positions of a line that are hashed in one row.
 AT_ONCE = 16
 #: Buckets of more lines are parted where that saves comparisons, LEVELS times at most. Two lines of similarity 0.8 share one of a bucket's parts with probability 0.998.
@@ -135,13 +135,24 @@ def first_pairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return two.unionByName(star).distinct(), members
 
 
-def further_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of buckets that lie in more than one component: lines that agree, of different components, one outside the bucket's largest."""
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lines of buckets that lie in more than one component, with their root and the bucket's largest component."""
     rows = members.join(roots.select(F.col("id").alias("_id"), "root"), F.col("own.id") == F.col("_id"), "left").select("v", "n", "band", "own", F.coalesce("root", "own.id").alias("root"))
-    rows = materialize(rows, "rooted")
     sizes = rows.groupBy("v", "root").agg(F.count("*").alias("k")).groupBy("v").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"))
-    open_ = materialize(sizes.where("roots > 1").select("v", "main"), "open")
-    shared = materialize(rows.join(bounded(open_), "v"), "shared")
+    several = bounded(materialize(sizes.where("roots > 1").select("v", "main"), "open"))
+    return materialize(rows.join(several, "v"), "shared")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b, agree) of each line outside its bucket's largest component with a line of it, another one in each bucket."""
+    own = F.max_by("own", F.xxhash64("v", "own.id")).alias("main_line")
+    x = shared.where("root = main").groupBy("v").agg(own)
+    pairs = shared.where("root != main").join(x, "v").withColumn("agree", _both("own", "main_line")).where(F.col("agree") >= AGREE)
+    return pairs.select(F.greatest("own.id", "main_line.id").alias("a"), F.least("own.id", "main_line.id").alias("b"), "agree").distinct()
+
+
+def further_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b, agree) of open buckets: lines of different components that agree, one of them outside the bucket's largest."""
     whole = []
     for level in range(LEVELS):
         crowded = shared.where(F.col("n") > CROWD)
@@ -159,7 +170,7 @@ def further_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     x = shared.where("root != main").select("v", F.col("own").alias("x"), F.col("root").alias("rx"))
     y = shared.select("v", F.col("own").alias("y"), F.col("root").alias("ry"))
     pairs = x.join(y, "v").where(F.col("rx") != F.col("ry")).where(_both("x", "y") >= AGREE)
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), _both("x", "y").alias("agree")).distinct()
 
 
 def _parts(level: int) -> Column:
@@ -184,11 +195,13 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
-def with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines of the pairs with how many shingles they have: (id, line, n)."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def with_texts(pairs: DataFrame, lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The lines of the pairs with how many shingles they have: (id, line, n); those known already and others."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialize(ids if known is None else ids.join(known.select("id"), "id", "left_anti"), "ids")
     texts = lines.select("id", "line").join(bounded(ids), "id", "left_semi")
-    return materialize(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "texts")
+    texts = materialize(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "texts")
+    return texts if known is None else known.unionByName(texts)
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,18 +217,37 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.where(F.when(fit, alike).otherwise(False)).select("a", "b")
 
 
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose lines aren't in one component yet."""
+    root = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
+    return pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
 def near_lines(lines: DataFrame) -> DataFrame:
     """(id, root) of the distinct lines that have a link."""
     pairs, members = first_pairs(lines)
     pairs = materialize(pairs, "pairs")
-    some = materialize(likeliest(pairs), "some")
-    roots = components(materialize(verify(some, with_texts(some, lines)), "links"), native=True)
-    root = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
-    # What is left: pairs whose lines aren't in one component yet, but for those that were compared.
-    across = pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    rest = materialize(across.unionByName(further_pairs(members, roots)).distinct().join(some, ["a", "b"], "left_anti"), "rest")
-    more = materialize(verify(rest, with_texts(rest, lines)), "links")
-    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), native=True)
+    likely = materialize(likeliest(pairs), "some")
+    texts = with_texts(likely, lines)  # each line of a pair has a likeliest one
+    roots = components(materialize(verify(likely, texts), "links"), native=True)
+    seen = likely
+
+    def compared(some: DataFrame) -> DataFrame:
+        """Pairs that were compared aren't compared again."""
+        nonlocal seen, texts, roots
+        some = materialize(some.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "some")
+        seen, texts = seen.unionByName(some), with_texts(some, lines, texts)
+        links = materialize(verify(some, texts), "links")
+        if not links.isEmpty():
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), native=True)
+        return roots
+
+    roots = compared(across(pairs, roots))
+    # A bucket's lines meet one of its largest component before they meet all.
+    roots = compared(star_pairs(open_buckets(members, roots)))
+    left = materialize(further_pairs(open_buckets(members, roots)), "further")
+    roots = compared(likeliest(left))
+    return compared(across(left, roots))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def test_refresh(spark, source, tmp_path):
     first = ids()
     assert first[0] == "__TREE__" and "b.py.run" in first and "sub/d.cs.D.class" in first
     extract(spark, str(source), out)
-    assert sorted(ids()) == sorted(first)
+    assert ids() == first
+    extract(spark, str(source), out)
+    assert ids() == first
     (source / "b.py").write_text("def other():\n    return 2\n")
     (source / "A.PY").unlink()
     extract(spark, str(source), out)
@@ -65,6 +67,20 @@ def test_prefixes_reach_other_files(spark):
     assert "NestedLoop" not in left._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    sizes = (1, 60_000, 5, 0, 300)
+    for part, n in enumerate(sizes):
+        (folder / f"part-{part:05}.txt").write_text("".join(f'{{"text":"{part}-{i}"}}\n' + "\n" * (i % 7 == 0) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = [tuple(r) for r in corpus.load(spark, f"file://{folder}").orderBy("doc_index").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(f"{part}-{i}" for part, n in enumerate(sizes) for i in range(n)))
+
+
 def test_load(spark, tmp_path):
     path = tmp_path / "c.jsonl"
     path.write_text('{"text":"one"}\n\n{"id":"x"}\n{"text":null}\n{"text":"two","id":"y"}\n')

@@ -48,3 +48,28 @@ def test_titles(spark):
     df = spark.createDataFrame([("Foo", "src/Foo.cs", "cs", body)], "n string, p string, l string, b string")
     assert df.select(fn.class_title(F.col("n"), F.col("p"), F.col("l"), F.col("b"))).first()[0] == "Foo • 2 members • constructor • Foo.cs cs"
     assert df.select(fn.function_title(F.col("n"), F.col("p"), F.col("l"), F.lit("get it"))).first()[0] == "Foo — get (Foo.cs cs)"
+
+
+def test_long_runs_need_no_stack(spark):
+    """A million separators, and a body of plain words near the longest one."""
+    from textloom.functions.text import member_count, tokenize
+
+    df = spark.createDataFrame([("a" + "-=" * 500_000 + "b", "word " * 19_999)], "t string, b string")
+    row = df.select(tokenize("t").alias("t"), *[member_count(F.lit(x), F.col("b")).alias(x) for x in ("cs", "py", "js")]).first()
+    assert row["t"] == ["a", "b"] and (row["cs"], row["py"], row["js"]) == (0, 0, 0)
+
+
+def test_members_are_those_of_the_whole_pattern(spark):
+    """The short pattern finds as many members as the one with all modifiers and words."""
+    import random
+
+    import regex
+
+    from textloom.functions.text import member_count
+
+    random.seed(3)
+    whole = regex.compile(r"(?:public|private|protected|internal|static|\s)+(?:\w+\s+)+\w+\s*\([^)]*\)")
+    bits = ["public", "static", " ", " ", "\n", "x", "int", "run", "(", "(", ")", "a, b", "{", "}", ";", "é", "publicfoo", "xprivate"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(1, 40))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", member_count(F.lit("cs"), F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(whole.findall(t)) for i, t in enumerate(texts)}

@@ -52,11 +52,15 @@ def main(argv: Sequence[str] | None = None, server: ModelServer | None = None) -
     parser.add_argument("--no-text", action="store_true")
     parser.add_argument("--prune", action="store_true", help="drop the entries of files that are gone")
     parser.add_argument("-k", type=int, default=Config.top_k)
+    parser.add_argument("--host", help="address of the model server")
+    parser.add_argument("--model", help="model to ask")
+    parser.add_argument("--num-predict", type=int, help="tokens that an answer has at most")
     try:
         args = parser.parse_args(argv)
     except SystemExit as e:
         return 0 if e.code == 0 else 1
-    server = server or ModelServer()
+    given = {"host": args.host, "model": args.model, "num_predict": args.num_predict}
+    server = server or ModelServer(**{k: v for k, v in given.items() if v is not None})
     command = args.command.lower()
     try:
         if command == "chat":

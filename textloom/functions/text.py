@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates tokens: anything but letters and decimal digits; characters above U+FFFF always do.
-SEPARATOR = r"([^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])+"
+SEPARATOR = r"[[^\p{L}\p{Nd}]\x{10000}-\x{10FFFF}]+"
 
 #: Words that are never shown as identifiers.
 NOISE_WORDS = (
@@ -92,11 +92,12 @@ def function_title(name: Column, path: Column, lang: Column, body: Column) -> Co
     return F.concat(name, F.lit(" — "), verb_hint(body), F.lit(" ("), basename(path), F.lit(" "), lang, F.lit(")"))
 
 
-#: What counts as a member, by language.
+#: What counts as a member, by language. Of the modifiers and words before a name and its parentheses only the last two
+#: are asked for: where more stand, these do too, in as many places. So no group repeats, which takes stack for each time.
 MEMBER_PATTERNS = {
-    ("cs", "java"): r"(?U)(?:public|private|protected|internal|static|\s)+(?:\w+\s+)+\w+\s*\([^)]*\)",
+    ("cs", "java"): r"(?U)(?:public|private|protected|internal|static|\s)\w+\s+\w+\s*\([^)]*+\)",
     ("py",): r"(?U)def\s+\w+\s*\(",
-    ("js", "ts", "jsx", "tsx"): r"(?U)(?:async\s+)?\w+\s*\([^)]*\)\s*\{",
+    ("js", "ts", "jsx", "tsx"): r"(?U)(?:async\s+)?\w+\s*\([^)]*+\)\s*\{",
 }
 
 

@@ -1,7 +1,8 @@
 """TF-IDF index and cosine retrieval.
 
-Texts are dealt out by their index once: term counts, norms and weights of a text then
-need no further shuffle; only the document frequencies are joined by token.
+Texts, not their tokens, are dealt out by their index: a text's terms are then counted without a further shuffle.
+Document frequencies are joined by token. The weights of a batch of queries go to the postings of each text
+where they are few enough to be broadcast, so that only each task's best hits are shuffled.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.storagelevel import StorageLevel
 
 from textloom.functions.text import tokenize
 
+#: Terms of a batch of queries that may be broadcast; beyond them the postings are joined by shuffle.
+BROADCAST_TERMS = 500_000
+
 
 def term_counts(docs: DataFrame, key: str = "doc_index", text: str = "text") -> DataFrame:
     """(key, token, tf); a text without tokens has no row."""
-    rows = docs.select(key, F.explode(tokenize(text)).alias("token"))
-    return rows.repartition(key).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    rows = docs.select(key, F.col(text).alias("text")).repartition(key)
+    return rows.select(key, F.explode(tokenize("text")).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
 def inverse_frequencies(tf: DataFrame, n: Column | int, key: str = "doc_index") -> DataFrame:
@@ -66,6 +70,8 @@ class TfIdfIndex:
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_index, score) of the documents that share a token with a query, rounded to 6 places."""
         qw = self.query_weights(queries)
+        if term_counts(queries, "query_id").count() <= BROADCAST_TERMS:
+            qw = F.broadcast(qw)
         return self.postings.join(qw, "token").groupBy("query_id", "doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
 
     def retrieve_batch(self, queries: DataFrame, k: int = 3) -> DataFrame:

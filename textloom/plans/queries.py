@@ -260,5 +260,6 @@ def structure_titles(spark, sf_dir):
 
 @query("SELECT source, count_if(n_chars <= 3000)::bigint AS files, sum(CASE WHEN n_chars <= 3000 THEN n_chars ELSE 0 END)::bigint AS bytes, count_if(n_chars > 3000)::bigint AS too_large FROM documents GROUP BY source")
 def scan_totals(spark, sf_dir):
-    fits = F.col("n_chars") <= 3000
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(fits).alias("files"), F.sum(F.when(fits, F.col("n_chars")).otherwise(0)).alias("bytes"), F.count_if(~fits).alias("too_large"))
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select(F.lit(False).alias("is_dir"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.col("n_chars").alias("size"), "source")
+    return tree.scan_totals(files, 3000, ("source",))

@@ -16,10 +16,17 @@ SEED = (
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value) of a text file's lines, in their order; empty lines keep their number and go."""
-    # Parts of files come in order of partition, and a partition's ids grow; ranks make them dense where it matters.
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
-    return lines.where(F.length("value") > 0).select("pos", "value")
+    """(pos, value) of the lines of text files, by file name and place in the file; empty lines keep their number and go.
+
+    Spark packs parts of files into tasks by size, so a row's number in its task says its place in its part only. Parts
+    are counted, and a running sum over them (a row for each part) says where each begins.
+    """
+    part = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select("value", *part, F.monotonically_increasing_id().alias("m"))
+    parts = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n") - F.col("first")
+    lines = lines.where(F.length("value") > 0).join(parts.select("file", "start", before.alias("shift")), ["file", "start"])
+    return lines.select((F.col("m") + F.col("shift")).alias("pos"), "value")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -37,11 +44,13 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_index(rows: DataFrame) -> DataFrame:
-    """Dense indices by position: counts by block of positions, then ranks within them; no task sees all rows."""
-    block = F.shiftright("pos", 13)
-    counts = rows.groupBy(block.alias("block")).count()
-    # As many blocks as rows / 8192: their running sum is small.
-    before = counts.select("block", (F.sum("count").over(Window.orderBy("block")) - F.col("count")).alias("before"))
+    """Dense indices by position: counts by block of 2^13 positions, running sums within 2^13 blocks and over those; no task sees all rows or blocks."""
+    block, wide = F.shiftright("pos", 13), F.shiftright("block", 13)
+    counts = rows.groupBy(block.alias("block")).agg(F.count("*").alias("n")).withColumn("wide", wide)
+    sums = counts.groupBy("wide").agg(F.sum("n").alias("whole"))
+    sums = sums.select("wide", (F.sum("whole").over(Window.orderBy("wide")) - F.col("whole")).alias("base"))  # a row for 2^26 positions
+    inner = F.sum("n").over(Window.partitionBy("wide").orderBy("block")) - F.col("n")
+    before = counts.withColumn("inner", inner).join(sums, "wide").select("block", (F.col("base") + F.col("inner")).alias("before"))
     ranked = rows.withColumn("block", block).withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("pos")))
     return ranked.join(before, "block").select((F.col("before") + F.col("r") - 1).alias("doc_index"), "text")
 

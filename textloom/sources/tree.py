@@ -21,13 +21,13 @@ CHUNK = 1_048_576
 
 #: Extensions of text files, in any case.
 ALLOWED_EXTENSIONS = (
-    ".py .ipynb .js .mjs .cjs .ts .tsx .jsx .vue .svelte .java .kt .kts .scala .go .rs "
-    ".c .h .cpp .cc .cxx .hpp .hh .m .mm .cs .fs .fsx .php .rb .swift .lua .pl .pm .r "
-    ".dart .groovy .gradle .sql .proto .graphql .gql "
-    ".json .json5 .toml .ini .cfg .conf .yaml .yml .env .properties .xml "
-    ".html .htm .css .scss .sass .less "
-    ".md .markdown .rst .adoc .txt .csv .tsv .log .org"
-).split()
+    ".py", ".ipynb", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx", ".vue", ".svelte", ".java", ".kt", ".kts", ".scala", ".go", ".rs",
+    ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".m", ".mm", ".cs", ".fs", ".fsx", ".php", ".rb", ".swift", ".lua", ".pl", ".pm", ".r",
+    ".dart", ".groovy", ".gradle", ".sql", ".proto", ".graphql", ".gql",
+    ".json", ".json5", ".toml", ".ini", ".cfg", ".conf", ".yaml", ".yml", ".env", ".properties", ".xml",
+    ".html", ".htm", ".css", ".scss", ".sass", ".less",
+    ".md", ".markdown", ".rst", ".adoc", ".txt", ".csv", ".tsv", ".log", ".org",
+)
 
 #: Names that are taken whatever their extension, and their languages.
 SPECIAL_NAMES = {
@@ -47,8 +47,8 @@ IGNORED_DIRECTORIES = (
 LISTING = "ord long, depth int, is_dir boolean, rel string, abs_path string, size long, mtime double"
 
 
-def walk(root: str) -> Iterator[tuple[int, str, list[str]]]:
-    """(depth, directory, its files in order) in preorder; directories that can't be read are empty."""
+def walk(root: str, max_depth: int | None = None) -> Iterator[tuple[int, str, list[str]]]:
+    """(depth, directory, its files in order) in preorder, down to a depth; directories that can't be read are empty."""
     pending = [(0, os.path.abspath(root))]
     while pending:
         depth, here = pending.pop()
@@ -58,15 +58,15 @@ def walk(root: str) -> Iterator[tuple[int, str, list[str]]]:
         except OSError:
             entries = []
         yield depth, here, [e.name for e in entries if not e.is_dir()]
+        if max_depth is not None and depth >= max_depth:
+            continue
         pending.extend((depth + 1, e.path) for e in reversed(entries) if e.is_dir() and e.name.lower() not in IGNORED_DIRECTORIES)
 
 
 def listing(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
     """A row for each directory but the root and each file, in preorder; a file's depth is its directory's."""
     root, rows = os.path.abspath(root), []
-    for depth, here, names in walk(root):
-        if max_depth is not None and depth > max_depth:
-            continue
+    for depth, here, names in walk(root, max_depth):
         if depth:
             rows.append((len(rows), depth, True, os.path.relpath(here, root), here, None, None))
         for name in names:
@@ -83,7 +83,7 @@ def allowed(path="rel"):
     """An allowed extension in any case, or a special name."""
     name = basename(path)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return extension.isin(ALLOWED_EXTENSIONS) | name.isin(*SPECIAL_NAMES)
+    return extension.isin(*ALLOWED_EXTENSIONS) | name.isin(*SPECIAL_NAMES)
 
 
 def language(path="rel"):
@@ -93,19 +93,15 @@ def language(path="rel"):
     return F.coalesce(F.element_at(special, name), F.nullif(F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)), F.lit("")), F.lit("text"))
 
 
-def not_ignored(directory="rel"):
-    return ~F.exists(F.split(F.lower(F.col(directory)), "/"), lambda d: d.isin(*IGNORED_DIRECTORIES))
-
-
 def source_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The files to read: allowed, and of at most max_bytes (both known before any is read)."""
     return files.where(~F.col("is_dir")).where(allowed()).where(F.col("size") <= max_bytes)
 
 
-def scan_totals(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(files, bytes, too_large) of the allowed files."""
+def scan_totals(files: DataFrame, max_bytes: int = MAX_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
+    """(files, bytes, too_large) of the allowed files, for each group of ``by``."""
     fits = F.col("size") <= max_bytes
-    return files.where(~F.col("is_dir")).where(allowed()).agg(F.count_if(fits).alias("files"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("bytes"), F.count_if(~fits).alias("too_large"))
+    return files.where(~F.col("is_dir")).where(allowed()).groupBy(*by).agg(F.count_if(fits).alias("files"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("bytes"), F.count_if(~fits).alias("too_large"))
 
 
 def decode(data: bytes, max_bytes: int | None = MAX_BYTES) -> str | None:

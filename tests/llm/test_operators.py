@@ -105,22 +105,30 @@ def test_n_best_is_exact(encoder):
     for _ in range(150):
         t = "".join(random.choice("ab th eing the on   é😀▁ñ\n\tx\x00梦 zq") for _ in range(random.randint(0, 7)))
         data = ("▁" + t.replace(" ", "▁")).encode() if t else b""
-        paths = {0: [0.0]}
-        ending = lattice.ending(data)
+        every = {0: [(0.0, ())]}  # all segmentations up to each position
         for b in range(1, len(data) + 1):
-            paths[b] = [x + s for a, _, s in ending[b] for x in paths.get(a, [])]
-        want = sorted(paths[len(data)], reverse=True)[:4]
-        ids, _, scores = encoder.texts([t])
-        assert scores[0] == want
-        assert [s for s, _ in lattice.n_best(data, 4)] == want
-        assert all(encoder.decode(i) == t.replace("▁", " ") for _, i in (lattice.n_best(data, 4) if t else []))
-        assert encoder.decode(ids.tolist()) == t.replace("▁", " ")
+            every[b] = [(x + s, (*p, *lattice.ids(data, [(a, b, i)]))) for a, i, s in lattice.ending(data, b) for x, p in every.get(a, [])]
+        scores = dict((p, x) for x, p in every[len(data)])
+        want = sorted(scores.values(), reverse=True)[:4]
+        for found in ([(s, i.tolist()) for s, i in encoder.texts([t])[0]], lattice.n_best(data, 4)):
+            assert [s for s, _ in found] == want
+            assert len({tuple(i) for _, i in found}) == len(found) and all(scores[tuple(i)] == s for s, i in found)
+            assert all(encoder.decode(i) == t.replace("▁", " ") for _, i in found)
+
+
+def test_a_long_text_without_spaces(encoder):
+    random.seed(2)
+    t = "".join(random.choice("abcdefghijklmnopqrstuvwxyzé0123") for _ in range(1_000_000))
+    found = encoder.texts([t])[0]
+    assert len(found) == 4 and all(encoder.decode(i.tolist()) == t for _, i in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
 
 
 def test_pieces_on_edges(spark, edges, nothing):
     out = pieces.encode(edges).collect()
     assert len(out) == len(EDGES) and all(r["round_trip"] for r in out)
     assert all(list(r["nbest_scores"]) == sorted(r["nbest_scores"], reverse=True) for r in out)
+    assert all(r["nbest_ids"][0] == r["ids"] and len(r["nbest_ids"]) == len(r["nbest_scores"]) for r in out)
     assert {r["n_pieces"] for r in out if r["doc_id"] in (1, 2)} == {0}
     assert pieces.encode(nothing).count() == 0
     decoded = spark.createDataFrame([([],), (None,)], "ids array<int>").select(pieces.decoder(spark)(F.col("ids")).alias("t"))

@@ -13,13 +13,15 @@ best costs least.
 A model of merges has no likelihoods: the best segmentation by its scores isn't what its merges give.
 
 Defined cases: a null or empty text has no pieces, one segmentation with score 0, and decodes to the empty
-text. A character without a piece is written as its bytes. U+2581 in a text decodes to a space. Repeated rows
-are encoded each on its own.
+text. A character without a piece is written as its bytes. U+2581 in a text decodes to a space. A text of any length
+is encoded whole; a million characters without a space take tens of seconds. Segmentations of equal score come in
+any order, each once. Repeated rows are encoded each on its own; an empty table gives an empty one. Of extra columns none is read.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -107,34 +109,60 @@ class Lattice:
         self.by_text = {p: (i, s) for p, i, s in vocabulary.pieces}
         self.longest = max(map(len, self.by_text), default=1)
         self.byte_ids, self.unknown = vocabulary.byte_ids, vocabulary.unknown
+        self.children: list[dict[int, int]] = [{}]
+        self.piece: list[tuple[int, float] | None] = [None]
+        for text, i, s in vocabulary.pieces:
+            at = 0
+            for b in text:
+                to = self.children[at].get(b)
+                if to is None:
+                    to = self.children[at][b] = len(self.children)
+                    self.children.append({})
+                    self.piece.append(None)
+                at = to
+            self.piece[at] = (i, s)
+
+    def ending(self, data: bytes, b: int) -> list[tuple[int, int, float]]:
+        """The edges (start, id, score) that end at b, the start ascending; id -1 for a character's bytes."""
+        out, get = [], self.by_text.get
+        for a in range(max(0, b - max(4, self.longest)), b):
+            if data[a] & 0xC0 != 0x80:
+                if found := get(data[a:b]):
+                    out.append((a, *found))
+                elif self.character(data, a) == b:
+                    out.append((a, -1, self.unknown))
+        return out if b == len(data) or data[b] & 0xC0 != 0x80 else []
 
-    def ending(self, data: bytes) -> list[list[tuple[int, int, float]]]:
-        """For each end the edges (start, id, score), the start ascending; id -1 for a character's bytes."""
-        n, get = len(data), self.by_text.get
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+    @staticmethod
+    def character(data: bytes, a: int) -> int:
+        """Where the character that starts at a ends."""
+        b = a + 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        return b
+
+    def forward(self, data: bytes) -> array:
+        """The best score from the start to each position."""
+        n, children, piece = len(data), self.children, self.piece
+        best = array("d", [0.0]) + array("d", [float("-inf")]) * n
         for a in range(n):
             if data[a] & 0xC0 == 0x80:
                 continue
-            b = a + 1
-            while b < n and data[b] & 0xC0 == 0x80:
-                b += 1
-            if data[a:b] not in self.by_text:
-                out[b].append((a, -1, self.unknown))
-            for e in range(b, min(n, a + self.longest) + 1):
-                if found := get(data[a:e]):
-                    out[e].append((a, *found))
-        return out
-
-    def forward(self, ending: list[list[tuple[int, int, float]]]) -> tuple[list[float], list[tuple[int, int]]]:
-        best, back = [0.0], [(0, 0)]
-        for edges in ending[1:]:
-            top, at = float("-inf"), (0, 0)
-            for a, i, s in edges:
-                if best[a] + s > top:
-                    top, at = best[a] + s, (a, i)
-            best.append(top)
-            back.append(at)
-        return best, back
+            own, node, at = best[a], 0, a
+            first = self.character(data, a)
+            whole = False
+            while at < n:
+                node = children[node].get(data[at])
+                if node is None:
+                    break
+                at += 1
+                if (found := piece[node]) and at >= first:
+                    whole |= at == first
+                    if own + found[1] > best[at]:
+                        best[at] = own + found[1]
+            if not whole and own + self.unknown > best[first]:
+                best[first] = own + self.unknown
+        return best
 
     def ids(self, data: bytes, edges: list[tuple[int, int, int]]) -> list[int]:
         out = []
@@ -142,23 +170,17 @@ class Lattice:
             out.extend([i] if i >= 0 else [self.byte_ids[x] for x in data[a:b]])
         return out
 
-    def best(self, data: bytes) -> tuple[float, list[int]]:
-        best, back = self.forward(self.ending(data))
-        edges, b = [], len(data)
-        while b:
-            a, i = back[b]
-            edges.append((a, b, i))
-            b = a
-        return best[-1], self.ids(data, edges[::-1])
-
     def n_best(self, data: bytes, n: int) -> list[tuple[float, list[int]]]:
-        """Up to n segmentations from the best on: A-star from the end, with the forward scores as what remains."""
-        ending = self.ending(data)
-        best, _ = self.forward(ending)
-        order, out = count(), []
-        heap = [(-best[-1], next(order), len(data), 0.0, None)]
-        while heap and len(out) < n:
-            f, _, b, score, path = heapq.heappop(heap)
+        """Up to n segmentations from the best on: A-star from the end, with the forward scores as what remains.
+
+        Each open path has a completion of exactly its estimate, so no more open paths are kept than segmentations are
+        still wanted. Of equal ones that nearer to the start is taken first: where scores tie, as in a model of merges,
+        the search runs through instead of spreading.
+        """
+        best, out = self.forward(data), []
+        waiting: list[tuple[float, int, float, tuple | None]] = [(-best[-1], len(data), 0.0, None)]  # estimate, position, score so far, path
+        while waiting and len(out) < n:
+            _, b, score, path = waiting.pop(0)
             if b == 0:
                 edges = []
                 while path:
@@ -166,19 +188,21 @@ class Lattice:
                     path = path[1]
                 out.append((score, self.ids(data, edges)))
                 continue
-            for a, i, s in ending[b]:
+            for a, i, s in self.ending(data, b):
                 if best[a] > float("-inf"):
-                    heapq.heappush(heap, (-(best[a] + s + score), next(order), a, score + s, ((a, b, i), path)))
+                    waiting.append((-(best[a] + s + score), a, score + s, ((a, b, i), path)))
+            waiting.sort(key=lambda w: w[:2])
+            del waiting[n - len(out) :]
         return out
 
 
-def combine(choices: list[list[float]], n: int) -> list[float]:
-    """The n largest sums of one number from each list (each in descending order), from the largest on."""
+def combine(choices: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n largest sums of one number from each list (each in descending order), from the largest on, and the places taken."""
     start = tuple([0] * len(choices))
     heap, seen, out = [(-sum(c[0] for c in choices), start)], {start}, []
     while heap and len(out) < n:
         total, at = heapq.heappop(heap)
-        out.append(-total)
+        out.append((-total, at))
         for j, c in enumerate(choices):
             if at[j] + 1 < len(c):
                 to = (*at[:j], at[j] + 1, *at[j + 1 :])
@@ -193,18 +217,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.lattice, self.n, self.unknown = Lattice(vocabulary), n, vocabulary.unknown
-        nodes, ids, scores = [{}], [-1], [0.0]
-        for text, i, s in vocabulary.pieces:
-            at = 0
-            for b in text:
-                to = nodes[at].get(b)
-                if to is None:
-                    to = nodes[at][b] = len(nodes)
-                    nodes.append({})
-                    ids.append(-1)
-                    scores.append(0.0)
-                at = to
-            ids[at], scores[at] = i, s
+        nodes = self.lattice.children
+        ids, scores = zip(*[p or (-1, 0.0) for p in self.lattice.piece], strict=True)
         # Rows that are never used stay unmapped memory.
         self.child = np.zeros((len(nodes), 256), dtype=np.int32)
         for at, row in enumerate(nodes):
@@ -226,7 +240,7 @@ class Encoder:
         self.solved = 0
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.best, self.gap = np.empty(0), np.empty(0)
-        self.lists: dict[int, list[float]] = {}
+        self.lists: dict[int, list[tuple[float, list[int]]]] = {}
 
     def solve(self) -> None:
         """Segment the units that are new since the last call."""
@@ -238,9 +252,9 @@ class Encoder:
         best, gap, flat, end = np.zeros(len(new)), np.zeros(len(new)), [self.flat], len(self.flat)
         lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         for i in np.flatnonzero(lengths > LONG_UNIT).tolist():
-            score, ids = self.lattice.best(new[i])
-            two = self.lattice.n_best(new[i], 2)
-            best[i], gap[i] = score, score - two[1][0] if len(two) > 1 else np.inf
+            found = self.lists[self.solved + i] = self.lattice.n_best(new[i], max(2, self.n))
+            score, ids = found[0]
+            best[i], gap[i] = score, score - found[1][0] if len(found) > 1 else np.inf
             starts[i], sizes[i] = end, len(ids)
             flat.append(np.array(ids, dtype=np.int32))
             end += len(ids)
@@ -345,15 +359,15 @@ class Encoder:
         best[at, b], back[at, b], edge[at, b] = s[up], a, ids[up]
         return rows, a, b, score, ids
 
-    def alternatives(self, unit: int, names: list[str]) -> list[float]:
-        """The scores of a unit's n best segmentations."""
+    def alternatives(self, unit: int, names: list[str]) -> list[tuple[float, list[int]]]:
+        """A unit's n best segmentations: scores and ids."""
         found = self.lists.get(unit)
         if found is None:
-            found = self.lists[unit] = [s for s, _ in self.lattice.n_best(unit_bytes(names[unit]), self.n)]
+            found = self.lists[unit] = self.lattice.n_best(unit_bytes(names[unit]), self.n)
         return found
 
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """All ids one after the other, how many each text has, and the scores of its n best segmentations."""
+    def texts(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
+        """The n best segmentations of each text, from the best on: scores and ids."""
         if len(self.places) > UNITS_KEPT:
             self.forget()
         codes = []
@@ -361,25 +375,30 @@ class Encoder:
             parts = units(t) if t else []
             codes.append(np.fromiter(map(self.places.__getitem__, parts), dtype=np.int64, count=len(parts)))
         self.solve()
-        names = list(self.places)
-        scores = []
+        names, out = list(self.places), []
         for c in codes:
             if not len(c):
-                scores.append([0.0])
+                out.append([(0.0, np.empty(0, np.int32))])
                 continue
-            gap = self.gap[c]
+            gap, sizes = self.gap[c], self.sizes[c]
+            ends = np.cumsum(sizes)
+            ids = self.flat[np.repeat(self.starts[c] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+            # An alternative of the text changes the units whose second best costs least: n - 1 of them at most.
             k = min(self.n - 1, len(c))
             near = np.argpartition(gap, k - 1)[:k] if k else np.empty(0, int)
-            lists = [self.alternatives(int(c[j]), names) for j in near if np.isfinite(gap[j])]
-            base = float(self.best[c].sum()) - sum(x[0] for x in lists)
-            scores.append([base + s for s in combine(lists, self.n)])
-        every = np.concatenate(codes) if codes else np.empty(0, np.int64)
-        sizes = self.sizes[every]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[every] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edges = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(int)
-        total = np.concatenate(([0], ends))
-        return ids, total[edges[1:]] - total[edges[:-1]], scores
+            near = sorted(int(j) for j in near if np.isfinite(gap[j]))
+            lists = [self.alternatives(int(c[j]), names) for j in near]
+            base = float(self.best[c].sum()) - sum(x[0][0] for x in lists)
+            found = []
+            for total, taken in combine([[score for score, _ in x] for x in lists], self.n):
+                parts, at = [], 0
+                for j, x, place in zip(near, lists, taken, strict=True):
+                    if place:
+                        parts += [ids[at : ends[j] - sizes[j]], np.array(x[place][1], dtype=np.int32)]
+                        at = ends[j]
+                found.append((base + total, np.concatenate([*parts, ids[at:]]) if parts else ids))
+            out.append(found)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return decode(self.text_of, ids)
@@ -390,18 +409,23 @@ def decode(text_of: list[bytes], ids: list[int]) -> str:
     return data[1:]  # the space that encoding puts first
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32()))
+
+
 @lru_cache(maxsize=2)
 def _encoder(vocabulary: Vocabulary, n: int) -> Encoder:
     return Encoder(vocabulary, n)
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_BEST, model: str | None = None) -> DataFrame:
-    """The key, n_pieces, ids, nbest_scores (from the best on) and round_trip: whether the ids decode to the text."""
+    """The key, n_pieces, ids, nbest_ids and nbest_scores (from the best on, ``ids`` first) and round_trip: whether the ids decode to the text."""
     if n < 1:
         raise ValueError("n must be at least 1")
     source = documents.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    kind = source.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("nbest_scores", T.ArrayType(T.DoubleType(), False)), T.StructField("round_trip", T.BooleanType())])
+    ids_type = T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([T.StructField(key, source.schema[key].dataType), T.StructField("n_pieces", T.LongType()), T.StructField("ids", ids_type), T.StructField("nbest_ids", T.ArrayType(ids_type, False)), T.StructField("nbest_scores", T.ArrayType(T.DoubleType(), False)), T.StructField("round_trip", T.BooleanType())])
     vocabulary = source.sparkSession.sparkContext.broadcast(load(model or default_model()))  # 32,000 pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,13 +434,14 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 b = whole.slice(at, TEXTS_AT_ONCE)
                 texts = b.column(1).to_pylist()
-                ids, sizes, scores = encoder.texts(texts)
-                edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                listed = ids.tolist()
-                same = [encoder.decode(listed[x:y]) == (t or "").replace(SPACE, " ") for x, y, t in zip(edges[:-1].tolist(), edges[1:].tolist(), texts, strict=True)]
+                found = encoder.texts(texts)
+                best = [f[0][1] for f in found]
+                same = [encoder.decode(x.tolist()) == (t or "").replace(SPACE, " ") for x, t in zip(best, texts, strict=True)]
+                every = [ids for f in found for _, ids in f]
+                scores = pa.array([[score for score, _ in f] for f in found], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids, pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(same)],
-                    names=[key, "n_pieces", "ids", "nbest_scores", "round_trip"],
+                    [b.column(0), pa.array([len(x) for x in best], pa.int64()), _lists(best), pa.ListArray.from_arrays(scores.offsets, _lists(every)), scores, pa.array(same)],
+                    names=schema.names,
                 )
 
     return source.mapInArrow(run, schema)

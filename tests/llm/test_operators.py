@@ -281,14 +281,28 @@ def test_decontamination(spark, docs, nothing):
     assert decontamination.find(table(spark, rows), bench.where("false")).where(F.size("matches") > 0).count() == 0
 
 
-def test_hamming_blocks_find_all_within_radius():
+def test_the_index_finds_all_within_radius_and_leaves_most_out():
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 2, decontamination.BITS).astype(np.uint8)
-    for _ in range(200):
-        b = a.copy()
-        b[rng.choice(decontamination.BITS, decontamination.RADIUS, replace=False)] ^= 1
-        two = decontamination.blocks_of(np.stack([a, b]))
-        assert (two[0] == two[1]).any()
+    items = rng.integers(0, 2, (150, decontamination.BITS)).astype(np.uint8)
+    index = decontamination.MultiIndex(items)
+    for i in range(150):
+        b = items[i : i + 1].copy()
+        b[0, rng.choice(decontamination.BITS, decontamination.RADIUS, replace=False)] ^= 1
+        assert index.near(b)[0, i]
+    others = index.near(rng.integers(0, 2, (2000, decontamination.BITS)).astype(np.uint8))
+    assert others[:, :150].mean() < 0.35 and not others[:, 150:].any()
+
+
+def test_decontamination_in_parts(spark, docs, monkeypatch):
+    """Parts of a few items give what one gives; columns pass through."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    rows = table(spark, docs[:50] + [(900 + r["item_id"], "x " + r["text"]) for r in bench.collect()])
+    whole = decontamination.find(rows, bench)
+    monkeypatch.setattr(decontamination, "PART_ITEMS", 7)
+    parts = decontamination.find(rows, bench)
+    assert whole.columns == parts.columns == rows.columns[:6] + rows.columns[7:] + ["matches"]
+    listed = lambda df: {r["doc_id"]: sorted(map(tuple, r["matches"])) for r in df.collect()}
+    assert listed(whole) == listed(parts) and sum(map(len, listed(whole).values())) >= 40
 
 
 # 6. toxicity
@@ -314,9 +328,45 @@ def test_a_chain_feeds_earlier_probabilities():
         labels.append(int(bad))
     chain = toxicity.fit_rows(texts, labels)
     k = 1 + 2 * len(chain.columns)
-    assert [len(w) - k for w in chain.weights] == [0, 1, 2, 3]
+    assert [len(w) - k for w in chain.weights] == list(range(len(toxicity.CATEGORIES)))
     p = chain.probabilities(chain.features([chain.found({}, t) for t in ["you idiot", "you friend", ""]]))
     assert p[0, -1] > 0.5 > p[1, -1] and p[0, 0] > p[1, 0] and p[2, -1] < 0.5
+    chain.threshold = float(p[1, -1])  # a probability equal to the threshold rejects
+    assert (p[1:2, -1] >= chain.threshold).all()
+
+
+def test_out_of_fold_probabilities_are_those_of_other_rows():
+    rng = np.random.default_rng(5)
+    x = np.hstack([np.ones((40, 1)), rng.normal(size=(40, 3))])
+    y = (x[:, 1] + rng.normal(size=40) > 0).astype(float)
+    held = toxicity.out_of_fold(x, y)
+    for i in range(40):
+        others = [j for j in range(40) if j % toxicity.FOLDS != i % toxicity.FOLDS]
+        w = np.zeros(4)
+        for _ in range(4000):  # plain gradient ascent on the same penalised likelihood
+            p = 1 / (1 + np.exp(-x[others] @ w))
+            w += 0.02 * (x[others].T @ (y[others] - p) - np.array([1e-2, 1, 1, 1]) * toxicity.RIDGE * w)
+        assert held[i] == pytest.approx(1 / (1 + math.exp(-x[i] @ w)), abs=2e-3)
+
+
+def test_toxicity_query_is_the_chain_on_every_text(spark, docs):
+    """The query's numbers are those of the links, taken one by one over plainly counted stems."""
+    documents, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    chain = toxicity.fit(documents, labels)
+    k = len(chain.columns)
+    got = {r["doc_id"]: r for r in QUERIES["op6_toxicity"](spark, DATA).collect()}
+    for i, t in docs:
+        ws = toxicity.words_of(t)
+        counts = Counter(s for w in ws for s in toxicity.stems(w) if s in chain.columns)
+        earlier = []
+        for name, w in zip(toxicity.CATEGORIES, chain.weights, strict=True):
+            z = w[0] + sum(w[1 + chain.columns[s]] + w[1 + k + chain.columns[s]] * min(3.0, n * 100 / (len(ws) + 50)) for s, n in counts.items())
+            z += sum(w[1 + 2 * k + j] * x for j, x in enumerate(earlier))
+            p = 1 / (1 + math.exp(-max(-40, min(40, z))))
+            assert got[i][name if name == "toxicity" else f"p_{name}"] == pytest.approx(p, abs=1e-6)
+            q = min(max(p, 1e-4), 1 - 1e-4)
+            earlier.append(math.log(q / (1 - q)))
+        assert got[i]["toxic"] == (got[i]["toxicity"] >= toxicity.THRESHOLD)
 
 
 # 7. lines

@@ -5,13 +5,13 @@ and the probabilities of the categories before it. A later link is trained with
 out-of-fold probabilities of the earlier ones, so that it sees them as they are on new texts.
 The last category is the label itself.
 
-Training categories come from the labelled rows: a toxic text is an insult or contempt if it
-holds a listed word of that kind, and implicit if it holds none. They shape the chain only;
-all links are learned and score stems the lists don't have.
+The labels have one column, so the categories are learned too: the toxic training texts are clustered by the
+stems they share, in KINDS groups, from the largest on. No word is listed anywhere.
 
 Defined cases: a null or empty text has no stems, so its probabilities are those of the
 intercepts; without labels of both kinds every probability is the share of positive labels.
-Repeated rows are scored each on its own. Other columns are passed through ``score`` unless they
+Texts are scored whole, however long; a probability equal to the threshold rejects. Repeated rows are scored each on its own,
+an empty table gives an empty one. Other columns are passed through ``score`` unless they
 have the name of an output column.
 """
 
@@ -38,12 +38,9 @@ RIDGE = 1.0
 #: A text is rejected from this probability of the last category on.
 THRESHOLD = 0.5
 
-#: Words that place a toxic training text in a category.
-CATEGORY_WORDS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting"),
-}
-CATEGORIES = ("insult", "contempt", "implicit", "toxicity")
+#: Groups of toxic training texts: the chain's first categories.
+KINDS = 3
+CATEGORIES = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxicity")
 
 _PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 _CACHE_WORDS = 200_000
@@ -154,29 +151,56 @@ def select_stems(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     return {s: i for i, (_, s) in enumerate(sorted(ranked)[:STEMS])}
 
 
+def clusters(presence: np.ndarray, k: int = KINDS) -> np.ndarray:
+    """A group for each row, by cosine similarity to the groups' means; the first centre is the mean, each further one the row least like those before.
+
+    Rows without any stem are of the first group. Groups are numbered from the largest on.
+    """
+    x = presence / np.maximum(np.sqrt(presence.sum(axis=1, keepdims=True)), 1)
+    centres = [x.mean(axis=0)]
+    while len(centres) < k:
+        unit = np.stack([c / max(np.linalg.norm(c), 1e-9) for c in centres])
+        centres.append(x[int((x @ unit.T).max(axis=1).argmin())])
+    group = np.zeros(len(x), dtype=int)
+    for _ in range(30):
+        unit = np.stack([c / max(np.linalg.norm(c), 1e-9) for c in centres])
+        now = (x @ unit.T).argmax(axis=1)
+        if (now == group).all():
+            break
+        group = now
+        centres = [x[group == g].mean(axis=0) if (group == g).any() else centres[g] for g in range(k)]
+    order = np.argsort(-np.bincount(group, minlength=k), kind="stable")
+    return np.argsort(order)[group]
+
+
+def out_of_fold(inputs: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each row's probability by a regression on the other folds' rows; row i is of fold i mod FOLDS."""
+    fold, held = np.arange(len(y)) % FOLDS, np.empty(len(y))
+    for f in range(FOLDS):
+        away = fold == f
+        if away.any():
+            held[away] = _sigmoid(inputs[away] @ _regress(inputs[~away], y[~away])) if (~away).any() else y.mean()
+    return held
+
+
 def fit_rows(texts: list[str], labels: list[int]) -> Chain:
     toxic = np.asarray(labels, dtype=int)
     chain = Chain(select_stems(texts, toxic) if len(texts) else {})
     if not len(texts):
         chain.weights = [np.array([0.0] * (1 + 2 * len(chain.columns) + i)) for i in range(len(CATEGORIES))]
         return chain
-    marks = {c: np.array([bool(y) and not set(CATEGORY_WORDS[c]).isdisjoint(words_of(t)) for y, t in zip(toxic, texts, strict=True)]) for c in CATEGORY_WORDS}
-    marks["implicit"] = (toxic == 1) & ~np.logical_or.reduce(list(marks.values()))
-    marks["toxicity"] = toxic == 1
     cache: dict[str, tuple[int, ...]] = {}
     x = chain.features([chain.found(cache, t) for t in texts])
+    group = np.full(len(texts), -1)
+    if toxic.any():
+        group[toxic == 1] = clusters(x[toxic == 1, 1 : 1 + len(chain.columns)])
+    marks = [group == g for g in range(KINDS)] + [toxic == 1]
     earlier = np.empty((len(texts), 0))
-    fold = np.arange(len(texts)) % FOLDS
-    for category in CATEGORIES:
-        y = marks[category].astype(float)
+    for mark in marks:
+        y = mark.astype(float)
         inputs = np.hstack([x, _logits(earlier)])
         chain.weights.append(_regress(inputs, y))
-        held = np.empty(len(texts))
-        for f in range(FOLDS):
-            away = fold == f
-            rest = _regress(inputs[~away], y[~away]) if (~away).any() else chain.weights[-1]
-            held[away] = _sigmoid(inputs[away] @ rest)
-        earlier = np.column_stack([earlier, held])
+        earlier = np.column_stack([earlier, out_of_fold(inputs, y)])
     return chain
 
 

@@ -1,21 +1,23 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
 An item of n words is sought in every window of n words of a text. A window's fingerprint is
-the SimHash of its weighted five-word shingles. Fingerprints are cut into RADIUS + 1 blocks;
-two that differ in at most RADIUS bits share a block, so comparing by blocks finds all of
-them. Windows found get the exact weighted Jaccard similarity of their shingles with the item's.
+the SimHash of its weighted five-word shingles. Fingerprints are cut into BLOCKS blocks; two that differ in at most
+RADIUS bits differ in at most RADIUS / BLOCKS bits in some block. So the index has for each block a table from every
+value to the items within that many bits of it: a window looks up its values and gets all items within
+RADIUS. These get their Hamming distance, then the exact weighted Jaccard similarity of the shingles.
 
-Windows without any shingle of an item of their size have similarity 0 with all of them. Their
-fingerprints are left out: words of a text are first looked up among the words of the items.
+Windows without any shingle of an item of their size have similarity 0 with all of them, so no fingerprint could
+make them a match: their fingerprints are left out, by a look-up of the text's shingles among the items'.
 
 Shingles in fewer items weigh more: ln(1 + items / items with it), for others ln(1 + items).
 
-The items are a query set. It goes to the executors in blocks of bounded size, each of which meets
-all texts; nothing of the texts is collected.
+The items are a query set. It goes to the executors in parts of bounded size; a text is cut to words once and
+meets each part. Nothing of the texts is collected.
 
 Defined cases: null and empty texts and items match nothing; an item (or window) of under five words has
-one shingle, of all its words; a text shorter than an item is one window. Repeated rows of either table
-count each on its own. Extra columns of the items are left out, those of the documents pass through
+one shingle, of all its words; a text shorter than an item is one window. Texts and items of any length are taken
+whole. Of windows equally similar the first is given; a similarity of exactly 0.8 matches. Empty tables match nothing.
+Repeated rows of either table count each on its own. Extra columns of the items are left out, those of the documents pass through
 unless they have the name of an output column.
 """
 
@@ -38,13 +40,16 @@ SIMILARITY = 0.8
 BITS = 128
 #: Two fingerprints of similarity 0.8 differ in about 20 of 128 bits, with a deviation of 4.
 RADIUS = 39
-#: Items that are sent at once, by bytes of text.
-BLOCK_BYTES = 4_000_000
+BLOCKS = 8
+#: A part of the items has at most so many bytes of text and so many items (a bit each in the tables: 67 MB).
+PART_BYTES = 4_000_000
+PART_ITEMS = 1024
 #: Windows whose fingerprints are held at once.
 WINDOWS_AT_ONCE = 2048
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
-_EDGES = np.linspace(0, BITS, RADIUS + 2).astype(int)
+#: Differences of two 16-bit values in at most RADIUS // BLOCKS bits.
+_NEAR = np.flatnonzero(np.bitwise_count(np.arange(65536, dtype=np.uint16)) <= RADIUS // BLOCKS).astype(np.uint16)
 MATCH = "array<struct<item_id:long,start:int,end:int,similarity:double>>"
 
 
@@ -83,15 +88,30 @@ def signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(bits: np.ndarray) -> np.ndarray:
-    """The value of each block of each fingerprint."""
-    out = np.empty((len(bits), RADIUS + 1), dtype=np.uint8)
-    for j, (a, b) in enumerate(zip(_EDGES[:-1], _EDGES[1:], strict=True)):
-        out[:, j] = bits[:, a:b] @ (1 << np.arange(b - a)).astype(np.uint8)
-    return out
+    """The 16-bit value of each block of each fingerprint."""
+    return np.packbits(bits, axis=1).view(">u2").astype(np.uint16)
+
+
+class MultiIndex:
+    """For each block and value the items near it, a bit for each item in words of 64."""
+
+    def __init__(self, bits: np.ndarray):
+        self.table = np.zeros((BLOCKS, 65536, (len(bits) + 63) // 64), dtype=np.uint64)
+        for i, values in enumerate(blocks_of(bits).tolist()):
+            for block, value in enumerate(values):
+                self.table[block, _NEAR ^ np.uint16(value), i // 64] |= np.uint64(1 << i % 64)
+
+    def near(self, bits: np.ndarray) -> np.ndarray:
+        """Whether each item shares a near block with each fingerprint: a row for each fingerprint."""
+        values = blocks_of(bits)
+        found = self.table[0, values[:, 0]]
+        for block in range(1, BLOCKS):
+            found = found | self.table[block, values[:, block]]
+        return np.unpackbits(found.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
 class Index:
-    """A block of items, by their size."""
+    """A part of the items, by their size."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], weight: dict[int, float], other: float):
         self.place: dict[bytes, int] = {}
@@ -103,7 +123,7 @@ class Index:
         by_size: defaultdict[int, list[tuple[int | None, list[bytes]]]] = defaultdict(list)
         for item in items:
             by_size[len(item[1])].append(item)
-        self.sizes = {}
+        self.sizes, every = {}, []
         owners: defaultdict[tuple[int, int], set[int]] = defaultdict(set)  # (shingle length, shingle) -> sizes
         for n, some in by_size.items():
             k = min(SHINGLE, n)
@@ -114,12 +134,20 @@ class Index:
                 for x in sets[-1]:
                     owners[k, x].add(n)
             bits = np.stack([self.fingerprint(np.array(sorted(s), dtype=np.uint64)) for s in sets])
-            self.sizes[n] = ([i for i, _ in some], sets, bits, blocks_of(bits))
+            self.sizes[n] = ([i for i, _ in some], sets, bits, sum(map(len, every)))
+            every.append(bits)
+        self.bits, self.index = np.concatenate(every), None
         self.owners = {}
         for k in {k for k, _ in owners}:
             keys = sorted(x for kk, x in owners if kk == k)
             self.owners[k] = (np.array(keys, dtype=np.uint64), [sorted(owners[k, x]) for x in keys])
 
+    def multi_index(self) -> MultiIndex:
+        """Made where it is used: its tables are larger than the items."""
+        if self.index is None:
+            self.index = MultiIndex(self.bits)
+        return self.index
+
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         return np.array([self.weight.get(x, self.other) for x in shingles.tolist()], dtype=np.float32)
 
@@ -165,7 +193,7 @@ class Index:
         np.add.at(reach, np.clip(found - n + k, 0, last), 1)
         np.add.at(reach, np.clip(found, 0, last) + 1, -1)
         every = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
-        item_ids, sets, bits, blocks = self.sizes[n]
+        item_ids, sets, bits, first = self.sizes[n]
         best: dict[int, tuple[float, int]] = {}
         cuts = np.flatnonzero(np.diff(every, prepend=-1 - n) > n)
         for run in np.split(every, cuts[1:]):
@@ -178,9 +206,9 @@ class Index:
                 size = min(n, len(ws)) - k + 1
                 total = self._window_sums(h, values, part - lo, size)
                 own = (total > 0).astype(np.uint8)
-                own_blocks = blocks_of(own)
-                for i in range(len(item_ids)):
-                    near = np.flatnonzero((own_blocks == blocks[i]).any(axis=1))
+                candidates = self.multi_index().near(own)[:, first : first + len(item_ids)]
+                for i in np.flatnonzero(candidates.any(axis=0)).tolist():
+                    near = np.flatnonzero(candidates[:, i])
                     near = near[np.count_nonzero(own[near] != bits[i], axis=1) <= RADIUS]
                     for j in near.tolist():
                         a = int(part[j]) - lo
@@ -215,19 +243,21 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     for item in items:
         part.append(item)
         size += sum(map(len, item[1]))
-        if size >= BLOCK_BYTES:
+        if size >= PART_BYTES or len(part) >= PART_ITEMS:
             out.append(Index(part, weight, other))
             part, size = [], 0
     return [*out, Index(part, weight, other)] if part else out
 
 
-def _finder(shared):
+def _finder(shared: list):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("similarity", pa.float64())]))
     names = ("item_id", "start", "end", "similarity")
 
     @F.arrow_udf(MATCH)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(names, m, strict=True)) for m in shared.value.matches(words(t))] for t in texts.to_pylist()], kind)
+        parts = [x.value for x in shared]
+        cut = map(words, texts.to_pylist())
+        return pa.array([[dict(zip(names, m, strict=True)) for part in parts for m in part.matches(ws)] for ws in cut], kind)
 
     return run
 
@@ -236,8 +266,7 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns given, with matches: for each item found its best window (in words) and similarity."""
     kept = [c for c in documents.columns if c != "matches"]
     shared = [documents.sparkSession.sparkContext.broadcast(x) for x in indexes(benchmark)]
-    columns = [_finder(x)(F.col("text").cast("string")) for x in shared]
-    found = F.concat(*columns) if columns else F.array().cast(MATCH)
+    found = _finder(shared)(F.col("text").cast("string")) if shared else F.array().cast(MATCH)
     return documents.select(*kept, found.alias("matches"))
 
 

@@ -3,13 +3,15 @@
 From each rule's regular expression a Boolean query of trigrams is derived: alternatives of sets of
 trigrams that a match must hold. Postings (trigram, text) are kept for the trigrams of the queries; a
 text is a candidate for a rule if the postings of one of its alternatives meet there. Candidates are
-verified with the expression; a rule whose expression has no mandatory trigram scans all texts.
+verified with the expression, and only their texts are joined with the postings; a rule whose expression has no
+mandatory trigram scans all texts where they are read.
 
 All of it is DataFrame functions: texts are matched in the JVM, and postings meet by grouping. A
 match's place follows from the lengths of the pieces between matches.
 
 Defined cases: a null text counts as empty and has no spans; a null id is an id like others; each
-repeated row is scanned on its own. Extra columns are left out. Trigrams are those of the text
+repeated row has its own result. Texts of any length are scanned whole; spans that start together are in the order
+of the rules. An empty table gives an empty one. Extra columns are left out. Trigrams are those of the text
 in lower case, so a letter that lower-cases to ASCII can make a candidate, never a match.
 """
 
@@ -22,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import materialize, table
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,8 @@ RULES = BASE + FURTHER
 #: Alternatives that a query may have, and characters that a class may have to be spelled out.
 MOST_ALTERNATIVES = 64
 MOST_CHARACTERS = 8
+#: Candidates that may be broadcast: a hash and a few numbers each.
+BROADCAST_ROWS = 1_000_000
 
 Query = tuple[frozenset[str], ...]
 
@@ -177,10 +181,18 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # Rows of equal key have equal texts but for a collision, which makes candidates only.
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    joined = texts.join(candidates(texts, queries), "key", "left") if queries else texts.withColumn("rules", F.lit(None).cast("array<int>"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    lists = [F.when(F.array_contains("rules", F.lit(i)), _spans(F.col("text"), r, i)).otherwise(empty) if i in queries else _spans(F.col("text"), r, i) for i, r in enumerate(rules)]
-    return joined.select("doc_id", F.array_sort(F.concat(*lists)).alias("found"))
+    plain = [_spans(F.col("text"), r, i) for i, r in enumerate(rules) if i not in queries]
+    every = texts.select("doc_id", "key", F.concat(empty, *plain).alias("plain"))
+    if not queries:
+        return every.select("doc_id", F.array_sort("plain").alias("found"))
+    met = materialize(candidates(texts, queries), "candidates")
+    few = met.count() <= BROADCAST_ROWS
+    lists = [F.when(F.array_contains("rules", F.lit(i)), _spans(F.col("text"), rules[i], i)).otherwise(empty) for i in queries]
+    hits = texts.select("key", "text").join(F.broadcast(met) if few else met, "key").select("key", F.concat(*lists).alias("hits"))
+    hits = hits.where(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"))  # repeated rows have equal ones
+    joined = every.join(hits, "key", "left")
+    return joined.select("doc_id", F.array_sort(F.concat("plain", F.coalesce("hits", empty))).alias("found"))
 
 
 def _written(found: Column, rules: tuple[Rule, ...]) -> Column:

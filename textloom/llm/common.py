@@ -24,10 +24,12 @@ def words(text: str | None) -> list[bytes]:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that is unset, as in local tests, a folder of this machine is taken.
+    Only where that is unset and all of Spark runs on this machine, as in local tests, a folder of the machine is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"

@@ -122,17 +122,15 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def first_pairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, agree) of each line with the first of its bucket, and the lines of the buckets of over two: (v, n, band, own)."""
-    rows = lines.select("id", "s0", "s1", F.posexplode("bands").alias("band", "v"))
-    buckets = rows.groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), F.bit_xor("s0").alias("x0"), F.bit_xor("s1").alias("x1"))
-    # Most buckets have one line; one of two is a pair, and its xor says how far the two agree.
-    buckets = materialize(buckets.where("n > 1").withColumn("agree", _agreement(F.col("x0"), F.col("x1"))).where((F.col("n") > 2) | (F.col("agree") >= AGREE)).select("v", "n", "a", "b", "agree"), "buckets")
-    two = buckets.where("n = 2").select("a", "b", "agree")
-    several = bounded(buckets.where("n > 2").select("v", "n"))
-    members = materialize(rows.join(several, "v").select("v", "n", "band", F.struct("id", "s0", "s1").alias("own")), "members")
+    """(a, b, agree) of each line with the first of its bucket, and the lines of all buckets of more than one: (v, n, band, own)."""
+    # Buckets of one line, which are most, go before rows with signatures are made.
+    counts = lines.select(F.explode("bands").alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    several = bounded(materialize(counts, "buckets"))
+    rows = lines.select(F.posexplode("bands").alias("band", "v"), F.struct("id", "s0", "s1").alias("own"))
+    members = materialize(rows.join(several, "v").select("v", "n", "band", "own"), "members")
     leader = F.first("own").over(Window.partitionBy("v").orderBy("own.id"))
-    star = members.withColumn("first", leader).where("own.id != first.id").select(F.col("own.id").alias("a"), F.col("first.id").alias("b"), _both("own", "first").alias("agree")).where(F.col("agree") >= AGREE)
-    return two.unionByName(star).distinct(), members
+    star = members.withColumn("first", leader).where("own.id != first.id").select(F.col("own.id").alias("a"), F.col("first.id").alias("b"), _both("own", "first").alias("agree"))
+    return star.where(F.col("agree") >= AGREE).distinct(), members
 
 
 def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:

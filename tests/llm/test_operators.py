@@ -216,6 +216,34 @@ def test_near_components(spark, docs, k):
     assert got == near_by_hand(rows, k)
 
 
+@pytest.mark.parametrize("crowd", [10, 1000])
+def test_links_inside_a_dense_region_are_found(spark, monkeypatch, crowd):
+    """Documents of one template, none of them similar enough to another but for one partner each: far more than are in reach."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    random.seed(31)
+    template = [f"w{i}" for i in range(300)]
+
+    def changed(ws, times):
+        ws = list(ws)
+        for at in random.sample(range(len(ws)), times):
+            ws[at] = f"c{random.randrange(10**9)}"
+        return ws
+
+    rows = []
+    for n in range(150):
+        own = changed(template, 12)
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(changed(own, 14)))]
+    want = near_by_hand(rows, 2)
+    assert len({c for _, c in want.values()}) > 140
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_components(table(spark, rows), 2).collect()}
+    assert got == want
+    # Without the first look, all links come from the regions.
+    plain = neardup.neighbours
+    monkeypatch.setattr(neardup, "neighbours", lambda rows: plain(rows).where("tree is not null"))
+    alone = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_components(table(spark, rows), 2).collect()}
+    assert alone == want
+
+
 def test_near_on_edges(spark, edges, nothing):
     out = neardup.near_components(edges, 2).collect()
     assert len(out) == len(EDGES)

@@ -10,8 +10,14 @@ Orders are dealt to tasks by range of the sorted signatures, so a large group of
 spread like others. First each vertex's likeliest candidates are verified, then those that
 still join two components; pairs within a component can't change the result.
 
+REACH bounds the first look only. A region is what shares MIN_PREFIX values in an order. Those of more vertices than
+are in reach, or cut by the edge of a task, are looked at again where they still hold several components: all
+vertices outside a region's largest component meet all of other components, by all values of their signatures.
+Where very many vertices are nearly alike and yet in different components, this takes time in the square of their number.
+
 Defined cases: a text without words has the empty set and links with nothing; one with fewer words than
-a shingle has one shingle, of all its words. A null id is in its set's component but never its name; where a set
+a shingle has one shingle, of all its words. A text of any length is taken whole. Of equal prefixes the smaller id comes
+first. An empty table gives an empty one. A null id is in its set's component but never its name; where a set
 has null ids only, component_id is null. Repeated rows link. Other columns are left out.
 """
 
@@ -32,12 +38,17 @@ from textloom.llm.components import components
 TREES = 20
 DEPTH = 8
 MIN_PREFIX = 3
-#: Neighbours on one side in an order.
+#: Neighbours on one side in an order that are looked at first.
 REACH = 5
 SKETCH = 64
 #: Of the sketch's four-bit values this share agrees, at least, in a candidate. At similarity 0.8 it is 0.81 on average with a deviation of 0.05.
 SKETCH_SHARE = 0.58
 SIMILARITY = (4, 5)
+#: Places of two whole signatures (four bits each) that agree, at least, in a candidate of a dense region: at similarity 0.8 130 on average with a deviation of 4.9.
+AGREE = 109
+#: Regions of more vertices are dealt to SALTS tasks.
+CROWD = 1000
+SALTS = 32
 #: Likeliest candidates of a vertex that are verified first.
 FIRST = 2
 #: Ids that may be broadcast: 8 bytes each.
@@ -118,16 +129,38 @@ def orders(vertices: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(a, b, share): neighbours in any order of which the sketch allows a link."""
+    """Neighbours in any order of which the sketch allows a link, as (a, b, share), and regions as (tree, prefix, n).
+
+    A task gives the regions of more rows than are in reach, and its first and last one, which may go on in another task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, region, size, first = None, None, 0, True
+
+        def ended() -> list[tuple]:
+            return [(region[0], region[1], size)] if region is not None and (first or size > REACH + 1) else []
+
         for b in batches:
             if not len(b):
                 continue
             tree, ids = b["tree"].to_numpy(), b["id"].to_numpy()
             label = np.frombuffer(b"".join(b["label"]), dtype=np.uint8).reshape(len(b), -1)
             sketch = np.frombuffer(b"".join(b["sketch"]), dtype=np.uint8).reshape(len(b), -1)
+            prefix = label[:, : 2 * MIN_PREFIX]
+            starts = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]).any(axis=1))))
+            lengths = np.diff(np.append(starts, len(b)))
+            regions = []
+            # Whole regions inside the batch that are in reach need no look one by one.
+            for at in np.flatnonzero((lengths > REACH + 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)).tolist():
+                name = (int(tree[starts[at]]), prefix[starts[at]].tobytes())
+                if name == region:
+                    size += int(lengths[at])
+                    continue
+                regions += ended()
+                first = first and region is None
+                region, size = name, int(lengths[at])
+            if regions:
+                yield pd.DataFrame(regions, columns=["tree", "prefix", "n"])
             if held is not None:
                 tree, ids, label, sketch = (np.concatenate(x) for x in zip(held, (tree, ids, label, sketch), strict=True))
             old = 0 if held is None else len(held[0])
@@ -144,10 +177,99 @@ def neighbours(rows: DataFrame) -> DataFrame:
             if out:
                 pairs = pd.concat(out)
                 yield pairs[pairs["a"] != pairs["b"]].drop_duplicates(["a", "b"])
+        first = True
+        if last := ended():
+            yield pd.DataFrame(last, columns=["tree", "prefix", "n"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in run(batches):
+            yield b.reindex(columns=["a", "b", "share", "tree", "prefix", "n"]).astype({"a": "Int64", "b": "Int64", "tree": "Int32", "n": "Int64"})
 
     partitions = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(partitions, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    return ranged.mapInPandas(run, "a long, b long, share double").groupBy("a", "b").agg(F.max("share").alias("share"))
+    return ranged.mapInPandas(whole, "a long, b long, share double, tree int, prefix binary, n long")
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """For a join: broadcast if the table, which is counted, is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def crowded_regions(found: DataFrame) -> DataFrame:
+    """(tree, prefix) of regions with pairs that weren't in reach: too many rows, or in several tasks."""
+    sums = found.where("tree is not null").groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("tasks"))
+    return sums.where((F.col("n") > REACH + 1) | ((F.col("tasks") > 1) & (F.col("n") > 1))).select("tree", "prefix")
+
+
+def open_regions(vertices: DataFrame, regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """The vertices of regions that hold several components: (tree, prefix, id, root, main, n)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                s = np.frombuffer(b"".join(b["signature"]), dtype=np.uint8).reshape(len(b), TREES, 2 * DEPTH)
+                for t in range(TREES):
+                    yield pd.DataFrame({"tree": np.full(len(b), t, dtype=np.int32), "prefix": [x[: 2 * MIN_PREFIX].tobytes() for x in s[:, t]], "id": b["id"]})
+
+    rows = vertices.select("id", "signature").mapInPandas(run, "tree int, prefix binary, id long")
+    rows = materialize(rows.join(bounded(regions), ["tree", "prefix"]), "regions")
+    rows = rows.join(roots, "id", "left").select("tree", "prefix", "id", F.coalesce("root", "id").alias("root"))
+    sizes = rows.groupBy("tree", "prefix", "root").agg(F.count("*").alias("k")).groupBy("tree", "prefix")
+    sizes = sizes.agg(F.count("*").alias("roots"), F.sum("k").alias("n"), F.max_by("root", F.struct("k", "root")).alias("main"))
+    several = materialize(sizes.where("roots > 1").select("tree", "prefix", "n", "main"), "open")
+    return materialize(rows.join(bounded(several), ["tree", "prefix"]), "shared")
+
+
+_WORDS = [f"w{i}" for i in range(_VALUES // 16)]
+
+
+def nibbles(vertices: DataFrame) -> DataFrame:
+    """id, n_shingles and four bits of each value of the signature, sixteen to a number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                low = np.frombuffer(b"".join(b["signature"]), dtype=np.uint8).reshape(len(b), _VALUES, 2)[:, :, 1] & 15
+                packed = np.ascontiguousarray((low[:, 0::2] << 4) | low[:, 1::2]).view("<i8")
+                yield pd.DataFrame({"id": b["id"], "n_shingles": b["n_shingles"], **{w: packed[:, i] for i, w in enumerate(_WORDS)}})
+
+    return vertices.select("id", "n_shingles", "signature").mapInPandas(run, "id long, n_shingles long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def region_pairs(shared: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(a, b, share) of open regions: vertices of different components that may be similar, one of them outside the region's largest."""
+    ids = materialize(shared.select("id").distinct(), "ids")
+    own = nibbles(vertices.join(bounded(ids), "id", "left_semi"))
+    rows = materialize(shared.join(own, "id"), "members")
+    side = lambda c: F.struct("id", "root", "n_shingles", *_WORDS).alias(c)
+    crowded = F.col("n") > CROWD
+    x = rows.where("root != main").select("tree", "prefix", F.when(crowded, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), side("x"))
+    salts = F.when(crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    y = rows.select("tree", "prefix", F.explode(salts).alias("salt"), side("y"))
+    agree = F.lit(_VALUES)
+    for w in _WORDS:
+        z = F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        agree = agree - F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    top, bottom = SIMILARITY
+    # Sets of too different sizes can't be similar.
+    sizes = F.least("x.n_shingles", "y.n_shingles") * bottom >= F.greatest("x.n_shingles", "y.n_shingles") * top
+    pairs = x.join(y, ["tree", "prefix", "salt"]).where(F.col("x.root") != F.col("y.root")).where(sizes).where(agree >= AGREE)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), (agree / _VALUES).alias("share")).distinct()
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """The pair (a, b) of each vertex with the largest share."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "share")
+    best = ends.groupBy("e.id").agg(F.max_by("e.other", F.struct("share", "e.other")).alias("other"))
+    return best.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose vertices aren't in one component yet."""
+    root = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
+    return pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,7 +290,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def full_sets(documents: DataFrame, vertices: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def full_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The shingles of the vertices in ``ids``, read again from their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,31 +298,38 @@ def full_sets(documents: DataFrame, vertices: DataFrame, ids: DataFrame, k: int)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(words(t), k, hashes).astype("<u8").tobytes() for t in b["text"]]})
 
-    n = ids.count()
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi")
-    return rows.mapInPandas(run, "id long, shingles binary").dropDuplicates(["id"]) if vertices is None else rows.mapInPandas(run, "id long, shingles binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(bounded(ids), "id", "left_semi")
+    return rows.mapInPandas(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def near_components(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = materialize(described(documents, k), "described")
-    whole = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"))
+    whole = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     whole = materialize(whole, "sets")
-    vertices = whole.select("id", "signature")
+    vertices = whole.select("id", "signature", "n_shingles")
     # An id with several texts is one vertex; the set of its first text is compared.
-    pairs = materialize(neighbours(orders(vertices)), "pairs")
+    found = materialize(neighbours(orders(vertices.select("id", "signature"))), "found")
+    pairs = materialize(found.where("a is not null").groupBy("a", "b").agg(F.max("share").alias("share")), "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = materialize(full_sets(documents, None, ids, k), "shingles")
+    sets = materialize(full_sets(documents, ids, k), "shingles")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "share", "a", "b")
-    likeliest = ends.withColumn("n", F.row_number().over(Window.partitionBy("e.id").orderBy(F.desc("share"), "e.other"))).where(F.col("n") <= FIRST).select("a", "b").distinct()
-    links = materialize(verify(likeliest, sets), "links")
-    first = components(links)
-    root = lambda c, to: first.select(F.col("id").alias(c), F.col("root").alias(to))
-    open_ = pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = materialize(verify(open_, sets), "links")
-    last = components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = whole.select("set_key", "id").join(last, "id", "left").select("set_key", F.coalesce("root", "id").alias("component_id"))
+    first = ends.withColumn("n", F.row_number().over(Window.partitionBy("e.id").orderBy(F.desc("share"), "e.other"))).where(F.col("n") <= FIRST).select("a", "b").distinct()
+    roots = components(materialize(verify(first, sets), "links"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        links = materialize(links, "links")
+        return roots if links.isEmpty() else components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+    roots = joined(verify(across(pairs, roots), sets))
+    shared = open_regions(vertices, materialize(crowded_regions(found), "crowded"), roots)
+    further = materialize(region_pairs(shared, vertices).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "further")
+    if not further.isEmpty():
+        more = further.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id", "left_anti")
+        sets = sets.unionByName(materialize(full_sets(documents, materialize(more, "ids"), k), "shingles"))
+        roots = joined(verify(likeliest(further), sets))
+        roots = joined(verify(across(further, roots), sets))
+    named = whole.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as fn
 from textloom.operators import events, merge, retrieval, rules, structure
 from textloom.operators.identifiers import top_identifiers
+from textloom.sources import corpus as lines
 from textloom.sources import tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,26 +142,34 @@ def approx_tokens(spark, sf_dir):
 @query("SELECT event_id, coalesce(list_contains(json_keys(props), 'page'), false) AS has_page, props->>'$.page' AS page FROM events")
 def json_presence(spark, sf_dir):
     rows = read(spark, sf_dir, "events")
-    return rows.select("event_id", F.coalesce(F.array_contains(F.json_object_keys("props"), "page"), F.lit(False)).alias("has_page"), F.get_json_object("props", "$.page").alias("page"))
+    return rows.select("event_id", lines.has_field("props", "page").alias("has_page"), F.get_json_object("props", "$.page").alias("page"))
 
 
-# Documents as an old corpus: two entries a source file, of which every third file was processed anew.
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_index, sha256(coalesce(text, '')) AS text_hash FROM documents WHERE lang <> 'fr'")
+def corpus_load(spark, sf_dir):
+    """Documents as lines of a corpus; those in French are records without a text, which the corpus passes over."""
+    record = F.when(F.col("lang") == "fr", F.to_json(F.struct("doc_id", "lang"))).otherwise(F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"}))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), record.alias("value"))
+    return lines.texts(rows).select("doc_index", F.sha2("text", 256).alias("text_hash"))
+
+
+# Documents as an old corpus: three entries a source file. In the new state every 'é' is an 'e', and files in whose own entry there is one were changed.
 _OLD = """old AS (SELECT doc_id AS pos, CASE doc_id % 3 WHEN 0 THEN 'f' || (doc_id // 3) || '.txt.file' WHEN 1 THEN 'f' || (doc_id // 3) || '.txt.Part.class' ELSE 'f' || (doc_id // 3) || '.txt.run' END AS id, sha256(text) AS hash, text AS json FROM documents),
-    p AS (SELECT 'f' || (doc_id // 3) || '.txt.file' AS id FROM documents WHERE doc_id % 9 = 0)"""
+    p AS (SELECT pos, id, replace(json, 'é', 'e') AS json FROM old WHERE ends_with(id, '.file') AND sha256(replace(json, 'é', 'e')) <> hash)"""
 
 
 @query(f"""WITH {_OLD}, k AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = o.id OR (o.id NOT LIKE '%.file' AND starts_with(o.id, left(p.id, length(p.id) - 5) || '.'))))
     SELECT 1 AS section, lpad(pos::varchar, 20, '0') AS ord, 0::bigint AS sub, sha256(json) AS json_hash FROM k
-    UNION ALL SELECT 2, '/data/f' || (doc_id // 3) || '.txt', doc_id, sha256('new' || doc_id) FROM documents WHERE doc_id % 9 = 0""")
+    UNION ALL SELECT 2, '/data/' || left(id, length(id) - 5), pos, sha256(json) FROM p""")
 def corpus_merge(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     file = F.concat(F.lit("f"), F.expr("doc_id div 3").cast("string"), F.lit(".txt"))
     suffix = F.when(F.col("doc_id") % 3 == 0, ".file").when(F.col("doc_id") % 3 == 1, ".Part.class").otherwise(".run")
     existing = docs.select(F.col("doc_id").alias("pos"), F.concat(file, suffix).alias("id"), F.sha2("text", 256).alias("hash"), F.col("text").alias("json"))
-    again = docs.where("doc_id % 9 = 0")
-    processed = again.select(F.concat(file, F.lit(".file")).alias("id"))
-    new = again.select(F.concat(F.lit("/data/"), file).alias("abs_path"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("json"))
-    return merge.merge(existing, processed, new).select("section", "ord", "sub", F.sha2("json", 256).alias("json_hash"))
+    files = existing.where(F.col("id").endswith(".file")).select("pos", "id", F.replace("json", F.lit("é"), F.lit("e")).alias("json"))
+    again = merge.changed_files(files.withColumn("hash", F.sha2("json", 256)), existing)
+    new = again.select(F.concat(F.lit("/data/"), F.expr("substring(id, 1, length(id) - 5)")).alias("abs_path"), F.col("pos").alias("ordinal"), "json")
+    return merge.merge(existing, again.select("id"), new).select("section", "ord", "sub", F.sha2("json", 256).alias("json_hash"))
 
 
 @query("SELECT source || '-' || lang AS id, min(doc_id) AS pos, arg_max(sha256(text), doc_id) AS hash FROM documents GROUP BY ALL")
@@ -170,10 +179,11 @@ def dedupe_last_wins(spark, sf_dir):
     return merge.last_wins(entries).select("id", "pos", "hash")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) OR doc_id % 2 = 1")
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND sha256(e.text) = sha256(replace(d.text, 'é', 'e')))")
 def changed_files(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("hash"))
-    return merge.changed_files(docs, docs.where("doc_id % 2 = 0")).select("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")
+    now = docs.withColumn("hash", F.sha2(F.replace("text", F.lit("é"), F.lit("e")), 256))
+    return merge.changed_files(now, docs.withColumn("hash", F.sha2("text", 256))).select("doc_id")
 
 
 _PATH = "regexp_replace(url, '^[a-z]+://', '')"
@@ -251,6 +261,40 @@ def extract_functions(spark, sf_dir):
     return structure.extract_definitions(_generated(spark, sf_dir), "function").select("rel", "name", F.sha2("body", 256).alias("body_hash"))
 
 
+#: Source in other languages: the language, what stands before a document's id and what after it.
+_SOURCES = (
+    ("py", "def run", "(x):\n    y = x\n\n    return y\ndef after(x):\n    return 0\n"),
+    ("rb", "def run", "(x)\n  y = x\n\n  y\nend\ndef after(x)\n  0\nend\n"),
+    ("js", "// made\nconst run", " = (a, b) => { if (a) { return b; } };\n// end\n"),
+    ("go", "// made\nfunc (s *T) run", "(a int) int { for { return a } }\n// end\n"),
+    ("rs", "// made\nfn run", "<T>(a: T) -> T { { a } }\n// end\n"),
+)
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+def _other_languages() -> str:
+    """Names and bodies as the rules give them: up to the next definition at the margin, or to the brace that closes the first one."""
+    rows = []
+    for lang, before, after in _SOURCES:
+        head, rest = before.removeprefix("// made\n"), after.removesuffix("\n// end\n").removesuffix(";")
+        if lang in structure.BY_MARGIN:
+            rest, last = after.split("\ndef after", 1)
+            rows.append((lang, "'after'", _sql_text("def after" + last)))
+        rows.append((lang, "'run' || doc_id", f"{_sql_text(head)} || doc_id || {_sql_text(rest)}"))
+    return " UNION ALL ".join(f"SELECT 'D' || doc_id || '.{lang}' AS rel, {name} AS name, sha256({body}) AS body_hash FROM documents" for lang, name, body in rows)
+
+
+@query(_other_languages())
+def extract_languages(spark, sf_dir):
+    number = F.col("doc_id").cast("string")
+    files = [F.struct(F.concat(F.lit("D"), number, F.lit(f".{lang}")).alias("rel"), F.lit(lang).alias("lang"), F.concat(F.lit(before), number, F.lit(after)).alias("content")) for lang, before, after in _SOURCES]
+    rows = read(spark, sf_dir, "documents").select(F.explode(F.array(*files)).alias("f")).select("f.*")
+    return structure.extract_definitions(rows, "function").select("rel", "name", F.sha2("body", 256).alias("body_hash"))
+
+
 @query(f"""SELECT 'D' || doc_id || ' • 1 members • D' || doc_id || '.java java' AS title, 'class' AS type FROM documents
     UNION ALL SELECT 'run — function (D' || doc_id || '.java java)', 'function' FROM documents""")
 def structure_titles(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "id string, type string, title string, class_name string, function string, path string, abs_path string, root string, lang string, size int, hash string, text string"
@@ -29,18 +29,29 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("m") + F.col("shift")).alias("pos"), "value")
 
 
+def has_field(line: Column | str, field: str) -> Column:
+    """Whether a line of JSON has a field, null ones included. A malformed line is an error; JSON that is no object has none."""
+    line = F.col(line) if isinstance(line, str) else line
+    keys = F.coalesce(F.array_contains(F.json_object_keys(line), field), F.lit(False))
+    return F.when(F.try_parse_json(line).isNull(), F.raise_error(F.lit("a line is not JSON"))).otherwise(keys)
+
+
+def string_field(line: Column | str, field: str) -> Column:
+    """A field of a line of JSON as text: empty where it is null or missing; a value that is no string is an error."""
+    value = F.variant_get(F.try_parse_json(line), f"$.{field}", "variant")
+    kind = F.schema_of_variant(value)
+    bad = F.raise_error(F.lit(f"{field} is not a string"))
+    return F.when(kind.isNull() | (kind == "VOID"), F.lit("")).when(kind == "STRING", F.variant_get(value, "$", "string")).otherwise(bad)
+
+
+def texts(lines: DataFrame) -> DataFrame:
+    """(doc_index, text) of lines (pos, value), in order: a record without text is skipped, a null text is empty."""
+    return with_index(lines.where(has_field("value", "text")).select("pos", string_field("value", "text").alias("text")))
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(doc_index, text) by line order. A malformed line is an error; a record without text is skipped; a null text is empty; another kind is an error."""
-    rows = numbered_lines(spark, path)
-    v = F.expr("try_parse_json(value)")
-    has = F.when(v.isNull(), F.raise_error(F.lit("a line is not JSON"))).otherwise(F.array_contains(F.json_object_keys("value"), "text"))
-    parsed = rows.select("pos", v.alias("v"), has.alias("has")).where("has")
-    text = F.expr("variant_get(v, '$.text', 'string')")
-    bad = F.raise_error(F.lit("text is not a string"))
-    kind = F.expr("schema_of_variant(variant_get(v, '$.text', 'variant'))")
-    value = F.when(kind.isNull() | (kind == "VOID"), F.lit("")).when(kind == "STRING", text).otherwise(bad)
-    out = parsed.select("pos", value.alias("text"))
-    return with_index(out)
+    return texts(numbered_lines(spark, path))
 
 
 def with_index(rows: DataFrame) -> DataFrame:

@@ -586,9 +586,10 @@ def test_fingerprints_with_edit(spark, docs, edges, nothing):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
-def test_ranges_follow_the_order(spark, monkeypatch):
+@pytest.mark.parametrize("n", [100, 400])  # the second has over 64 ranges
+def test_ranges_follow_the_order(spark, monkeypatch, n):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)
-    rows = [(i * 7 % 101, f"text number {i * 7 % 101} " * 5) for i in range(100)]
+    rows = [(i * 7 % (n + 1), f"text number {i * 7 % (n + 1)} " * 5) for i in range(n)]
     got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints_with_edit(table(spark, rows)).collect()}
     ordered = sorted(rows)
     for (i, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1], strict=True):

@@ -488,6 +488,80 @@ def test_lm(spark, docs, edges, nothing):
     assert {r["train_tokens"] for r in untaught} == {0} and {r["base_score"] for r in untaught} == {0.0}
 
 
+def test_lm_score_is_the_product_of_its_factors(spark, docs, monkeypatch):
+    """The query's scores against a plain loop over tokens with the trained weights and words counted here."""
+    kept, train_words = {}, lm.train_words
+
+    def spy(classified, weights, lex):
+        kept["model"], kept["likes"] = train_words(classified, weights, lex)
+        kept["weights"], kept["lex"] = weights, lex
+        return kept["model"], kept["likes"]
+
+    monkeypatch.setattr(lm, "train_words", spy)
+    monkeypatch.setattr(lm, "BLOCK_TEXTS", 60)  # several blocks in a task
+    out = {r["doc_id"]: r["score"] for r in QUERIES["op8_lm_scores"](spark, DATA).collect()}
+    model, lex, weights = kept["model"], kept["lex"], kept["weights"]
+    assert kept["likes"] == sorted(kept["likes"]) and any(t.any() for t in model.tables())
+    c = Counter(w for i, t in docs if crc32(str(i).encode()) % 7 != 2 for w in [*lm.words(t), lm.END])
+    best = [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n > 1 and w != lm.END][: lm.TOP]
+    assert list(lex.top) == best
+    code = {w: int(lm.word_codes([w])[0]) for w in {*c, *(w for _, t in docs for w in lm.words(t))}}
+
+    def kind(w):
+        if w == lm.END:
+            return lm.END_CLASS
+        if w in lex.top:
+            return 1 + best.index(w)
+        return lex.often(lm.suffix(w)) if c[w] > 1 else lex.rare(lm.suffix(w))
+
+    in_group = defaultdict(list)
+    for w in c:
+        in_group[kind(w), code[w] >> 11].append(w)
+
+    def softmax(z):
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    for i, t in docs[:40]:
+        seen, total = [lm.END, lm.END, *lm.words(t), lm.END], 0.0
+        for far, near, w in zip(seen, seen[1:], seen[2:], strict=False):
+            a, b, k = kind(near), kind(far), kind(w)
+            z = weights.log_p(np.array([a]), np.array([b]))[0]
+            u, v = (model.row(np.array([code[x]]))[0] for x in (near, far))
+            total += math.log10(softmax(z + model.near[u] + model.far[v])[k])
+            if k > lm.TOP:
+                u, v = (model.row_in(np.array([code[x]]), np.array([k]))[0] for x in (near, far))
+                n = [sum(c[x] for x in in_group[k, g]) + 0.5 if k <= lm.TOP + lm.SUFFIXES else len(in_group[k, g]) + 1 for g in range(lm.GROUPS)]
+                g = code[w] >> 11
+                total += math.log10(softmax(np.log(n) + model.near_in[u] + model.far_in[v])[g])
+                whole = sum(c[x] for x in in_group[k, g]) if k <= lm.TOP + lm.SUFFIXES else len(in_group[k, g]) + 1
+                total += math.log10(max(c[w], 1) / whole)
+        assert out[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_word_slopes():
+    rng = np.random.default_rng(2)
+    lex = lm.Lexicon(tokens=500)
+    model = lm.Words.start(lm.Weights.zero(), lex, bits=3)
+    for t in model.tables():
+        t += rng.normal(size=t.shape).astype(np.float32) * 0.3
+    sizes = np.array([200, 1, 299])
+    block = (np.array([True, True, False]), sizes, rng.integers(0, lm.CLASSES, 500).astype(np.uint8), rng.integers(0, 1 << 16, 500).astype(np.uint16))
+    like, seen, expected = lm._word_slopes(model, iter([block]), True)
+    assert like == pytest.approx(lm._log_p(model, *block[1:])[:201].sum(), rel=1e-5)
+    at = 0
+    for t in model.tables():
+        slope = (seen - expected)[at : at + t.size].reshape(t.shape)
+        at += t.size
+        for cell in (np.unravel_index(slope.argmax(), t.shape), np.unravel_index(slope.argmin(), t.shape)):
+            up = []
+            for d in (0.01, -0.02):
+                t[cell] += d
+                up.append(lm._word_slopes(model, iter([block]), False)[0])
+            t[cell] += 0.01
+            assert (up[0] - up[1]) / 0.02 == pytest.approx(slope[cell], rel=0.05, abs=0.02)
+
+
 def test_lm_slopes():
     rng = np.random.default_rng(0)
     counts = np.zeros(lm.CLASSES**2, dtype=np.int64)

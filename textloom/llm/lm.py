@@ -1,10 +1,13 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is P(class | the classes of the two tokens before) * P(token | class). The first
-factor is a log-linear model with a bias, the class before (n-gram feature), the one before that (skip
-feature) and their pair (hashed). The second is the token's share of its class. Classes: the end of a
-text, the TOP most frequent words each, other words by their last two bytes, and words seen once
-or never by a hash of these bytes; each class of rare words keeps one share for unseen ones.
+A token's probability is P(class | context) * P(group | class, context) * P(token | class, group). The first two
+factors are softmaxes over log-linear features of the two tokens before: of their classes (bias, the class before
+as n-gram feature, the one before that as skip feature, their hashed pair) and of the words themselves (hashed
+n-gram and skip features, for the class and, within a class, for its groups of words). The last is the token's
+share of its group. Classes: the end of a text, the TOP most frequent words each, other words by their last two
+bytes, and words seen once or never by a hash of these bytes. Within a class, words are dealt to GROUPS groups by a
+hash; each group of rare words keeps one share for unseen ones. The hashed features have a row for each of about
+sqrt(N) / 4 values, so the tables grow with the corpus, up to 2**16 rows (about 130 MB for all four).
 
 The work, in Spark jobs:
 
@@ -13,13 +16,15 @@ The work, in Spark jobs:
 3. blocks turn their tokens into classes and add up what doesn't depend on the model;
 4. counts of class triples are the model's sufficient statistics; gradient updates are computed over
    them by partition and added up;
-5. every text is scored by block, over the distinct contexts it has.
+5. the words' weights are learned in PASSES passes over all tokens to learn from: each task adds up what it
+   observes and what the model expects for its blocks, slices of these sums are added up by shuffle in two steps;
+6. every text is scored by block, in batches of tokens.
 
-Only tables of bounded size reach the driver: sums by two bytes, TOP words, gradients.
+Only tables of bounded size reach the driver: sums by two bytes, by class and group, TOP words, slopes.
 
 Defined cases: a null or empty text is the end token alone; a null id is learned from. With nothing to learn
 from, N is 0 and V is 0, and every token has base probability 1. Repeated rows count each.
-Extra columns are left out.
+Extra columns are left out. Equal counts are ordered by word. A text of any length is one of its block's texts and is scored whole.
 """
 
 from __future__ import annotations
@@ -57,6 +62,28 @@ BLOCK_TEXTS = 30_000
 ROWS_PER_BUCKET = 4000
 #: The end of a text; no word has white space in it.
 END = b" "
+#: Groups of a class's words.
+GROUPS = 32
+PASSES = 2
+#: How far a weight goes at once: up to STEP, less where little was seen than CALM occurrences.
+STEP = 0.8
+CALM = 10.0
+WORD_RIDGE = 1.0
+#: Tokens taken at once, slices that the sums of the words' slopes are cut into.
+BATCH = 16_384
+SLICES = 16
+
+
+def word_codes(names: list[bytes]) -> np.ndarray:
+    """16 bits of a hash of each word."""
+    return (pd.util.hash_array(np.array([w.decode("latin-1") for w in names], dtype=object)) >> np.uint64(48)).astype(np.uint16)
+
+
+END_CODE = int(word_codes([END])[0])
+
+
+def group(code: np.ndarray) -> np.ndarray:
+    return code >> 11
 
 
 def _pack(head: dict, *arrays: np.ndarray) -> bytes:
@@ -132,7 +159,7 @@ def _count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         total[at] += n
     out = [("count", block, None, _pack({}, local, total[at]), 0, 0) for block, at, local, _ in blocks]
     names = list(place)
-    ends = np.array([suffix(w) for w in names])
+    ends = np.array([suffix(w) for w in names]) * GROUPS + group(word_codes(names))
     end = np.array([w == END for w in names])
     out.extend(("end", 0, None, None, int(n), int(n > 0)) for n in total[end])
     for kind, some in (("often", ~end & (total > 1)), ("rare", ~end & (total == 1))):
@@ -146,14 +173,14 @@ def _count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Lexicon:
-    """Classes of words and the tokens' shares of them; its size doesn't depend on the corpus."""
+    """Classes of words and the tokens' shares of their groups; its size doesn't depend on the corpus."""
 
     tokens: int = 0  # N
     types: int = 0  # V
     top: dict[bytes, int] = field(default_factory=dict)
     suffix_class: dict[int, int] = field(default_factory=dict)
-    class_tokens: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
-    class_types: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
+    group_tokens: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, GROUPS)))
+    group_types: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, GROUPS)))
 
     def often(self, key: int) -> int:
         return self.suffix_class.get(key, 1 + TOP + key % SUFFIXES)
@@ -162,8 +189,8 @@ class Lexicon:
     def rare(key: int) -> int:
         return 1 + TOP + SUFFIXES + (key * 40503 >> 4) % RARE
 
-    def classes(self, names: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each word, and the log10 of its share of the class."""
+    def classes(self, names: list[bytes], counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word, and the log10 of its share of its group."""
         kind = np.empty(len(names), dtype=np.uint8)
         for i, (w, c) in enumerate(zip(names, counts.tolist(), strict=True)):
             if w == END:
@@ -174,31 +201,38 @@ class Lexicon:
                 kind[i] = self.rare(suffix(w))
         share = np.zeros(len(names))
         mid = (kind > TOP) & (kind <= TOP + SUFFIXES)
-        share[mid] = np.log10(counts[mid] / np.maximum(1, self.class_tokens[kind[mid]]))
+        share[mid] = np.log10(counts[mid] / np.maximum(1, self.group_tokens[kind[mid], group(codes[mid])]))
         low = kind > TOP + SUFFIXES
-        share[low] = -np.log10(self.class_types[kind[low]] + 1)
+        share[low] = -np.log10(self.group_types[kind[low], group(codes[low])] + 1)
         return kind, share
 
 
 def lexicon(counted: DataFrame) -> Lexicon:
     out = Lexicon()
-    sums = counted.where("kind in ('often', 'rare', 'end')").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()  # by two bytes: 2 * 65,536 rows at most
+    fine = counted.where("kind in ('often', 'rare', 'end')").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+    fine = fine.select("kind", F.expr(f"key div {GROUPS}").alias("key"), F.expr(f"cast(key % {GROUPS} as int)").alias("g"), "n", "types")
+    sums = fine.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()  # by two bytes: 2 * 65,536 rows at most
     top = counted.where("kind = 'top'").orderBy(F.desc("n"), "word").limit(TOP).collect()
     out.tokens, out.types = sum(r["n"] for r in sums), sum(r["types"] for r in sums)
-    often = {r["key"]: [r["n"], r["types"]] for r in sums if r["kind"] == "often"}
+    often = {r["key"]: r["n"] for r in sums if r["kind"] == "often"}
     for r in top:
         word = bytes(r["word"])
         out.top[word] = 1 + len(out.top)
-        often[suffix(word)][0] -= r["n"]
-        often[suffix(word)][1] -= 1
-    ranked = sorted(often, key=lambda k: (-often[k][0], k))[: SUFFIXES - 1]
+        often[suffix(word)] -= r["n"]
+    ranked = sorted(often, key=lambda k: (-often[k], k))[: SUFFIXES - 1]
     out.suffix_class = {k: 1 + TOP + i for i, k in enumerate(ranked)} | {k: TOP + SUFFIXES for k in often if k not in set(ranked)}
-    for k, (n, types) in often.items():
-        out.class_tokens[out.often(k)] += n
-        out.class_types[out.often(k)] += types
-    for r in sums:
-        if r["kind"] == "rare":
-            out.class_types[out.rare(r["key"])] += r["types"]
+    # The class of each key is known now: at most 2 * 65,536 rows.
+    kinds = [(r["kind"], r["key"], out.often(r["key"]) if r["kind"] == "often" else out.rare(r["key"])) for r in sums if r["kind"] != "end"]
+    named = counted.sparkSession.createDataFrame(kinds, "kind string, key long, c int")
+    by_group = fine.join(F.broadcast(named), ["kind", "key"]).groupBy("c", "g").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+    for r in by_group.collect():  # CLASSES * GROUPS rows at most
+        out.group_tokens[r["c"], r["g"]] += r["n"]
+        out.group_types[r["c"], r["g"]] += r["types"]
+    for r in top:
+        word = bytes(r["word"])
+        at = out.often(suffix(word)), int(group(word_codes([word]))[0])
+        out.group_tokens[at] -= r["n"]
+        out.group_types[at] -= 1
     return out
 
 
@@ -230,26 +264,27 @@ def classify(numbered: DataFrame, counted: DataFrame, lex: Lexicon) -> DataFrame
             if kind == "count":
                 _, (local, n) = _unpack(data)
                 counts[local] = n
-        kind, share = lex.classes(word, counts)
+        codes = word_codes(word)
+        kind, share = lex.classes(word, counts, codes)
         add = lambda x: _ragged_sums(x[flat], sizes)
         floor = math.log10(lex.tokens + lex.types + 1)
         base = add(np.log10(counts + 1.0)) - floor * sizes
         known = add((counts > 0).astype(np.int64))
-        return pd.DataFrame({"block": [block], "ids": [json.dumps(head["ids"])], "learn": [np.array(head["learn"], dtype=np.uint8).tobytes()], "sizes": [sizes.astype("<i8").tobytes()], "classes": [zstandard.compress(kind[flat].tobytes(), 1)], "base": [base.astype("<f8").tobytes()], "known": [known.astype("<i8").tobytes()], "share": [add(share).astype("<f8").tobytes()]})
+        return pd.DataFrame({"block": [block], "ids": [json.dumps(head["ids"])], "learn": [np.array(head["learn"], dtype=np.uint8).tobytes()], "sizes": [sizes.astype("<i8").tobytes()], "classes": [zstandard.compress(kind[flat].tobytes(), 1)], "codes": [zstandard.compress(codes[flat].astype("<u2").tobytes(), 1)], "base": [base.astype("<f8").tobytes()], "known": [known.astype("<i8").tobytes()], "share": [add(share).astype("<f8").tobytes()]})
 
     counts = counted.where("kind = 'count'").select(F.lit("count").alias("kind"), F.lit(-1).cast("long").alias("bucket"), F.col("key").alias("block"), F.lit(None).cast("binary").alias("words"), "data")
-    return numbered.unionByName(counts).groupBy("block").applyInPandas(run, "block long, ids string, learn binary, sizes binary, classes binary, base binary, known binary, share binary")
+    return numbered.unionByName(counts).groupBy("block").applyInPandas(run, "block long, ids string, learn binary, sizes binary, classes binary, codes binary, base binary, known binary, share binary")
 
 
-def _contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of one and two tokens before; before a text stands the end."""
+def _contexts(classes: np.ndarray, sizes: np.ndarray, end: int = END_CLASS) -> tuple[np.ndarray, np.ndarray]:
+    """The classes (or codes) of one and two tokens before; before a text stands the end."""
     before, skip = np.zeros_like(classes), np.zeros_like(classes)
     before[1:], skip[2:] = classes[:-1], classes[:-2]
     starts = np.cumsum(sizes) - sizes
-    before[starts] = END_CLASS
-    skip[starts] = END_CLASS
+    before[starts] = end
+    skip[starts] = end
     second = starts + 1
-    skip[second[sizes > 1]] = END_CLASS
+    skip[second[sizes > 1]] = end
     return before.astype(np.int64), skip.astype(np.int64)
 
 
@@ -384,20 +419,214 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[Weights, list[float]
     return weights, likes
 
 
-def score_blocks(classified: DataFrame, weights: Weights, tokens: int) -> DataFrame:
-    shared = classified.sparkSession.sparkContext.broadcast(weights)
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, written over z, and the logs of the sums. Weights move by STEP a pass at most, so nothing overflows."""
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], dtype=z.dtype)
+    z /= total[:, None]
+    return z, np.log(total)
+
+
+@dataclass
+class Words:
+    """The whole model: what the classes before give, and the weights of hashed words for classes and for groups within a class."""
+
+    bits: int
+    classes: np.ndarray  # class before and class two before x class
+    groups: np.ndarray  # class x group
+    near: np.ndarray  # hashed word before x class
+    far: np.ndarray  # hashed word two before x class
+    near_in: np.ndarray  # hashed word before and class x group
+    far_in: np.ndarray  # hashed word two before and class x group
+
+    @staticmethod
+    def start(weights: Weights, lex: Lexicon, bits: int | None = None) -> Words:
+        if bits is None:
+            bits = min(16, max(8, round(math.log2(math.sqrt(lex.tokens) / 4 + 1))))
+        before, skip = np.divmod(np.arange(CLASSES**2), CLASSES)
+        inner = np.log(np.where(np.arange(CLASSES)[:, None] > TOP + SUFFIXES, lex.group_types + 1, lex.group_tokens + 0.5))
+        rows = 1 << bits
+        tables = [np.zeros((rows, CLASSES), np.float32) for _ in range(2)] + [np.zeros((rows * CLASSES // GROUPS, GROUPS), np.float32) for _ in range(2)]
+        return Words(bits, weights.log_p(before, skip).astype(np.float32), inner.astype(np.float32), *tables)
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.near, self.far, self.near_in, self.far_in
+
+    def row(self, code: np.ndarray) -> np.ndarray:
+        return (code * 40503 & 0xFFFF) >> 16 - self.bits
+
+    def row_in(self, code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        mixed = (code << 7 | kind).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(32)) * np.uint64(len(self.near_in)) >> np.uint64(32)).astype(np.int64)
+
+    def class_logits(self, context: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Unscaled logs of all classes, a row for each context."""
+        z = self.classes[context]
+        z += self.near[one]
+        z += self.far[two]
+        return z
+
+    def group_logits(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Unscaled logs of all groups within a class."""
+        z = self.groups[kind]
+        z += self.near_in[one]
+        z += self.far_in[two]
+        return z
+
+
+def _context_words(sizes: np.ndarray, classes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token both classes before as one number, the code before and that two before."""
+    before, skip = _contexts(classes, sizes)
+    one, two = (x.astype(np.uint16) for x in _contexts(codes, sizes, END_CODE))
+    return (before * CLASSES + skip).astype(np.int32), one, two
+
+
+def _unblock(row: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row.sizes, "<i8"), np.frombuffer(zstandard.decompress(row.classes), np.uint8), np.frombuffer(zstandard.decompress(row.codes), "<u2")
+
+
+def _starts(named: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+
+
+def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Add rows to rows of a table; rows may repeat."""
+    order = np.argsort(at.astype(np.int32), kind="stable")
+    values, named = values[order], at[order]
+    starts = _starts(named)
+    if len(at) < 8 * len(starts):
+        total[named[starts]] += np.add.reduceat(values, starts, axis=0)
+    else:  # few long runs
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            total[named[a]] += values[a:b].sum(axis=0)
+
+
+def _class_slopes(model: Words, kind: np.ndarray, context: np.ndarray, one: np.ndarray, two: np.ndarray, near: np.ndarray, far: np.ndarray) -> float:
+    """Add the expected counts of the classes' weights; the log-likelihood. Tokens of one context are taken together."""
+    like = 0.0
+    key = (one << 30 | two << 14 | context).astype(np.int64)
+    order = np.argsort(key)
+    first = _starts(key[order])
+    numbers = np.append(first, len(key))
+    for a in range(0, len(first), BATCH):
+        heads = first[a : a + BATCH]
+        ends = numbers[a + 1 : a + 1 + len(heads)]
+        at = order[heads]
+        z = model.class_logits(context[at], one[at], two[at])
+        repeats = ends - heads
+        like += float(z[np.repeat(np.arange(len(heads)), repeats), kind[order[heads[0] : ends[-1]]]].sum(dtype=np.float64))
+        p, logs = _softmax(z)
+        like -= float(logs.astype(np.float64) @ repeats)
+        p *= repeats[:, None].astype(np.float32)
+        _add_rows(near, one[at], p)
+        _add_rows(far, two[at], p)
+    return like
+
+
+def _group_slopes(model: Words, kind: np.ndarray, sub: np.ndarray, one: np.ndarray, two: np.ndarray, near: np.ndarray, far: np.ndarray) -> float:
+    """The same for the groups within classes."""
+    like = 0.0
+    for a in range(0, len(kind), 4 * BATCH):
+        at = slice(a, a + 4 * BATCH)
+        z = model.group_logits(kind[at], one[at], two[at])
+        like += float(z[np.arange(len(z)), sub[at]].sum(dtype=np.float64))
+        p, logs = _softmax(z)
+        like -= float(logs.sum(dtype=np.float64))
+        _add_rows(near, one[at], p)
+        _add_rows(far, two[at], p)
+    return like
+
+
+def _word_slopes(model: Words, blocks: Iterator[tuple], observe: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of blocks (learn, sizes, classes, codes) but for the words' shares; observed and expected counts of all weights."""
+    expected = [np.zeros_like(t) for t in model.tables()]
+    observed = [np.zeros_like(t) for t in model.tables()] if observe else []
+    like = 0.0
+    for learn, sizes, classes, codes in blocks:
+        taught = np.repeat(learn, sizes)
+        context, one, two = (x[taught].astype(np.int64) for x in _context_words(sizes, classes, codes))
+        kind, sub = classes[taught].astype(np.int64), group(codes[taught]).astype(np.int64)
+        mid = kind > TOP
+        inner = kind[mid], sub[mid], model.row_in(one[mid], kind[mid]), model.row_in(two[mid], kind[mid])
+        outer = kind, context, model.row(one), model.row(two)
+        del one, two, context, taught
+        like += _class_slopes(model, *outer, *expected[:2]) + _group_slopes(model, *inner, *expected[2:])
+        for t, rows, hit in zip(observed, (*outer[2:], *inner[2:]), (kind, kind, inner[1], inner[1]), strict=False):
+            t += np.bincount(rows * t.shape[1] + hit, minlength=t.size).reshape(t.shape)
+    flat = [np.concatenate([t.ravel() for t in x]) if x else np.zeros(0, np.float32) for x in (observed, expected)]
+    return like, flat[0], flat[1]
+
+
+def _word_sums(classified: DataFrame, model: Words, observe: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """`_word_slopes` of all blocks: slices of each task's sums are added up by shuffle."""
+    shared = classified.sparkSession.sparkContext.broadcast(model)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = ((np.frombuffer(r.learn, np.uint8).astype(bool), *_unblock(r)) for b in batches for r in b.itertuples(index=False))
+        like, seen, expected = _word_slopes(shared.value, blocks, observe)
+        pack = lambda x: [zstandard.compress(y.astype("<f4").tobytes(), 1) for y in np.array_split(x, SLICES)]
+        yield pd.DataFrame({"slice": range(SLICES), "salt": TaskContext.get().partitionId() % SALTS, "like": [like] + [0.0] * (SLICES - 1), "seen": pack(seen), "expected": pack(expected)})
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"slice": [int(rows["slice"].iloc[0])], "like": [rows["like"].sum()]}
+        for name in ("seen", "expected"):
+            total = 0.0
+            for d in rows[name]:
+                total = total + np.frombuffer(zstandard.decompress(d), "<f4").astype(np.float64)
+            out[name] = [zstandard.compress(total.astype("<f4").tobytes(), 1)]
+        return pd.DataFrame(out)
+
+    schema = "slice int, like double, seen binary, expected binary"
+    part = classified.select("learn", "sizes", "classes", "codes").mapInPandas(partial, "slice int, salt long, like double, seen binary, expected binary")
+    rows = part.groupBy("slice", "salt").applyInPandas(whole, schema).groupBy("slice").applyInPandas(whole, schema).collect()  # SLICES rows: the model's size
+    shared.destroy()
+    rows.sort(key=lambda r: r["slice"])
+    join = lambda name: np.concatenate([np.frombuffer(zstandard.decompress(bytes(r[name])), "<f4") for r in rows]) if rows else np.zeros(0)
+    return sum(r["like"] for r in rows), join("seen"), join("expected")
+
+
+def train_words(classified: DataFrame, weights: Weights, lex: Lexicon, passes: int = PASSES) -> tuple[Words, list[float]]:
+    """Updates along the slope (observed less expected counts), each weight's step scaled by the larger of the two."""
+    model, likes, seen = Words.start(weights, lex), [], None
+    for k in range(passes if lex.tokens else 0):
+        like, first, expected = _word_sums(classified, model, k == 0)
+        seen = first if k == 0 else seen
+        likes.append(like / lex.tokens)
+        at = 0
+        for t in model.tables():
+            s, e = (x[at : at + t.size].reshape(t.shape) for x in (seen, expected))
+            t += STEP * (s - e - WORD_RIDGE * t) / (np.maximum(s, e) + CALM)
+            at += t.size
+    return model, likes
+
+
+def _log_p(model: Words, sizes: np.ndarray, classes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Natural logs of each token's class and group."""
+    context, one, two = _context_words(sizes, classes, codes)
+    out = np.empty(len(classes))
+    for a in range(0, len(classes), BATCH):
+        at = slice(a, a + BATCH)
+        kind, sub, u, v = (x[at].astype(np.int64) for x in (classes, group(codes), one, two))
+        z = model.class_logits(context[at], model.row(u), model.row(v))
+        log_p = z[np.arange(len(z)), kind].astype(np.float64) - _softmax(z)[1]
+        mid = kind > TOP
+        z = model.group_logits(kind[mid], model.row_in(u[mid], kind[mid]), model.row_in(v[mid], kind[mid]))
+        log_p[mid] += z[np.arange(len(z)), sub[mid]].astype(np.float64) - _softmax(z)[1]
+        out[at] = log_p
+    return out
+
+
+def score_blocks(classified: DataFrame, model: Words, tokens: int) -> DataFrame:
+    shared = classified.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for b in batches:
             for r in b.itertuples(index=False):
-                sizes = np.frombuffer(r.sizes, "<i8")
-                classes = np.frombuffer(zstandard.decompress(r.classes), np.uint8)
-                before, skip = _contexts(classes, sizes)
-                contexts, back = np.unique(before * CLASSES + skip, return_inverse=True)
-                log_p = shared.value.log_p(contexts // CLASSES, contexts % CLASSES) / math.log(10)
-                by_text = _ragged_sums(log_p[back, classes], sizes)
+                sizes, classes, codes = _unblock(r)
+                score = np.minimum(0.0, _ragged_sums(_log_p(model, sizes, classes, codes), sizes) / math.log(10) + np.frombuffer(r.share, "<f8"))
                 learn = np.frombuffer(r.learn, np.uint8)
-                yield pd.DataFrame({"doc_id": pd.array(json.loads(r.ids), dtype="Int64"), "held_out": learn == 0, "n_tokens": sizes, "n_known": np.frombuffer(r.known, "<i8"), "train_tokens": tokens, "base_score": np.frombuffer(r.base, "<f8"), "score": by_text + np.frombuffer(r.share, "<f8")})
+                yield pd.DataFrame({"doc_id": pd.array(json.loads(r.ids), dtype="Int64"), "held_out": learn == 0, "n_tokens": sizes, "n_known": np.frombuffer(r.known, "<i8"), "train_tokens": tokens, "base_score": np.frombuffer(r.base, "<f8"), "score": score})
 
     return classified.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -410,7 +639,8 @@ def score_documents(documents: DataFrame, learn: Column) -> DataFrame:
     lex = lexicon(counted)
     classified = materialize(classify(numbered, counted, lex), "classified")
     weights, _ = train(triples(classified))
-    return score_blocks(classified, weights, lex.tokens)
+    model, _ = train_words(classified, weights, lex)
+    return score_blocks(classified, model, lex.tokens)
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

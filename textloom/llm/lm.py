@@ -72,6 +72,8 @@ WORD_RIDGE = 1.0
 #: Tokens taken at once, slices that the sums of the words' slopes are cut into.
 BATCH = 16_384
 SLICES = 16
+#: Numbers of a table that are worked on at once.
+CACHED = 64 * 1024
 
 
 def word_codes(names: list[bytes]) -> np.ndarray:
@@ -421,9 +423,13 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[Weights, list[float]
 
 def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities, written over z, and the logs of the sums. Weights move by STEP a pass at most, so nothing overflows."""
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], dtype=z.dtype)
-    z /= total[:, None]
+    total = np.empty(len(z), dtype=z.dtype)
+    step = CACHED // z.shape[1]
+    for a in range(0, len(z), step):  # what fits a core's cache
+        part = z[a : a + step]
+        np.exp(part, out=part)
+        total[a : a + step] = part.sum(axis=1)
+        part *= (1 / total[a : a + step])[:, None]
     return z, np.log(total)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.bytepairs import op12_byte_bpe
 from textloom.llm.fingerprints import op10_fingerprints
 from textloom.llm.toxicity import op6_toxicity
 from textloom.llm.quality import op1_quality
@@ -16,6 +17,7 @@ from textloom.llm.lm import op8_lm_scores
 from textloom.llm.secrets import op3_secrets, secrets_sql
 from textloom.llm.neardup import op4_near_duplicates
 from textloom.llm.lines import op7_line_dedup
+from textloom.llm.middle import middle_sql, op11_fill_in_middle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
@@ -28,8 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op6_toxicity": op6_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secrets": secrets_sql(),
+    "op11_fill_in_middle": middle_sql(),
 }

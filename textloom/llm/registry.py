@@ -17,6 +17,7 @@ from textloom.llm.lm import op8_lm_scores
 from textloom.llm.secrets import op3_secrets, secrets_sql
 from textloom.llm.neardup import op4_near_duplicates
 from textloom.llm.lines import op7_line_dedup
+from textloom.llm.negatives import negatives_sql, op13_hard_negatives
 from textloom.llm.middle import middle_sql, op11_fill_in_middle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,9 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secrets": secrets_sql(),
     "op11_fill_in_middle": middle_sql(),
+    "op13_hard_negatives": negatives_sql(),
 }

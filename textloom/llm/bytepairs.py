@@ -6,8 +6,8 @@ the token's bytes was merged before, as if they stood alone. So the merges in or
 first, give the tokens that the ranks themselves give. The tokenizers library works on characters:
 each byte has one (printable ones their own, the others the next free ones from U+0100), and a token is spelled in them.
 
-Encoding runs over Arrow batches; a task holds a batch, cut to a number of characters, and the encoding of one text at a
-time. Nothing is shuffled. A token's place is given in bytes' characters: ``starts`` and ``ends`` count code points, and a token that
+Encoding runs over Arrow batches; a task holds a batch and works on a slice of it at a time. Texts are cut where no token can
+go on (``chunks``), and each chunk is encoded once a slice, or not again while a process knows it. Nothing is shuffled. A token's place is given in bytes' characters: ``starts`` and ``ends`` count code points, and a token that
 has part of a character only takes it in whole, so neighbours that share a character overlap. Decoding turns
 each token's characters to bytes by the reversed table; ids from the middle of a text may begin or end inside a
 character, and the bytes of such a one are counted apart (``head``, ``tail``) from the whole characters between.
@@ -22,21 +22,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from textloom.llm.common import table
 
-#: Characters that a call of the library takes, but for a longer text.
-CALL_CHARS = 200_000
+#: Characters that a call of the library takes, and rows that are worked on at once, but for a longer text.
+CALL_CHARS, SLICE_CHARS = 200_000, 1_000_000
+#: Chunks of text whose ids a process keeps (twice as many at most), and how long they may be.
+KEPT_CHUNKS, KEPT_CHARS = 200_000, 64
 
 
 def default_ranks() -> str:
@@ -98,36 +100,62 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     return out.to_str()
 
 
+def chunks(text: str, pattern: str) -> list[str]:
+    """Parts of a text whose tokens are those of the whole.
+
+    The pattern given has no match that goes on from a character to white space, and none looks back; so a text may be cut
+    between a character and a space or line end. Another pattern's texts stay whole.
+    """
+    return _CUT.split(text) if pattern == default_pattern() else [text]
+
+
+#: White space of all kinds counts as such on the left, only that which every library takes for it on the right.
+_CUT = re.compile(r"(?<=\S)(?=[\x20\x09-\x0D])")
+
+
 class Codec:
-    """One tokenizer in a task's process: texts to ids, ids to bytes."""
+    """One tokenizer in a task's process: texts to ids, ids to bytes. Short chunks that were met lately are kept, up to a number of them."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, pattern: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has the cores that Spark gives it
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer, self.pattern = Tokenizer.from_str(source), pattern or default_pattern()
         vocabulary = self.tokenizer.get_vocab()
         self.bytes: list[bytes | None] = [None] * (1 + max(vocabulary.values(), default=-1))
         for token, i in vocabulary.items():
             self.bytes[i] = unspell(token)
         self.sizes = np.array([len(b or b"") for b in self.bytes], dtype=np.int64)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text; one call has so many texts as CALL_CHARS allows."""
-        call: list[str] = []
-        chars = 0
-        for text in texts:
-            if call and chars + len(text) > CALL_CHARS:
-                yield from self._ids(call)
-                call, chars = [], 0
-            call.append(text)
-            chars += len(text)
-        if call:
-            yield from self._ids(call)
-
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype=np.uint32)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; each new chunk is encoded once."""
+        parts = [chunks(t, self.pattern) for t in texts]
+        if len(self.known) > KEPT_CHUNKS:  # what wasn't met since the last time goes
+            self.before, self.known = self.known, {}
+        ids, before = self.known, self.before
+        new: list[str] = []
+        for chunk in {c for p in parts for c in p}.difference(ids):
+            if (kept := before.get(chunk)) is not None:
+                ids[chunk] = kept
+            else:
+                new.append(chunk)
+        begin = 0
+        while begin < len(new):
+            end, chars = begin, 0
+            while end < len(new) and (end == begin or chars + len(new[end]) <= CALL_CHARS):
+                chars += len(new[end])
+                end += 1
+            call = new[begin:end]
+            for chunk, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False), strict=True):
+                ids[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+            begin = end
+        out = [np.frombuffer(b"".join(map(ids.__getitem__, p)), dtype="<u4") for p in parts]
+        for chunk in new:
+            if len(chunk) > KEPT_CHARS:
+                del ids[chunk]
+        return out
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First code point of each token, and the one after its last; a character that is split belongs to each of its tokens."""
@@ -157,13 +185,24 @@ def split_ends(data: bytes) -> tuple[int, int]:
 
 
 @cache
-def _codec(source: str) -> Codec:
-    return Codec(source)
+def _codec(source: str, pattern: str | None) -> Codec:
+    return Codec(source, pattern)
 
 
 def _source(spark: SparkSession, ranks: str | None, pattern: str | None):
     """The tokenizer for the tasks: as large as the file of ranks, whatever the documents."""
-    return spark.sparkContext.broadcast(tokenizer_json(read_ranks(ranks or default_ranks()), pattern or default_pattern()))
+    pattern = pattern or default_pattern()
+    return spark.sparkContext.broadcast((tokenizer_json(read_ranks(ranks or default_ranks()), pattern), pattern))
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of a column; a longer value is a part of its own."""
+    size = pc.coalesce(pc.binary_length(batch.column(column)) if pa.types.is_string(batch.column(column).type) else pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.concatenate(([0], np.cumsum(size)))[:-1] // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _id_type(docs: DataFrame, column: str) -> str:
@@ -176,10 +215,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
-        for batch in batches:
+        codec = _codec(*shared.value)
+        for batch in (part for b in batches for part in _slices(b, "text", SLICE_CHARS)):
             texts = batch.column("text").to_pylist()
-            ids = list(codec.encode(texts))
+            ids = codec.encode(texts)
             columns = [batch.column("id"), _lists(ids, pa.int32())]
             if offsets:
                 found = [codec.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
@@ -203,8 +242,8 @@ def decode(encoded: DataFrame, id_column: str = "id", ids_column: str = "ids", r
     rows = encoded.select(F.col(id_column).alias("id"), F.col(ids_column).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
-        for batch in batches:
+        codec = _codec(*shared.value)
+        for batch in (part for b in batches for part in _slices(b, "ids", SLICE_CHARS)):
             lists = batch.column("ids")
             data = [codec.decode(np.asarray(x.values.to_numpy(zero_copy_only=False))) if x.is_valid else None for x in lists]
             ends = [split_ends(d) if d is not None else (None, None) for d in data]
@@ -215,12 +254,25 @@ def decode(encoded: DataFrame, id_column: str = "id", ids_column: str = "ids", r
     return rows.mapInArrow(run, f"id {_id_type(encoded, id_column)}, ids array<int>, bytes binary, text string, head int, tail int")
 
 
-@F.pandas_udf(StringType())
-def ids_digest(ids: pd.Series) -> pd.Series:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers, in lowercase hexadecimal."""
-    return ids.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
+def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): each text is encoded and its ids decoded again in one task, and only digests leave it.
+
+    Ids are hashed as little-endian unsigned 32-bit integers.
+    """
+    shared = _source(docs.sparkSession, ranks, pattern)
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(*shared.value)
+        for batch in (part for b in batches for part in _slices(b, "text", SLICE_CHARS)):
+            ids = codec.encode(batch.column("text").to_pylist())
+            hashed = [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]
+            back = [hashlib.sha256(codec.decode(i)).hexdigest() for i in ids]
+            columns = [batch.column("id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, f"id {_id_type(docs, id_column)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(encode(table(spark, sf_dir, "documents"), offsets=False))
-    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

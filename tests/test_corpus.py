@@ -181,7 +181,7 @@ def test_slow_files_give_no_part_of_their_definitions(spark, monkeypatch):
     assert len(taken[0]) == 1 and taken[0]["error"].notna().all()
 
 
-def test_extract_logs_files_that_fail(spark, tmp_path, caplog, monkeypatch):
+def test_extract_writes_a_table_of_files_that_fail(spark, tmp_path, caplog, monkeypatch):
     from textloom.operators import extract as e
 
     (tmp_path / "tree").mkdir()
@@ -196,7 +196,9 @@ def test_extract_logs_files_that_fail(spark, tmp_path, caplog, monkeypatch):
 
     monkeypatch.setattr(e.tree, "listing", then_gone)
     e.extract(spark, str(tmp_path / "tree"), f"file://{tmp_path}/corpus")
-    assert "gone.py: FileNotFoundError" in caplog.text
+    errors = spark.read.json(e.errors_path(f"file://{tmp_path}/corpus"))
+    assert [tuple(r) for r in errors.select("rel", "error").collect()] == [("gone.py", "FileNotFoundError")]
+    assert "1 files have errors" in caplog.text
 
 
 def test_directory_records(spark, source):

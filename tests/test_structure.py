@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from textloom.operators import structure as s
@@ -105,3 +108,66 @@ def test_records(spark):
     assert got["src/a.py.file"]["title"] == "a.py • py • build/item_list/self"
     assert got["src/a.py.Foo.class"]["title"] == "Foo • 1 members • a.py py"
     assert got["src/a.py.build"]["text"].startswith("path: src/a.py\nlang: py\n\ndef build")
+
+
+def plain_end(text, start, lang, kind):
+    """Where a definition ends, found by walking from its start."""
+    _, word, margin_most, default, _ = s.KINDS[kind]
+    if lang in s.BY_MARGIN:
+        first, *others = text[start:].split("\n")
+        size, end = s.units(first), start + len(first)
+        for line in others:
+            blank = not line.strip(" \t\x0b\x0c\r\xa0")
+            if not blank and line.startswith(word):
+                break
+            size += s.units(line) + 1
+            end += len(line) + 1
+            if not blank and size > margin_most:
+                break
+        return end
+    depth, opened = 0, False
+    for i in range(start, len(text)):
+        if text[i] == "{":
+            depth, opened = depth + 1, True
+        elif text[i] == "}":
+            depth -= 1
+            if opened and depth == 0:
+                return i + 1
+    return min(len(text), start + default)
+
+
+PARTS = ["class ", "def ", "{", "}", "\n", "\n", "  ", "x", "(a)", ":", "function f", "class A", "def g(x):", "\n\n", "é", "const a = (b) => ", "int run(int x) {", "end", "}}", "{{", "\xa0\n", "    y\n", "😀\n"]
+
+
+def test_ends_are_those_of_a_walk(monkeypatch):
+    monkeypatch.setattr(s, "KINDS", {"class": (s.CLASS_PATTERNS, "class ", 60, 10_000, 1_000), "function": (s.FUNCTION_PATTERNS, "def ", 30, 10_000, 1_000)})
+    rnd = random.Random(7)
+    for _ in range(1500):
+        text = "".join(rnd.choices(PARTS, k=rnd.randrange(60)))
+        ends = s.Ends(text)
+        for at in {rnd.randrange(len(text) + 1) for _ in range(5)}:
+            for lang, kind in (("py", "class"), ("rb", "function"), ("js", "class"), ("c", "function")):
+                assert ends.body(at, lang, kind) == text[at : plain_end(text, at, lang, kind)], (text, at, lang, kind)
+
+
+@pytest.mark.parametrize(("lang", "one"), [("py", "def f{}(x):\n    return {}\n"), ("js", "function f{}(x) {{ return {}; }}\n")])
+def test_many_definitions_take_time_in_proportion(lang, one):
+    text = "".join(one.format(i, i) for i in range(100_000))
+    began = time.process_time()
+    assert sum(1 for _ in s.definitions(lang, text, "function", s.TIME_LIMIT)) == 100_000
+    assert time.process_time() - began < 6
+
+
+def test_one_pass_gives_both_kinds(spark):
+    rows = [("a.py", "py", "class A:\n    def b(self):\n        pass\n"), ("t.txt", "txt", "class A"), ("n.py", "py", None)]
+    files = spark.createDataFrame(rows, "rel string, lang string, content string")
+    assert {(r["rel"], r["kind"], r["name"], r["n"]) for r in s.extract_definitions(files).collect()} == {("a.py", "class", "A", 0), ("a.py", "function", "b", 0)}
+    assert {r["kind"] for r in s.extract_definitions(files, "class").collect()} == {"class"}
+
+
+def test_a_slow_file_gives_an_error_row(spark, monkeypatch):
+    monkeypatch.setattr(s, "TIME_LIMIT", 0.2)
+    slow = "word " * 30_000 + "{(()"  # the pattern tries every run of words from each of them
+    files = spark.createDataFrame([("a.c", "c", slow), ("b.c", "c", "int run(int a) { return a; }")], "rel string, lang string, content string")
+    got = {r["rel"]: r for r in s.extract_definitions(files, "function").collect()}
+    assert "took over" in got["a.c"]["error"] and got["b.c"]["name"] == "run"

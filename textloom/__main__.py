@@ -17,7 +17,7 @@ from textloom.setup import setup
 from textloom.sources import corpus, tree
 from textloom.sources.model_server import ModelServer
 
-DEFAULT_QUESTION = "explain underwriting workflow"
+DEFAULT_QUESTION = "what makes a shuffle slow"
 
 
 @dataclass

@@ -16,9 +16,9 @@ log = logging.getLogger(__name__)
 
 
 def plan(spark: SparkSession, root: str, existing: DataFrame, max_bytes: int = tree.MAX_BYTES, prune_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(lines to write, errors) of a tree and an existing corpus (pos, id, hash, json).
+    """(lines to write, errors (rel, error)) of a tree and an existing corpus (pos, id, hash, json).
 
-    A file whose entry has the hash of its text is left as it is; the others are parsed again, and
+    A file whose entry has the hash of its text is left as it is; the others are parsed again, once each, and
     their old entries go, also where parsing fails.
     """
     files = tree.listing(spark, root).persist(StorageLevel.MEMORY_AND_DISK)
@@ -27,25 +27,35 @@ def plan(spark: SparkSession, root: str, existing: DataFrame, max_bytes: int = t
     ids = read.withColumn("id", F.concat("rel", F.lit(".file"))).withColumn("hash", F.sha2("content", 256))
     processed = m.changed_files(ids, entries)
     texts = processed.where("content is not null")
-    new = corpus.to_lines(records(texts, root)).select("abs_path", "ordinal", "json")
+    found = extract_definitions(texts).persist(StorageLevel.DISK_ONLY)  # records and errors come from the same pass
+    new = corpus.to_lines(records(texts, root, found)).select("abs_path", "ordinal", "json")
     gone = m.missing_files(entries, ids) if prune_deleted else None
     head = tree.manifest(files, root)
     tree_line = head.select(F.to_json(F.struct(*head.columns)).alias("json"))
-    slow = [extract_definitions(texts, kind).where("error is not null").select("rel", "error") for kind in ("class", "function")]
-    unread = read.where("error is not null").select("rel", "error")
-    return m.merge(entries, processed, new, tree_line, gone), unread.unionByName(slow[0]).unionByName(slow[1])
+    errors = read.where("error is not null").select("rel", "error").unionByName(found.where("error is not null").select("rel", "error"))
+    return m.merge(entries, processed, new, tree_line, gone), errors
 
 
 def extract(spark: SparkSession, root: str, path: str, max_bytes: int = tree.MAX_BYTES, prune_deleted: bool = False) -> int:
-    """Refresh the corpus at ``path`` from a tree; returns how many lines it has. Files that couldn't be read or took too long are logged. Nothing is written if the tree has no file to take and the corpus no entry."""
+    """Refresh the corpus at ``path`` from a tree; returns how many lines it has.
+
+    Files that couldn't be read or took too long are rows (rel, error) of the table beside it, ``errors_path(path)``, which each run writes anew. Nothing
+    is written if the tree has no file to take and the corpus no entry.
+    """
     existing = corpus.load_entries(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
     lines, errors = plan(spark, root, existing, max_bytes, prune_deleted)
     lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     n = lines.count()
     if n > 1:
         corpus.write(lines, path)
-    for row in errors.toLocalIterator():
-        log.warning("%s: %s", row["rel"], row["error"])
+    errors.write.mode("overwrite").json(errors_path(path))
+    failed = spark.read.schema("rel string, error string").json(errors_path(path)).count()
+    if failed:
+        log.warning("%d files have errors, see %s", failed, errors_path(path))
     lines.unpersist()
     existing.unpersist()
     return n
+
+
+def errors_path(path: str) -> str:
+    return f"{path.rstrip('/')}.errors"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,28 +75,3 @@ class RuleEngine:
                 holds = F.coalesce(rule.predicate, F.lit(False))
                 df = df.where(holds).transform(rule.apply).unionByName(df.where(~holds), allowMissingColumns=True)
         return df
-
-
-#: Levels by longest path, as SQL that Spark and others run alike, over rules(no, id, priority, depends_on).
-PLAN_SQL = """
-WITH RECURSIVE edges AS (
-    SELECT r.no, p.no AS prev FROM (SELECT no, {explode} AS dep FROM rules) r JOIN rules p ON lower(p.id) = lower(r.dep)
-), walk(no, level) AS (
-    SELECT no, 0 FROM rules
-    UNION ALL
-    SELECT e.no, w.level + 1 FROM walk w JOIN edges e ON e.prev = w.no
-)
-SELECT r.id, r.priority, max(w.level) AS level, row_number() OVER (ORDER BY r.priority DESC, max(w.level), r.no) AS step
-FROM rules r JOIN walk w ON w.no = r.no GROUP BY r.no, r.id, r.priority
-"""
-
-
-def plan_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The plan as rows (id, priority, level, step)."""
-    engine = RuleEngine()
-    for r in rules:
-        engine.register(r)
-    engine.plan()  # a cycle is an error here and would not end in SQL
-    rows = [(i, r.id, r.priority, list(r.depends_on)) for i, r in enumerate(rules)]
-    spark.createDataFrame(rows, "no int, id string, priority int, depends_on array<string>").createOrReplaceTempView("rules")
-    return spark.sql(PLAN_SQL.format(explode="explode(depends_on)"))

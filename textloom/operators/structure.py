@@ -1,15 +1,21 @@
 """Classes and functions of source files, and the records of a corpus.
 
 Patterns find where a class or function begins; where it ends depends on the language: with the brace
-that closes the first one opened, or before the next definition at the left margin. Offsets count
-UTF-16 units. Built-in regular expression functions give no offsets, so files go through a Python
-function, each by itself; a file whose patterns take too long is reported instead.
+that closes the first one opened, or before the next definition at the left margin. An index of a file's braces and lines
+is made once, so that each end is found by binary search. Offsets count UTF-16 units. Built-in regular
+expression functions give no offsets, so files go through a Python function, each by itself and once for all kinds. A file whose
+patterns take too long for one kind gives an error row instead of that kind's definitions.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +58,19 @@ FUNCTION_PATTERNS = {
     "swift": r"func\s+(\w+)\s*(?:<[^>]*>)?\s*\([^)]*\)",
 }
 BY_MARGIN = ("py", "rb")
-#: kind -> patterns, word that begins the next one at the margin, most units by margin, units where no end is found, most units of a body.
+#: Fixed values. kind -> patterns, word that begins the next one at the margin, most units by margin, units where no end is found, most units of a body.
 KINDS = {
     "class": (CLASS_PATTERNS, "class ", 50_000, 5_000, 100_000),
     "function": (FUNCTION_PATTERNS, "def ", 10_000, 500, 50_000),
 }
 LEAST_BODY = 10
-#: Seconds that the patterns may take over one file.
+#: Seconds that the patterns of one kind may take over one file; finding ends takes time in proportion to the file.
 TIME_LIMIT = 20.0
+#: Characters of definitions that are handed on at once.
+BATCH_CHARS = 4_000_000
+#: White space of which a blank line may consist.
+_BLANK = r"[\t\x0b-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+DEFINITIONS = "rel string, lang string, kind string, n int, name string, body string, error string"
 
 
 def units(text: str) -> int:
@@ -68,65 +79,138 @@ def units(text: str) -> int:
 
 
 def _first_units(text: str, n: int) -> str:
-    return text.encode("utf-16-le", "surrogatepass")[: 2 * n].decode("utf-16-le", "replace") if not text[:n].isascii() else text[:n]
-
-
-def body(content: str, start: int, lang: str, kind: str) -> str:
-    """The text of a definition that begins at ``start``."""
-    _, word, margin_most, default, _ = KINDS[kind]
-    rest = content[start:]
-    if lang in BY_MARGIN:
-        first, *others = rest.split("\n")
-        size = units(first)
-        for line in others:
-            blank = not line.strip()
-            if not blank and line.startswith(word):
-                break
-            size += units(line) + 1
-            if not blank and size > margin_most:
-                break
-        return _first_units(rest, size)
-    depth, opened = 0, False
-    if lang in CLASS_PATTERNS or (kind == "function" and lang in FUNCTION_PATTERNS):
-        for i, c in ((i, c) for i, c in enumerate(rest) if c in "{}"):
-            depth += 1 if c == "{" else -1
-            opened = opened or c == "{"
-            if opened and depth == 0:
-                return rest[: i + 1]
-    return _first_units(rest, default)
-
-
-def definitions(lang: str, content: str, kind: str, time_limit: float | None = None) -> Iterator[tuple[str, str]]:
-    """(name, body) of each definition; bodies of at most LEAST_BODY units and very long ones are left out."""
+    text = text[:n]
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass")[: 2 * n].decode("utf-16-le", "replace")
+
+
+class Ends:
+    """The ends of a file's definitions, by look-ups in what one pass over the file found."""
+
+    def __init__(self, content: str) -> None:
+        self.content = content
+        self._margins: dict[str, list[int]] = {}
+
+    @cached_property
+    def _wide(self) -> list[int]:
+        """Places of the characters of two units."""
+        return [] if self.content.isascii() else [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", self.content)]
+
+    @cached_property
+    def _braces(self) -> tuple[list[int], list[int], list[int], dict[int, list[int]]]:
+        """Places of braces, the depth after each, the numbers of opening ones, and for each depth those of the closing ones that lead to it."""
+        at = [m.start() for m in re.finditer("[{}]", self.content)]
+        depth, opening, closing = [], [], defaultdict(list)
+        now = 0
+        for k, place in enumerate(at):
+            if self.content[place] == "{":
+                now += 1
+                opening.append(k)
+            else:
+                now -= 1
+                closing[now].append(k)
+            depth.append(now)
+        return at, depth, opening, closing
+
+    def brace(self, start: int) -> int | None:
+        """The place after the brace that brings the depth back to that of the start, once one was opened."""
+        at, depth, opening, closing = self._braces
+        first = bisect_left(at, start)
+        k = bisect_left(opening, first)
+        if k == len(opening):
+            return None
+        same = closing.get(depth[first - 1] if first else 0, [])
+        found = bisect_left(same, opening[k])
+        return at[same[found]] + 1 if found < len(same) else None
+
+    @cached_property
+    def _lines(self) -> tuple[list[int], list[int], list[int]]:
+        """Where lines begin, how many units there are up to the end of each, and the numbers of those that aren't blank."""
+        end = [m.start() for m in re.finditer("\n", self.content)]
+        begin = [0, *(e + 1 for e in end)]
+        full = [bisect_right(begin, m.start()) - 1 for m in re.finditer(rf"(?m)^(?!{_BLANK}$).", self.content)]
+        end.append(len(self.content))
+        return begin, np.add(end, np.searchsorted(self._wide, end)).tolist() if self._wide else end, full
+
+    def _margin(self, word: str) -> list[int]:
+        """Where the lines begin that begin with a word."""
+        if word not in self._margins:
+            self._margins[word] = [m.start() for m in re.finditer(f"(?m)^{re.escape(word)}", self.content)]
+        return self._margins[word]
+
+    def margin(self, start: int, word: str, most: int) -> int:
+        """The end of the line before the next one at the margin that begins with a word, or of the first line that isn't blank and ends beyond so many units."""
+        begin, unit_end, full = self._lines
+        line = bisect_right(begin, start) - 1
+        defined = self._margin(word)
+        following = bisect_left(defined, begin[line + 1]) if line + 1 < len(begin) else len(defined)
+        end = defined[following] - 1 if following < len(defined) else len(self.content)
+        beyond = max(line + 1, bisect_right(unit_end, start + bisect_left(self._wide, start) + most))
+        k = bisect_left(full, beyond)
+        if k == len(full):
+            return end
+        last = full[k]
+        return min(end, begin[last + 1] - 1 if last + 1 < len(begin) else len(self.content))
+
+    def body(self, start: int, lang: str, kind: str) -> str:
+        """The text of a definition that begins at a character."""
+        patterns, word, margin_most, default, _ = KINDS[kind]
+        if lang in BY_MARGIN:
+            return self.content[start : self.margin(start, word, margin_most)]
+        end = self.brace(start) if lang in patterns or lang in CLASS_PATTERNS else None
+        return self.content[start:end] if end is not None else _first_units(self.content[start : start + default], default)
+
+
+def definitions(lang: str, content: str, kind: str, time_limit: float | None = None, ends: Ends | None = None) -> Iterator[tuple[str, str]]:
+    """(name, body) of each definition; bodies of at most LEAST_BODY units and very long ones are left out.
+
+    All matches are made before the first is given, so a file that takes too long gives an error and nothing else.
+    """
     import regex
 
     patterns, _, _, _, most = KINDS[kind]
     if lang not in patterns:
         return
-    for m in regex.finditer(patterns[lang], content, timeout=time_limit):
-        name = next((g for g in m.groups() if g is not None), "")
-        if not name.strip():
-            continue
-        text = body(content, m.start(), lang, kind)
-        if LEAST_BODY < units(text) < most:
-            yield name, text
+    found = [(m.start(), next((g for g in m.groups() if g is not None), "")) for m in regex.finditer(patterns[lang], content, timeout=time_limit)]
+    ends = ends or Ends(content)
+    for start, name in found:
+        if name.strip():
+            text = ends.body(start, lang, kind)
+            size = len(text) if len(text) >= most or text.isascii() else units(text)
+            if LEAST_BODY < size < most:
+                yield name, text
+
 
+def extract_definitions(files: DataFrame, *kinds: str) -> DataFrame:
+    """Of files (rel, lang, content): rel, lang, kind, n (order in the file and kind), name, body; or error, where a kind's patterns took too long.
 
-def extract_definitions(files: DataFrame, kind: str) -> DataFrame:
-    """Of files (rel, lang, content): rel, lang, n (order in the file), name, body; error where a file took too long."""
+    A file is read once for all kinds. Rows are handed on as they are found: nested definitions may be many times as long as their file.
+    """
+    kinds, limit = kinds or tuple(KINDS), TIME_LIMIT
+    names = [c.split()[0] for c in DEFINITIONS.split(", ")]
+
+    def found(rel: str, lang: str, content: str) -> Iterator[tuple]:
+        ends = Ends(content)
+        for kind in kinds:
+            try:
+                for n, (name, text) in enumerate(definitions(lang, content, kind, limit, ends)):
+                    yield rel, lang, kind, n, name, text, None
+            except TimeoutError:
+                yield rel, lang, kind, -1, None, None, f"{kind} patterns took over {limit:g} s"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for b in batches:
-            out = []
             for rel, lang, content in zip(b["rel"], b["lang"], b["content"], strict=True):
-                try:
-                    found = list(definitions(lang, content or "", kind, TIME_LIMIT))  # all or none: what a slow file gave so far isn't kept
-                    out.extend((rel, lang, n, name, text, None) for n, (name, text) in enumerate(found))
-                except TimeoutError:
-                    out.append((rel, lang, -1, None, None, f"{kind} patterns took over {TIME_LIMIT:g} s"))
-            yield pd.DataFrame(out, columns=["rel", "lang", "n", "name", "body", "error"])
+                for row in found(rel, lang, content or ""):
+                    out.append(row)
+                    size += len(row[5] or "")
+                    if size > BATCH_CHARS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+        yield pd.DataFrame(out, columns=names)
 
-    return files.select("rel", "lang", "content").mapInPandas(run, "rel string, lang string, n int, name string, body string, error string")
+    wanted = F.col("lang").isin(*{lang for kind in kinds for lang in KINDS[kind][0]})
+    return files.where(wanted).select("rel", "lang", "content").mapInPandas(run, DEFINITIONS)
 
 
 def with_context(rel, lang, content):
@@ -134,11 +218,12 @@ def with_context(rel, lang, content):
     return F.concat(F.lit("path: "), rel, F.lit("\nlang: "), lang, F.lit("\n\n"), content)
 
 
-def records(files: DataFrame, root: str) -> DataFrame:
+def records(files: DataFrame, root: str, found: DataFrame | None = None) -> DataFrame:
     """The corpus records of files (rel, abs_path, lang, size, content): a file's own, its classes, its functions.
 
-    ``ordinal`` gives their order within a file.
+    ``ordinal`` gives their order within a file; ``found`` has the files' definitions, if they are there already.
     """
+    found = extract_definitions(files) if found is None else found
     rel, lang = F.translate("rel", "\\", "/"), F.col("lang")
     hints = top_identifiers(files.select(F.col("rel").alias("key"), F.col("content").alias("text")), 5)
     named = files.join(hints.withColumnRenamed("key", "rel"), "rel", "left")
@@ -152,10 +237,9 @@ def records(files: DataFrame, root: str) -> DataFrame:
 
     content, text = F.col("content"), F.col("body")
     out = shaped(named, "file", F.concat(rel, F.lit(".file")), file_title(rel, lang, F.coalesce("identifiers", F.array().cast("array<string>"))), none, none, F.col("size"), content, F.lit(-1).cast("long"))
-    paths = files.select("rel", "abs_path")
     size = F.length(F.encode(text, "UTF-16LE")) / 2
-    classes = extract_definitions(files, "class").where("error is null").join(paths, "rel")
-    functions = extract_definitions(files, "function").where("error is null").join(paths, "rel")
+    defined = found.where("error is null").drop("lang").join(files.select("rel", "abs_path", "lang"), "rel")
+    classes, functions = defined.where("kind = 'class'"), defined.where("kind = 'function'")
     name = F.col("name")
     out = out.unionByName(shaped(classes, "class", F.concat(rel, F.lit("."), name, F.lit(".class")), class_title(name, rel, lang, text), name, none, size, text, F.col("n").cast("long")))
     return out.unionByName(shaped(functions, "function", F.concat(rel, F.lit("."), name), function_title(name, rel, lang, text), none, name, size, text, F.col("n").cast("long") + (1 << 32)))

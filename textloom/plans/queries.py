@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as fn
-from textloom.operators import events, merge, retrieval, rules, structure
+from textloom.operators import events, merge, retrieval, structure
 from textloom.operators.identifiers import top_identifiers
 from textloom.sources import corpus as lines
 from textloom.sources import tree
@@ -227,79 +227,144 @@ def account_guarded(spark, sf_dir):
     return events.guarded(_commands(spark, sf_dir)).withColumns({c: F.col(c).cast("double") for c in ("amount", "balance")})
 
 
-SAMPLE_RULES = [
-    rules.Rule("clean", 5),
-    rules.Rule("score", 5, ("clean", "load")),
-    rules.Rule("load", 5),
-    rules.Rule("report", 9, ("score",)),
-    rules.Rule("audit", 1, ("REPORT", "unknown")),
-]
+#: Source around each document's whole text, a language a document in turn: how a class begins, its constructor and how a method of it begins and
+#: ends; how a function begins and ends. The text stands in the class and in the function; in it only what the patterns look for is made harmless.
+_BRACES = {
+    "cs": ("\n  internal class D", "  public D{}(int a) {{ }}\n", "  public int m{}(int x) {{ return x; }}\n", "\n  static int run", "(int a) {\n"),
+    "java": ("\n  public class D", "  protected D{}() {{ }}\n", "  private int m{}(int x) {{ return x; }}\n", "\n  public int run", "() {\n"),
+    "ts": ("export abstract class D", "  constructor(a) {{ }}\n", "  m{}(x) {{ return x; }}\n", "function run", "(a) {\n"),
+    "tsx": ("abstract class D", "  constructor(a) {{ }}\n", "  async m{}(x) {{ return x; }}\n", "let run", " = (a) => {\n"),
+    "js": ("class D", "  constructor() {{ }}\n", "  m{}(x) {{ return x; }}\n", "const run", " = (a, b) => {\n"),
+    "jsx": ("class D", "  constructor() {{ }}\n", "  async m{}() {{ return 1; }}\n", "var run", " = function(a) {\n"),
+    "swift": ("open class D", "  init(a: Int) {{ }}\n", "  var m{} = 1\n", "func run", "<T>(a: T) {\n"),
+    "kt": ("data class D", "  constructor(a: Int) {{ }}\n", "  val m{} = 1\n", None, None),
+    "php": ("class D", "  // D{}\n", "  public $m{} = 1;\n", "function run", "($a) {\n"),
+    "go": ("type D", "  // D{}\n", "  m{} int\n", "func (s *T) run", "(a int) int {\n"),
+    "rs": ("pub struct D", "  // D{}\n", "  m{}: i32,\n", "fn run", "<T>(a: T) -> T {\n"),
+    "c": (None, None, None, "static int run", "(int a) {\n"),
+    "cpp": (None, None, None, "inline int run", "(int a, int b) {\n"),
+}
+_LINES = {
+    "py": ("class D", ":\n", "    def __init__{}(self):\n        pass\n", "    def m{}(self):\n        pass\n", "def run", "(a):\n"),
+    "rb": ("class D", "\n", "  attr_reader :a\n", "  attr_reader :m\n", "def run", "(a)\n"),
+}
+_LANGUAGES = [*_BRACES, *_LINES]
+#: What the patterns look for, and what stands there instead.
+_HARMLESS = [("class", "cla.ss"), ("function", "func.tion"), ("def", "d.ef"), ("struct", "str.uct"), ("(", "<"), (")", ">"), ("{", "["), ("}", "]")]
+
+
+def _sources() -> list[tuple[str, list, list, bool]]:
+    """(language, parts of the class, parts of the function, by braces) of each language; a part is fixed, 'id', 'text', or a constructor or method to be repeated."""
+    out = []
+    for lang, (head, constructor, method, fn, begin) in _BRACES.items():
+        after = " struct" if lang == "go" else ""
+        klass = [head, "id", after + " {\n/* ", "text", " */\n", ("constructor", constructor), ("method", method), "}"] if head else []
+        function = [fn, "id", begin + "/* ", "text", " */\n}"] if fn else []
+        out.append((lang, klass, function, True))
+    for lang, (head, begin, constructor, method, fn, rest) in _LINES.items():
+        klass = [head, "id", begin, ("constructor", constructor), ("method", method), "  # ", "text", "\n"]
+        out.append((lang, klass, [fn, "id", rest, "  # ", "text", "\n"], False))
+    return out
 
 
-@query(f"WITH RECURSIVE rules AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r.id!r}, {r.priority}, {list(r.depends_on)}::varchar[])' for i, r in enumerate(SAMPLE_RULES))}) t(no, id, priority, depends_on)),"
-       + rules.PLAN_SQL.format(explode="unnest(depends_on)").split("WITH RECURSIVE", 1)[1])
-def rule_plan(spark, sf_dir):
-    return rules.plan_frame(spark, SAMPLE_RULES).withColumn("step", F.col("step").cast("long"))
+def _generated(spark, sf_dir):
+    """Source files (rel, abs_path, lang, size, content): a class with up to one constructor and three methods, then a function."""
+    text = F.coalesce("text", F.lit(""))
+    for what, other in _HARMLESS:
+        text = F.replace(text, F.lit(what), F.lit(other))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % len(_LANGUAGES)).cast("int").alias("k"), (F.col("doc_id") % 2).cast("int").alias("constructor"), (F.col("doc_id") % 4).cast("int").alias("method"), text.alias("text"))
 
+    def written(parts: list):
+        return [F.repeat(F.replace(F.lit(p[1].replace("{{", "{").replace("}}", "}")), F.lit("{}"), F.col("id")), F.col(p[0])) if isinstance(p, tuple) else F.col(p) if p in ("id", "text") else F.lit(p) for p in parts]
 
-_FILLER = "x = x + 1; "
+    content = F.when(F.lit(False), F.lit(""))
+    for k, (_, klass, function, braces) in enumerate(_sources()):
+        first = F.lit("// made\n" if braces else "# made\n")
+        content = content.when(F.col("k") == k, F.concat(first, *written(klass), F.lit("\n" if braces else ""), *written(function), F.lit("\n// end\n" if braces else "")))
+    lang = F.element_at(F.array(*[F.lit(lang) for lang in _LANGUAGES]), F.col("k") + 1)
+    files = rows.select(F.concat(F.lit("src\\d/D"), "id", F.lit("."), lang).alias("rel"), lang.alias("lang"), content.alias("content"))
+    return files.withColumns({"abs_path": F.concat(F.lit("/data/"), "rel"), "size": F.octet_length("content")})
 
 
-def _generated(spark, sf_dir):
-    """Source text from documents: a class with a method, its size varying by the id."""
-    body = F.concat(F.lit("// made\npublic class D"), F.col("doc_id").cast("string"), F.lit(" {\n  public int run(int x) { "), F.repeat(F.lit(_FILLER), F.col("doc_id") % 7), F.lit("return x; }\n}\n// end\n"))
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit(".java")).alias("rel"), F.lit("java").alias("lang"), body.alias("content"))
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
 
 
-@query(f"SELECT 'D' || doc_id || '.java' AS rel, 'D' || doc_id AS name, sha256('public class D' || doc_id || ' {{' || chr(10) || '  public int run(int x) {{ ' || repeat('{_FILLER}', (doc_id % 7)::int) || 'return x; }}' || chr(10) || '}}') AS body_hash FROM documents".replace("sha256('public", "sha256(chr(10) || 'public"))
+def _sql_parts(parts: list) -> str:
+    def one(p) -> str:
+        if isinstance(p, tuple):
+            return f"repeat(replace({_sql_text(p[1].replace('{{', '{').replace('}}', '}'))}, '{{}}', id), {p[0]})"
+        return p if p in ("id", "text") else _sql_text(p)
+
+    return " || ".join(map(one, parts)) or "''"
+
+
+def _structure_sql() -> str:
+    """f(rel, lang, kind, name, rest, most): what each definition's body would be without limits, and found(...): with them.
+
+    A body by lines ends with the first line that isn't blank and goes beyond the limit.
+    """
+    text = "coalesce(text, '')"
+    for what, other in _HARMLESS:
+        text = f"replace({text}, '{what}', '{other}')"
+    # Patterns that begin with words or white space take what stands before, too.
+    before = {"cs": "chr(10)", "java": "chr(10)", "c": "'made' || chr(10) || chr(10)", "cpp": "'made' || chr(10) || chr(10)"}
+    out = []
+    for k, (lang, klass, function, braces) in enumerate(_sources()):
+        # By lines, a class goes on over the function up to the end, and a function up to the end; a method is a function too, up to the function's line.
+        if klass:
+            out.append(f"SELECT id, '{lang}' AS lang, 'class' AS kind, 'D' || id AS name, {before.get(lang, "''")} || {_sql_parts(klass if braces else klass + function)} AS rest, 50000 AS most FROM d WHERE k = {k}")
+        if function:
+            out.append(f"SELECT id, '{lang}', 'function', 'run' || id, {before.get(lang, "''")} || {_sql_parts(function)}, 10000 FROM d WHERE k = {k}")
+    # Constructors and methods are functions where the patterns find them.
+    made = lambda t: f"replace({_sql_text(t.replace('{{', '{').replace('}}', '}'))}, '{{}}', id)"
+    for lang in ("cs", "java"):
+        for name, count, part in (("D", "constructor", _BRACES[lang][1]), ("m", "method", _BRACES[lang][2])):
+            out.append(f"SELECT id, '{lang}', 'function', '{name}' || id, chr(10) || {made(part.rstrip())}, 10000 FROM d, range({count}) WHERE k = {_LANGUAGES.index(lang)}")
+    head, begin, constructor, method, _, _ = _LINES["py"]
+    ends = "'  # ' || text || chr(10)"
+    out.append(f"SELECT id, 'py', 'function', '__init__' || id, ltrim({made(constructor)}, ' ') || repeat({made(method)}, method) || {ends}, 10000 FROM d WHERE k = {_LANGUAGES.index('py')} AND constructor = 1")
+    out.append(f"SELECT id, 'py', 'function', 'm' || id, ltrim({made(method)}, ' ') || repeat({made(method)}, method - 1 - i::int) || {ends}, 10000 FROM d, range(method) r(i) WHERE k = {_LANGUAGES.index('py')}")
+    units = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+    by_lines = "lang IN ('py', 'rb')"
+    return f"""d AS (SELECT doc_id::varchar AS id, doc_id % {len(_LANGUAGES)} AS k, (doc_id % 2)::int AS constructor, (doc_id % 4)::int AS method, {text} AS text FROM documents),
+        f AS MATERIALIZED (SELECT row_number() OVER () AS no, * FROM ({" UNION ALL ".join(out)})),
+        l AS (SELECT no, kind, most, unnest(string_split(rest, chr(10))) AS line, generate_subscripts(string_split(rest, chr(10)), 1) AS i FROM f WHERE {by_lines}),
+        c AS (SELECT *, sum({units.format("line")} + 1) OVER w - 1 AS upto, sum(length(line) + 1) OVER w - 1 AS chars FROM l WINDOW w AS (PARTITION BY no ORDER BY i)),
+        e AS (SELECT no, min(chars)::bigint AS chars FROM c WHERE i > 1 AND upto > most AND NOT regexp_full_match(line, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*') GROUP BY no),
+        b AS (SELECT id, lang, kind, name, CASE WHEN {by_lines} THEN substring(rest, 1, coalesce(chars, length(rest) - CASE WHEN kind = 'function' AND NOT starts_with(name, 'run') THEN 1 ELSE 0 END)) ELSE rest END AS body FROM f LEFT JOIN e USING (no)),
+        found AS (SELECT 'src\\d/D' || id || '.' || lang AS rel, lang, kind, name, body FROM b WHERE {units.format("body")} > 10 AND {units.format("body")} < CASE kind WHEN 'class' THEN 100000 ELSE 50000 END)"""
+
+
+@query(f"WITH {_structure_sql()} SELECT rel, name, sha256(body) AS body_hash FROM found WHERE kind = 'class'")
 def extract_classes(spark, sf_dir):
     return structure.extract_definitions(_generated(spark, sf_dir), "class").select("rel", "name", F.sha2("body", 256).alias("body_hash"))
 
 
-@query(f"SELECT 'D' || doc_id || '.java' AS rel, 'run' AS name, sha256(chr(10) || '  public int run(int x) {{ ' || repeat('{_FILLER}', (doc_id % 7)::int) || 'return x; }}') AS body_hash FROM documents")
+@query(f"WITH {_structure_sql()} SELECT rel, name, sha256(body) AS body_hash FROM found WHERE kind = 'function'")
 def extract_functions(spark, sf_dir):
     return structure.extract_definitions(_generated(spark, sf_dir), "function").select("rel", "name", F.sha2("body", 256).alias("body_hash"))
 
 
-#: Source in other languages: the language, what stands before a document's id and what after it.
-_SOURCES = (
-    ("py", "def run", "(x):\n    y = x\n\n    return y\ndef after(x):\n    return 0\n"),
-    ("rb", "def run", "(x)\n  y = x\n\n  y\nend\ndef after(x)\n  0\nend\n"),
-    ("js", "// made\nconst run", " = (a, b) => { if (a) { return b; } };\n// end\n"),
-    ("go", "// made\nfunc (s *T) run", "(a int) int { for { return a } }\n// end\n"),
-    ("rs", "// made\nfn run", "<T>(a: T) -> T { { a } }\n// end\n"),
-)
-
-
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
-
-
-def _other_languages() -> str:
-    """Names and bodies as the rules give them: up to the next definition at the margin, or to the brace that closes the first one."""
-    rows = []
-    for lang, before, after in _SOURCES:
-        head, rest = before.removeprefix("// made\n"), after.removesuffix("\n// end\n").removesuffix(";")
-        if lang in structure.BY_MARGIN:
-            rest, last = after.split("\ndef after", 1)
-            rows.append((lang, "'after'", _sql_text("def after" + last)))
-        rows.append((lang, "'run' || doc_id", f"{_sql_text(head)} || doc_id || {_sql_text(rest)}"))
-    return " UNION ALL ".join(f"SELECT 'D' || doc_id || '.{lang}' AS rel, {name} AS name, sha256({body}) AS body_hash FROM documents" for lang, name, body in rows)
+@query(f"WITH {_structure_sql()} SELECT lang, kind, count(*) AS definitions, sum(strlen(body))::bigint AS bytes, max(length(body))::bigint AS longest FROM found GROUP BY lang, kind")
+def extract_languages(spark, sf_dir):
+    """How much of each language both kinds take, from one pass over the files."""
+    found = structure.extract_definitions(_generated(spark, sf_dir)).where("error is null")
+    return found.groupBy("lang", "kind").agg(F.count("*").alias("definitions"), F.sum(F.octet_length("body")).alias("bytes"), F.max(F.length("body")).cast("long").alias("longest"))
 
 
-@query(_other_languages())
-def extract_languages(spark, sf_dir):
-    number = F.col("doc_id").cast("string")
-    files = [F.struct(F.concat(F.lit("D"), number, F.lit(f".{lang}")).alias("rel"), F.lit(lang).alias("lang"), F.concat(F.lit(before), number, F.lit(after)).alias("content")) for lang, before, after in _SOURCES]
-    rows = read(spark, sf_dir, "documents").select(F.explode(F.array(*files)).alias("f")).select("f.*")
-    return structure.extract_definitions(rows, "function").select("rel", "name", F.sha2("body", 256).alias("body_hash"))
+_MEMBERS = " ".join(f"WHEN lang IN ({', '.join(map(repr, langs))}) THEN len(regexp_extract_all(body, '{pattern.removeprefix('(?U)').replace('*+', '*')}'))" for langs, pattern in fn.MEMBER_PATTERNS.items())
+_HINT = "coalesce(nullif(lower(regexp_extract(body, '(?i)\\b(" + "|".join(fn.VERBS) + ")\\b', 1)), ''), 'function')"
 
 
-@query(f"""SELECT 'D' || doc_id || ' • 1 members • D' || doc_id || '.java java' AS title, 'class' AS type FROM documents
-    UNION ALL SELECT 'run — function (D' || doc_id || '.java java)', 'function' FROM documents""")
+@query(f"""WITH {_structure_sql()}, m AS (SELECT *, regexp_extract(rel, '[^\\\\/]*$') AS base, CASE {_MEMBERS} ELSE 0 END AS members,
+        CASE WHEN lang IN ('cs', 'java') THEN contains(body, 'public ' || name || '(') OR contains(body, 'private ' || name || '(') OR contains(body, 'protected ' || name || '(') WHEN lang = 'py' THEN contains(body, 'def __init__')
+            WHEN lang IN ('js', 'ts', 'jsx', 'tsx') THEN contains(body, 'constructor(') WHEN lang = 'swift' THEN contains(body, 'init(') WHEN lang = 'kt' THEN contains(body, 'constructor(') OR contains(body, 'class ' || name || '(') ELSE false END AS made FROM found)
+    SELECT 'src/d/' || base || '.' || name || CASE kind WHEN 'class' THEN '.class' ELSE '' END AS id, kind AS type,
+        CASE kind WHEN 'class' THEN concat_ws(' • ', name, CASE WHEN members > 0 THEN members || ' members' END, CASE WHEN made THEN 'constructor' END, base || ' ' || lang) ELSE name || ' — ' || {_HINT} || ' (' || base || ' ' || lang || ')' END AS title FROM m""")
 def structure_titles(spark, sf_dir):
-    files = _generated(spark, sf_dir).withColumns({"abs_path": F.concat(F.lit("/data/"), "rel"), "size": F.octet_length("content")})
-    return structure.records(files, "/data").where("type != 'file'").select("title", "type")
+    """Members and constructors vary by file; paths have backslashes in the source, not in the records."""
+    return structure.records(_generated(spark, sf_dir), "/data").where("type != 'file'").select("id", "type", "title")
 
 
 @query("SELECT source, count_if(n_chars <= 3000)::bigint AS files, sum(CASE WHEN n_chars <= 3000 THEN n_chars ELSE 0 END)::bigint AS bytes, count_if(n_chars > 3000)::bigint AS too_large FROM documents GROUP BY source")

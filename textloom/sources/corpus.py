@@ -9,9 +9,9 @@ RECORD = "id string, type string, title string, class_name string, function stri
 
 #: What a new corpus starts with, unless other lines are given.
 SEED = (
-    '{"id":"doc1","title":"Review workflow","text":"A request is reviewed by rules in order of priority before a person sees it."}',
-    '{"id":"doc2","title":"Status changes","text":"A status changes when a rule holds; each change is logged with its time."}',
-    '{"id":"doc3","title":"Rejection rules","text":"A request is rejected at once if its identity or consent is missing."}',
+    '{"id":"shuffle","title":"Shuffles","text":"A shuffle deals rows out by key, so that equal keys meet in one task; it writes to disk and crosses the network."}',
+    '{"id":"broadcast","title":"Broadcast joins","text":"A small table is sent to every executor, and the large one is joined where it lies, without a shuffle."}',
+    '{"id":"skew","title":"Skewed keys","text":"When one key has most of the rows, its task is the last to end; a salt deals such a key out to many tasks."}',
 )
 
 

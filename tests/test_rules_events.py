@@ -37,6 +37,55 @@ def test_guarded(spark):
     assert events.guarded(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("pieces", [5_000, 1])
+def test_an_account_over_many_segments(spark, monkeypatch, pieces):
+    """One account has nearly all commands; with one piece a map, nearly every segment is folded in its turn."""
+    monkeypatch.setattr(events, "MOST_PIECES", pieces)
+    r = random.Random(11)
+    rows = [("big" if r.random() < 0.95 else f"a{r.randrange(6)}", i, r.choice(["deposit", "withdraw", "withdraw"]), r.choice([-5, 0, 1, 3, 10, 40])) for i in range(600)]
+    rows += [(None, 1, "deposit", 5), ("zero", 1, "withdraw", None)]
+    df = spark.createDataFrame(rows, "account_id string, seq long, type string, amount int")
+    got = rows_of(events.guarded(df, segment_rows=60))
+    assert got == model([(a, q, k, m or 0) for a, q, k, m in rows if a])
+
+
+def test_balance_maps_are_folds():
+    r = random.Random(2)
+    for _ in range(200):
+        low = r.randrange(20)
+        m = events.BalanceMap(low, low + r.randrange(60))
+        run = [(r.choice(["deposit", "withdraw"]), r.randrange(-2, 30)) for _ in range(r.randrange(40))]
+        for kind, amount in run:
+            m.then(kind, amount)
+        for b in range(low, m.high + 1):
+            after = b
+            for kind, amount in run:
+                after = events.decide(after, kind, amount)[1]
+            assert m(b) == after
+
+
+def test_versions_and_snapshots(spark):
+    r = random.Random(5)
+    log = [(f"a{r.randrange(3)}", r.choice(["deposit", "withdraw"]), r.randrange(1, 100)) for _ in range(200)]
+    numbered, balance = [], {}
+    for a, kind, amount in log:
+        version = max((v for b, v in balance if b == a), default=0) + 1
+        balance[a, version] = balance.get((a, version - 1), 0) + (amount if kind == "deposit" else -amount)
+        numbered.append((a, version, kind, amount))
+    df = spark.createDataFrame(numbered, "account_id string, version long, type string, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    taken = events.snapshots(df.where("version <= 35"), 7)
+    assert {(x["account_id"], x["version"]): float(x["balance"]) for x in taken.collect()} == {k: v for k, v in balance.items() if k[1] % 7 == 0 and k[1] <= 35}
+    more = events.extend_snapshots(taken, df, 7)
+    whole = taken.unionByName(more)
+    assert {(x["account_id"], x["version"]): float(x["balance"]) for x in whole.collect()} == {k: v for k, v in balance.items() if k[1] % 7 == 0}
+    asks = [(i, f"a{r.randrange(4)}", r.randrange(-1, 90)) for i in range(150)]
+    wanted = spark.createDataFrame(asks, "request long, account_id string, version long")
+    want = {i: (0.0 if v == 0 and a != "a3" else balance.get((a, v))) for i, a, v in asks}
+    for shots in (taken, whole, taken.where("version != 14"), taken.where("false")):
+        got = {x["request"]: None if x["balance"] is None else float(x["balance"]) for x in events.at_versions(df, shots, wanted, 7).collect()}
+        assert got == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = sample()
     df = spark.createDataFrame(rows, "account_id string, seq long, type string, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))

@@ -227,6 +227,26 @@ def account_guarded(spark, sf_dir):
     return events.guarded(_commands(spark, sf_dir)).withColumns({c: F.col(c).cast("double") for c in ("amount", "balance")})
 
 
+@query(f"""WITH {_COMMANDS}, s AS (SELECT account_id, seq AS version, sum(CASE type WHEN 'deposit' THEN amount ELSE -amount END) OVER (PARTITION BY account_id ORDER BY seq) AS balance FROM c)
+    SELECT account_id, version, balance::decimal(18,2)::double AS balance FROM s WHERE version % 16 = 0""")
+def account_snapshots(spark, sf_dir):
+    """Snapshots taken of the log up to a time, then extended by what came after it."""
+    log = events.numbered(_commands(spark, sf_dir))
+    early = events.snapshots(log.where("version <= 40"), 16)
+    return early.unionByName(events.extend_snapshots(early, log, 16)).withColumn("balance", F.col("balance").cast("double"))
+
+
+@query(f"""WITH {_COMMANDS}, s AS (SELECT account_id, seq AS version, sum(CASE type WHEN 'deposit' THEN amount ELSE -amount END) OVER (PARTITION BY account_id ORDER BY seq) AS balance FROM c),
+        w AS (SELECT event_id AS request, user_id::varchar AS account_id, (event_id * 7919) % 83 AS version FROM events)
+    SELECT request, account_id, version, CASE WHEN version = 0 THEN 0.0 ELSE balance::decimal(18,2)::double END AS balance FROM w LEFT JOIN s USING (account_id, version)""")
+def account_versions(spark, sf_dir):
+    """Each event asks for its account at some version: the snapshots don't reach all of them, and neither does the log."""
+    log = events.numbered(_commands(spark, sf_dir))
+    wanted = read(spark, sf_dir, "events").select(F.col("event_id").alias("request"), F.col("user_id").cast("string").alias("account_id"), (F.col("event_id") * 7919 % 83).alias("version"))
+    taken = events.snapshots(log.where("version <= 50"), 16)
+    return events.at_versions(log, taken, wanted, 16).withColumn("balance", F.col("balance").cast("double"))
+
+
 #: Source around each document's whole text, a language a document in turn: how a class begins, its constructor and how a method of it begins and
 #: ends; how a function begins and ends. The text stands in the class and in the function; in it only what the patterns look for is made harmless.
 _BRACES = {

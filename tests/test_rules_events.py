@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.operators import events
 from textloom.operators.retrieval import TfIdfIndex
 from textloom.operators.rules import Context, Rule, RuleEngine
-from textloom.streaming.accounts import guarded_stream
+from textloom.streaming.accounts import guarded_in_order, guarded_stream, side_output, use_rocksdb
 
 COMMANDS = "account_id string, seq long, type string, amount decimal(18,2)"
 
@@ -98,6 +99,51 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows_of(spark.table("accounts")) == model(rows)
 
 
+def put(spark, path, rows):
+    df = spark.createDataFrame(rows, "account_id string, seq long, type string, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    df.coalesce(1).write.mode("append").parquet(str(path))
+
+
+def in_order(spark, tmp_path, name, patience):
+    use_rocksdb(spark)
+    (tmp_path / name).mkdir(exist_ok=True)
+    stream = guarded_in_order(spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)), patience)
+    return stream.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-state"))
+
+
+def test_shuffled_stream_equals_batch(spark, tmp_path):
+    """Commands of several accounts come in any order over three micro-batches, each run after a restart."""
+    rows, seen = [], {}
+    for a, _, kind, amount in sample():
+        seen[a] = seen.get(a, 0) + 1
+        rows.append((a, seen[a], kind, amount))
+    shuffled = rows[:]
+    random.Random(4).shuffle(shuffled)
+    for part in (shuffled[:70], shuffled[70:110], shuffled[110:]):
+        put(spark, tmp_path / "shuffled", part)
+        assert in_order(spark, tmp_path, "shuffled", None).trigger(availableNow=True).start().awaitTermination(100)
+    decided, side = side_output(spark.read.parquet(str(tmp_path / "shuffled-out")))
+    assert rows_of(decided) == model(rows) and not side.count()
+
+
+def test_gaps_are_given_up(spark, tmp_path):
+    first = [("a", 1, "deposit", 10), ("a", 4, "withdraw", 3), ("a", 5, "withdraw", 30), ("b", 1, "deposit", 2), ("a", 5, "deposit", 9)]
+    query = in_order(spark, tmp_path, "gaps", 0.01).trigger(processingTime="100 milliseconds").start()
+    rows = lambda: spark.read.parquet(str(tmp_path / "gaps-out")).count() if (tmp_path / "gaps-out/_spark_metadata/0").exists() else 0
+    try:
+        for part, enough in ((first, 7), ([("b", 2, "withdraw", 1)], 8), ([("a", 2, "deposit", 100), ("a", 6, "deposit", 1), ("b", 2, "deposit", 8)], 11)):
+            put(spark, tmp_path / "gaps", part)
+            end = time.time() + 60
+            while rows() < enough and time.time() < end:
+                time.sleep(0.5)
+    finally:
+        query.stop()
+    out = spark.read.parquet(str(tmp_path / "gaps-out"))
+    decided, side = side_output(out)
+    assert rows_of(decided) == [("a", 1, True, 10.0), ("a", 4, True, 7.0), ("a", 5, False, 7.0), ("a", 6, True, 8.0), ("b", 1, True, 2.0), ("b", 2, True, 1.0)]
+    assert sorted((r["account_id"], r["seq"], r["status"]) for r in side.collect()) == [("a", 2, "late"), ("a", 2, "missing"), ("a", 3, "missing"), ("a", 5, "repeated"), ("b", 2, "late")]
+
+
 def test_rules(spark):
     seen = []
     rule = lambda i, p=0, d=(), **k: Rule(i, p, d, apply=lambda df: (seen.append(i), df)[1], **k)

@@ -1,8 +1,9 @@
 """TF-IDF index and cosine retrieval.
 
 Texts, not their tokens, are dealt out by their index: a text's terms are then counted without a further shuffle.
-Document frequencies are joined by token. The weights of a batch of queries go to the postings of each text
-where they are few enough to be broadcast, so that only each task's best hits are shuffled.
+Document frequencies are joined by token. A batch of queries is answered by bounds: no document gets more from a token than
+the query's weight times the token's greatest weight in any document. Scores through each query's strongest tokens give a threshold; tokens whose
+bounds together stay below it make no candidates, and candidates that can't reach it any more aren't scored to the end.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from textloom.functions.text import tokenize
+from textloom.scratch import keep
 
+#: Tokens of each query, by their bounds, that the first threshold comes from.
+FIRST_TOKENS = 3
+#: Scores are rounded to 6 places, so what is this much below a threshold may still tie with it.
+SLACK = 2e-6
 #: Terms of a batch of queries that may be broadcast; beyond them the postings are joined by shuffle.
 BROADCAST_TERMS = 500_000
 
@@ -74,16 +80,61 @@ class TfIdfIndex:
             qw = F.broadcast(qw)
         return self.postings.join(qw, "token").groupBy("query_id", "doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
 
+    def bounds(self, queries: DataFrame) -> DataFrame:
+        """(query_id, token, qw, bound): what a token can give a document at most."""
+        greatest = self.postings.groupBy("token").agg(F.max("w").alias("greatest"))
+        return self.query_weights(queries).join(greatest, "token").select("query_id", "token", "qw", (F.col("qw") * F.col("greatest")).alias("bound"))
+
+    def _partial(self, terms: DataFrame) -> DataFrame:
+        """(query_id, doc_index, part): scores through some tokens only."""
+        terms = terms.select("query_id", "token", "qw")
+        if terms.count() <= BROADCAST_TERMS:
+            terms = F.broadcast(terms)
+        return self.postings.join(terms, "token").groupBy("query_id", "doc_index").agg(F.sum(F.col("w") * F.col("qw")).alias("part"))
+
+    @staticmethod
+    def _threshold(parts: DataFrame, k: int) -> DataFrame:
+        """(query_id, least): the k-th best of partial scores, where there are k."""
+        best = Window.partitionBy("query_id").orderBy(F.desc("part"))
+        return parts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("part").alias("least"))
+
+    def candidates(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, doc_index, part) of the documents that may be among the k best, and (query_id, token, qw) of the tokens that ``part`` leaves out.
+
+        A document that is left out scores less than k others do.
+        """
+        terms = keep(self.bounds(queries), "bounds")
+        strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "token")
+        first = terms.withColumn("r", F.row_number().over(strongest)).where(F.col("r") <= FIRST_TOKENS)
+        least = keep(self._threshold(self._partial(first), k), "thresholds")
+        # Weakest first: as long as the bounds together stay below the threshold, a document needs another token.
+        weakest = Window.partitionBy("query_id").orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
+        terms = terms.withColumn("together", F.sum("bound").over(weakest)).join(least, "query_id", "left")
+        terms = keep(terms.withColumn("needed", (F.col("together") >= F.col("least") - SLACK) | F.col("least").isNull()).drop("together"), "terms")
+        parts = keep(self._partial(terms.where("needed")), "parts")
+        rest = terms.where(~F.col("needed")).groupBy("query_id").agg(F.sum("bound").alias("rest"))
+        reached = self._threshold(parts, k)
+        kept = parts.join(rest, "query_id", "left").join(reached, "query_id", "left")
+        kept = kept.where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0)) - SLACK)
+        return kept.select("query_id", "doc_index", "part"), terms.where(~F.col("needed")).select("query_id", "token", "qw")
+
     def retrieve_batch(self, queries: DataFrame, k: int = 3) -> DataFrame:
         """The k best documents of each query; those without a common token have score 0 and fill up by index."""
         if k < 1:
             raise ValueError("k must be at least 1")
+        queries = queries.select("query_id", "text")
+        kept, rest = self.candidates(queries, k)
+        kept = keep(kept, "kept")
+        # What the left-out tokens add: the postings of candidates only.
+        more = kept.join(rest, "query_id").join(self.postings.select("doc_index", "token", "w"), ["doc_index", "token"])
+        more = more.select("query_id", "doc_index", (F.col("w") * F.col("qw")).alias("part"))
+        scored = kept.unionByName(more).groupBy("query_id", "doc_index").agg(F.round(F.sum("part"), 6).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_index")
         # The first k documents of the corpus are all that can be needed to fill up.
         first = [r[0] for r in self.docs.select("doc_index").orderBy("doc_index").limit(k).collect()]
         fill = F.array(*[F.lit(i) for i in first]).cast("array<long>")
         filled = queries.select("query_id").distinct().select("query_id", F.explode(fill).alias("doc_index"), F.lit(0.0).alias("score"))
-        rows = self.scores(queries).unionByName(filled).groupBy("query_id", "doc_index").agg(F.max("score").alias("score"))
+        rows = scored.unionByName(filled).groupBy("query_id", "doc_index").agg(F.max("score").alias("score"))
         return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def retrieve(self, query: str, k: int = 3) -> DataFrame:
@@ -92,8 +143,10 @@ class TfIdfIndex:
             raise ValueError("k must be at least 1")
         spark = self.docs.sparkSession
         qw = self.query_weights(spark.createDataFrame([(0, query)], "query_id int, text string")).select("token", "qw")
-        scored = self.postings.join(F.broadcast(qw), "token").groupBy("doc_index").agg(F.sum(F.col("w") * F.col("qw")).alias("s"))  # a query's tokens
-        ranked = self.docs.select("doc_index").join(scored, "doc_index", "left").select("doc_index", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+        scored = self.postings.join(F.broadcast(qw), "token").groupBy("doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))  # a query's tokens
+        # Documents without a common token score 0; of those only the first k can be among the hits.
+        first = self.docs.select("doc_index").orderBy("doc_index").limit(k).withColumn("score", F.lit(0.0))
+        ranked = scored.unionByName(first).groupBy("doc_index").agg(F.max("score").alias("score"))
         top = ranked.orderBy(F.desc("score"), "doc_index").limit(k)
         # Texts are read for the hits only.
         return self.docs.join(F.broadcast(top), "doc_index").select("doc_index", "score", "text").orderBy(F.desc("score"), "doc_index")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom import scratch
 from textloom.functions import text as fn
 from textloom.operators import events, merge, retrieval, structure
 from textloom.operators.identifiers import top_identifiers
+from textloom.operators.stored_index import StoredIndex
 from textloom.sources import corpus as lines
 from textloom.sources import tree
 
@@ -92,7 +94,30 @@ def retrieve_oov(spark, sf_dir):
     SELECT query_id, doc_index, score::double AS score, rank FROM r WHERE rank <= 3""")
 def retrieve_batch(spark, sf_dir):
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.TfIdfIndex.build(corpus(spark, sf_dir), persist=False).retrieve_batch(queries, 3).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.TfIdfIndex.build(corpus(spark, sf_dir)).retrieve_batch(queries, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _refreshed(spark, sf_dir) -> StoredIndex:
+    """An index of the documents but for French ones, where every é was an e, refreshed to the documents as they are, but for German ones."""
+    docs = corpus(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_index"), "lang"), "doc_index")
+    old = docs.where("lang <> 'fr'").select("doc_index", F.replace("text", F.lit("é"), F.lit("e")).alias("text"))
+    index = StoredIndex.open(spark, scratch.path(spark, "index")).refresh(old)
+    changed = docs.where("lang <> 'de'").join(old.select("doc_index", F.sha2("text", 256).alias("was")), "doc_index", "left").where(F.col("was").isNull() | (F.col("was") != F.sha2("text", 256)))
+    return index.refresh(changed.select("doc_index", "text"), docs.where("lang = 'de'").select("doc_index"))
+
+
+def _without_german(sql: str) -> str:
+    return sql.replace("FROM documents", "FROM (SELECT * FROM documents WHERE lang <> 'de')")
+
+
+@query(_without_german(f"WITH {_TF}, {_IDF}, {_W} SELECT doc_id AS doc_index, token, tf, round(w, 6) AS w FROM w"))
+def index_refreshed(spark, sf_dir):
+    return _refreshed(spark, sf_dir).postings().withColumn("w", F.round("w", 6))
+
+
+@query(_without_german(f"{_top(QUESTION, 3)} SELECT * FROM top"))
+def index_retrieve(spark, sf_dir):
+    return _refreshed(spark, sf_dir).retrieve(QUESTION, 3)
 
 
 @query(f"{_top(QUESTION, 3)} SELECT 'Context:' || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY score DESC, doc_index) || chr(10) || chr(10) || 'Answer clearly:' AS prompt FROM top")

@@ -1,7 +1,7 @@
 """Source trees: listing, filters, reading, manifests.
 
-Spark's file sources skip names that begin with a dot or an underscore, so a tree is listed on the
-driver (names and sizes only) and its files are read by tasks.
+Spark's file sources skip names that begin with a dot or an underscore, so tasks list a tree's directories and read its files
+themselves; the tree is in a folder that all of them reach.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import basename, tree_line
+from textloom.scratch import keep
 
 MAX_BYTES = 3_145_728
 #: Bytes that are read at once where only the hash is wanted.
@@ -47,36 +48,70 @@ IGNORED_DIRECTORIES = (
 LISTING = "ord long, depth int, is_dir boolean, rel string, abs_path string, size long, mtime double"
 
 
-def walk(root: str, max_depth: int | None = None) -> Iterator[tuple[int, str, list[str]]]:
-    """(depth, directory, its files in order) in preorder, down to a depth; directories that can't be read are empty."""
-    pending = [(0, os.path.abspath(root))]
-    while pending:
-        depth, here = pending.pop()
+#: Directories that one task lists at a time.
+TASK_DIRECTORIES = 200
+_FOUND = "key binary, depth int, is_dir boolean, rel string, abs_path string, size long, mtime double"
+
+
+def entries(directory: str) -> list[os.DirEntry]:
+    """What a directory holds, by name; one that can't be read is empty."""
+    try:
+        with os.scandir(directory) as found:
+            return sorted(found, key=lambda e: e.name)
+    except OSError:
+        return []
+
+
+def ignored(name: str) -> bool:
+    return name.lower() in IGNORED_DIRECTORIES
+
+
+def _list(key: bytes, depth: int, rel: str, directory: str) -> Iterator[tuple]:
+    """A directory's files and the directories to go on with.
+
+    A key orders a tree: a directory comes before what it holds, its files before its directories, each by name. A file's name is
+    marked by 1, a directory's by 2, and both end with 0, which is in no name.
+    """
+    for e in entries(directory):
+        below = f"{rel}/{e.name}" if rel else e.name
+        name = e.name.encode("utf-8", "surrogateescape") + b"\0"
+        if e.is_dir():
+            if not ignored(e.name):
+                yield key + b"\2" + name, depth + 1, True, below, e.path, None, None
+            continue
         try:
-            with os.scandir(here) as found:
-                entries = sorted(found, key=lambda e: e.name)
+            st = os.stat(e.path)
         except OSError:
-            entries = []
-        yield depth, here, [e.name for e in entries if not e.is_dir()]
-        if max_depth is not None and depth >= max_depth:
             continue
-        pending.extend((depth + 1, e.path) for e in reversed(entries) if e.is_dir() and e.name.lower() not in IGNORED_DIRECTORIES)
+        yield key + b"\1" + name, depth, False, below, e.path, st.st_size, st.st_mtime
 
 
 def listing(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
-    """A row for each directory but the root and each file, in preorder; a file's depth is its directory's."""
-    root, rows = os.path.abspath(root), []
-    for depth, here, names in walk(root, max_depth):
-        if depth:
-            rows.append((len(rows), depth, True, os.path.relpath(here, root), here, None, None))
-        for name in names:
-            path = os.path.join(here, name)
-            try:
-                st = os.stat(path)
-            except OSError:
-                continue
-            rows.append((len(rows), depth, False, os.path.relpath(path, root), path, st.st_size, st.st_mtime))
-    return spark.createDataFrame(rows, LISTING)
+    """A row for each directory but the root and each file, in preorder by ``ord``; a file's depth is its directory's.
+
+    The tree is listed level by level: the directories of a level are dealt out, tasks list them, and those they find are the next level. The driver
+    sees how many there are, no names. ``ord`` rises in preorder, with gaps.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, depth, rel, path in zip(b["key"], b["depth"], b["rel"], b["abs_path"], strict=True):
+                yield pd.DataFrame(list(_list(bytes(key), depth, rel, path)), columns=[c.split()[0] for c in _FOUND.split(", ")]).astype({"size": "Int64"})
+
+    level = spark.createDataFrame([(b"", 0, "", os.path.abspath(root))], "key binary, depth int, rel string, abs_path string")
+    out, n, depth = spark.createDataFrame([], _FOUND), 1, 0
+    while n:
+        parts = min(spark.sparkContext.defaultParallelism * 8, -(-n // TASK_DIRECTORIES))
+        dealt = level.repartition(parts, F.xxhash64("abs_path")) if parts > 1 else level.coalesce(1)
+        found = keep(dealt.mapInPandas(run, _FOUND), "listing")
+        if max_depth is not None and depth >= max_depth:
+            out = out.unionByName(found.where("not is_dir"))
+            break
+        out = out.unionByName(found)
+        level, depth = found.where("is_dir").select("key", "depth", "rel", "abs_path"), depth + 1
+        n = level.count()
+    ordered = out.repartitionByRange("key").sortWithinPartitions("key").withColumn("ord", F.monotonically_increasing_id())
+    return keep(ordered.select(*[c.split()[0] for c in LISTING.split(", ")]), "tree")
 
 
 def allowed(path="rel"):
@@ -135,13 +170,23 @@ def read_files(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame
     return rows.repartition(F.col("ord")).mapInPandas(run, "ord long, rel string, abs_path string, lang string, size long, content string, file_hash string, error string")
 
 
-def manifest(files: DataFrame, root: str) -> DataFrame:
-    """One row (id, type, path, root, text): the tree as text, a line for each directory and file."""
+def manifest_lines(files: DataFrame, root: str) -> DataFrame:
+    """(ord, line) of the tree as text: its name first, then a line for each directory and file."""
     name = basename("rel")
     line = F.when(F.col("is_dir"), F.concat(F.repeat(F.lit(" "), (F.col("depth") - 1) * 4), F.lit("└── "), name)).otherwise(F.concat(F.repeat(F.lit(" "), F.col("depth") * 4), F.lit("├── "), name))
-    top = os.path.basename(root.rstrip("/"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])
-    return files.agg(F.concat_ws("\n", F.lit(top), F.array_join(lines, "\n")).alias("text")).select(F.lit("__TREE__").alias("id"), F.lit("tree").alias("type"), F.lit("__TREE__").alias("path"), F.lit(root).alias("root"), F.rtrim("text").alias("text"))
+    top = files.sparkSession.createDataFrame([(-1, os.path.basename(root.rstrip("/")))], "ord long, line string")
+    return top.unionByName(files.select("ord", line.alias("line")))
+
+
+def write_manifest(files: DataFrame, root: str, path: str) -> None:
+    """The tree's lines in order, as text files."""
+    manifest_lines(files, root).repartitionByRange("ord").sortWithinPartitions("ord").select("line").write.mode("overwrite").text(path)
+
+
+def manifest(files: DataFrame, root: str) -> DataFrame:
+    """One row (id, type, path, root, text): the tree as text. A corpus has it in one record, so all lines meet; ``write_manifest`` needs no such row."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
+    return manifest_lines(files, root).agg(F.array_join(lines, "\n").alias("text")).select(F.lit("__TREE__").alias("id"), F.lit("tree").alias("type"), F.lit("__TREE__").alias("path"), F.lit(root).alias("root"), F.rtrim("text").alias("text"))
 
 
 def directory_records(spark: SparkSession, root: str, depth: int = 8, embed_text: bool = True) -> DataFrame:

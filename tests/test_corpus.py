@@ -205,3 +205,58 @@ def test_directory_records(spark, source):
     rows = {r["rel"]: r for r in tree.directory_records(spark, str(source), 0).collect()}
     assert "b.py" in rows and "sub/d.cs" not in rows and rows["b.py"]["lang"] == "py"
     assert tree.directory_records(spark, str(source), 0, False).where(F.col("text").isNotNull()).count() == 0
+
+
+def test_answers_to_a_table_of_prompts(spark):
+    from textloom.sources.model_server import answers
+
+    def transport(method, address, body, timeout):
+        last = body["messages"][-1]["content"]
+        if last == "bad":
+            raise OSError("refused")
+        yield json.dumps({"message": {"content": f" {len(body['messages'])} {last} "}})
+
+    server = ModelServer(transport=transport)
+    rows = [(1, "a"), (2, None), (3, "bad"), (4, ""), (1, "a")]
+    got = answers(spark.createDataFrame(rows, "id long, prompt string"), server, 3).collect()
+    assert sorted((r["id"], r["answer"] or "", r["error"] or "") for r in got) == [(1, "1 a", ""), (1, "1 a", ""), (2, "", ""), (3, "", "OSError: refused"), (4, "1", "")]
+    talk = spark.createDataFrame([("x", [("system", "s"), ("user", "u")])], "id string, messages array<struct<role string, content string>>")
+    assert [tuple(r) for r in answers(talk, server).collect()] == [("x", "2 u", None)]
+    assert answers(spark.createDataFrame([], "id long, prompt string"), server).count() == 0
+
+
+def test_release_is_mirrored_where_links_cannot_be_made(tmp_path, monkeypatch):
+    from textloom import setup
+
+    (tmp_path / "r/sub").mkdir(parents=True)
+    (tmp_path / "r/sub/f").write_text("1")
+    link = str(tmp_path / "model")
+    assert setup.point(link, str(tmp_path / "r")) and os.path.islink(link)
+
+    def refuse(*args, **kw):
+        raise OSError("no links here")
+
+    monkeypatch.setattr(setup.os, "symlink", refuse)
+    assert not setup.point(link, str(tmp_path / "r")) and not os.path.islink(link) and open(f"{link}/sub/f").read() == "1"
+    (tmp_path / "r/sub/f").write_text("2")
+    setup.point(link, str(tmp_path / "r"))  # the copy is replaced
+    assert open(f"{link}/sub/f").read() == "2"
+
+
+def test_tree_into_buckets(spark, source, tmp_path):
+    from textloom.operators import extract as e
+
+    path = f"file://{tmp_path}/store"
+    first = e.refresh_store(spark, str(source), path)
+    e.extract(spark, str(source), f"file://{tmp_path}/plain.jsonl")
+    ids = lambda rows: [json.loads(r[0])["id"] for r in rows]
+    assert ids(first.lines().orderBy("section", "ord", "sub").select("json").collect()) == ids(corpus.numbered_lines(spark, f"file://{tmp_path}/plain.jsonl").orderBy("pos").select("value").collect())
+    again = e.refresh_store(spark, str(source), path, prune_deleted=True)
+    assert again.folders == first.folders and again.number == 2
+
+
+def test_time_spans(spark):
+    from textloom.functions.text import format_time_span
+
+    rows = spark.createDataFrame([(0.4,), (59.4,), (60.0,), (90.0,), (3599.0,), (5400.0,), (None,)], "s double")
+    assert [r[0] for r in rows.select(format_time_span("s")).collect()] == ["0s", "59s", "1.0m", "1.5m", "60.0m", "1.5h", None]

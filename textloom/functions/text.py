@@ -75,6 +75,12 @@ def format_bytes(n: Column | str) -> Column:
     return out
 
 
+def format_time_span(seconds: Column | str) -> Column:
+    """Whole seconds below a minute, then minutes and hours with one decimal."""
+    x = col(seconds).cast("double")
+    return F.when(x < 60, F.format_string("%.0fs", x)).when(x < 3600, F.format_string("%.1fm", x / 60)).when(x.isNotNull(), F.format_string("%.1fh", x / 3600))
+
+
 def utf16_length(text: Column | str) -> Column:
     return (F.length(F.encode(col(text), "UTF-16LE")) / 2).cast("int")
 

@@ -10,7 +10,9 @@ from pyspark.storagelevel import StorageLevel
 
 from textloom.operators import merge as m
 from textloom.operators.structure import extract_definitions, records
+from textloom.scratch import keep
 from textloom.sources import corpus, tree
+from textloom.sources.partitioned import PartitionedCorpus, refresh
 
 log = logging.getLogger(__name__)
 
@@ -57,5 +59,17 @@ def extract(spark: SparkSession, root: str, path: str, max_bytes: int = tree.MAX
     return n
 
 
+def refresh_store(spark: SparkSession, root: str, path: str, max_bytes: int = tree.MAX_BYTES, prune_deleted: bool = False) -> PartitionedCorpus:
+    """Refresh a corpus in buckets from a tree: only the buckets of files that changed are written. Errors are as in ``extract``."""
+    files = tree.listing(spark, root)
+    read = keep(tree.read_files(tree.source_files(files, max_bytes), max_bytes), "read")
+    head = tree.manifest(files, root)
+    line = head.select(F.to_json(F.struct(*head.columns)).alias("json"))
+    listed = read.select(F.concat("rel", F.lit(".file")).alias("id")) if prune_deleted else None
+    target, errors = refresh(read, PartitionedCorpus.open(spark, path), root, line, listed)
+    errors.write.mode("overwrite").json(errors_path(path))
+    return target
+
+
 def errors_path(path: str) -> str:
     return f"{path.rstrip('/')}.errors"

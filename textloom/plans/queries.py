@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from textloom.operators.identifiers import top_identifiers
 from textloom.operators.stored_index import StoredIndex
 from textloom.sources import corpus as lines
 from textloom.sources import tree
+from textloom.sources.model_server import ModelServer, answers
+from textloom.sources.partitioned import PartitionedCorpus, refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,6 +207,32 @@ def dedupe_last_wins(spark, sf_dir):
     return merge.last_wins(entries).select("id", "pos", "hash")
 
 
+@query("""SELECT 'docs/' || source || '/' || doc_id || '.txt.file' AS id, CASE WHEN lang = 'fr' OR contains(text, 'é') THEN 2 ELSE 1 END::bigint AS epoch, sha256(text) AS hash FROM documents""")
+def corpus_buckets(spark, sf_dir):
+    """A corpus in buckets of the documents but for French ones, where every é was an e; then refreshed to the documents as they are."""
+    files = _documents_as_files(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    old = files.join(read(spark, sf_dir, "documents").where("lang <> 'fr'").select(F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel")), "rel", "left_semi")
+    store = PartitionedCorpus.open(spark, scratch.path(spark, "corpus"), 32)
+    store, _ = refresh(old.withColumn("content", F.replace("content", F.lit("é"), F.lit("e"))), store, "/data")
+    store, _ = refresh(files, store, "/data")
+    return store.entries().select("id", "epoch", "hash")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN contains(text, '?') THEN NULL ELSE trim(replace(text, 'e', '3'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS answer,
+    CASE WHEN contains(text, '?') THEN 'ValueError: no questions' END AS error FROM conversations""")
+def answer_prompts(spark, sf_dir):
+    """All turns asked of a stand-in for the server, which writes each e as a 3 and refuses questions."""
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("prompt"))
+    return answers(turns, ModelServer(transport=_stand_in)).select("id.conv_id", "id.turn", "answer", "error")
+
+
+def _stand_in(method, address, body, timeout):
+    text = body["messages"][0]["content"]
+    if "?" in text:
+        raise ValueError("no questions")
+    yield json.dumps({"message": {"content": text.replace('e', '3')}})
+
+
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND sha256(e.text) = sha256(replace(d.text, 'é', 'e')))")
 def changed_files(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,20 @@ def folders(root: str) -> dict[str, str]:
     return {"root": root, "current": current, "data": os.path.join(current, "data"), "models": models, "models_current": os.path.join(models, "current"), "releases": os.path.join(models, "releases")}
 
 
+def point(link: str, target: str) -> bool:
+    """Make a link to a folder, in place of the link or folder there; where links can't be made, a copy. Returns whether it is a link."""
+    if os.path.islink(link) or os.path.isfile(link):
+        os.unlink(link)
+    elif os.path.isdir(link):
+        shutil.rmtree(link)
+    try:
+        os.symlink(target, link, target_is_directory=True)
+        return True
+    except (OSError, NotImplementedError):
+        shutil.copytree(target, link)
+        return False
+
+
 def setup(spark: SparkSession, root: str, server: ModelServer, now: datetime | None = None) -> dict[str, str]:
     """Make what is missing and return where it is."""
     at = folders(root)
@@ -35,8 +50,5 @@ def setup(spark: SparkSession, root: str, server: ModelServer, now: datetime | N
         with open(os.path.join(release, name), "w", encoding="utf-8") as f:
             f.write(text)
     link = os.path.join(at["models_current"], "model")
-    if os.path.islink(link):
-        os.unlink(link)
-    if not os.path.exists(link):
-        os.symlink(release, link, target_is_directory=True)
+    point(link, release)
     return {"corpus": path, "release": release, "link": link, "model": server.model, "host": server.host, "root": at["root"]}

@@ -1,4 +1,4 @@
-"""A language-model server over HTTP: one small client on the driver, with a transport that tests replace."""
+"""A language-model server over HTTP: a small client, with a transport that tests replace, and answers to whole tables of prompts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import timedelta
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 Transport = Callable[[str, str, dict | None, float], Iterator[str]]  # method, address, body, timeout -> lines
 
 
@@ -93,6 +96,34 @@ class ModelServer:
         return (content if content is not None else answer.get("response") or "").strip()
 
 
+def answers(prompts: DataFrame, server: ModelServer, requests: int = 8, batch_rows: int = 100) -> DataFrame:
+    """(id, answer, error) of prompts (id, and prompt or messages, an array of structs of role and content).
+
+    Tasks send the prompts, ``requests`` at the same time at most; the server is sent to them with its transport. A prompt that is null gets no
+    request and no answer. A failed one gives its error and no answer, and the others go on; a task that is run again asks again. Repeated
+    rows are asked each.
+    """
+    column = "messages" if "messages" in prompts.columns else "prompt"
+
+    def ask(value) -> tuple[str | None, str | None]:
+        if value is None:
+            return None, None
+        try:
+            return server.chat(value if isinstance(value, str) else [{"role": m["role"], "content": m["content"]} for m in value]), None
+        except Exception as e:  # whatever a server or its connection does concerns this prompt alone
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for begin in range(0, len(b), batch_rows):
+                part = b.iloc[begin : begin + batch_rows]
+                found = [ask(v) for v in part[column]]
+                yield pd.DataFrame({"id": part["id"], "answer": [a for a, _ in found], "error": [e for _, e in found]})
+
+    kind = prompts.schema["id"].dataType.simpleString()
+    return prompts.select("id", column).repartition(requests).mapInPandas(run, f"id {kind}, answer string, error string")
+
+
 def _records(lines: Iterator[str]) -> Iterator[dict]:
     for line in lines:
         try:

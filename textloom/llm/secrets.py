@@ -21,7 +21,7 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, table
@@ -34,13 +34,19 @@ class Rule:
     group: int = 0  # the group whose length counts
     least: int = 1  # so many characters it has at least
     any_case: bool = False
+    whole: str | None = None  # an expression whose matches are those that are long enough, where there is one
+
+    @property
+    def scanned(self) -> str:
+        return ("(?i)" if self.any_case else "") + (self.whole or self.pattern)
 
 
 #: The base rules, then public formats of credentials.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, any_case=True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    # A match is a run of its characters to the end, so a least length can be asked for at once.
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, whole=r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, whole=r"[0-9a-f]{24,}"),
 )
 FURTHER = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -56,6 +62,9 @@ RULES = BASE + FURTHER
 #: Alternatives that a query may have, and characters that a class may have to be spelled out.
 MOST_ALTERNATIVES = 64
 MOST_CHARACTERS = 8
+#: Matches of a text up to which its spans are gathered in one fold, which copies what it has at each step; of more, running sums over rows give
+#: the places. A match has LEAST_MATCH characters or more, so a text shorter than both together hasn't more.
+FOLD_MATCHES, LEAST_MATCH = 4000, 7
 #: Candidates that may be broadcast: a hash and a few numbers each.
 BROADCAST_ROWS = 1_000_000
 
@@ -132,24 +141,49 @@ def trigram_query(pattern: str) -> Query | None:
     return None if frozenset() in kept else tuple(sorted(kept, key=sorted))
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _pieces(text: Column, rule: Rule) -> Column:
+    """For each match: characters between it and the one before (p), its own (m) and its group's (g)."""
+    found = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(0))
+    group = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(rule.group)) if rule.group else found
+    pieces = F.slice(F.split(text, rule.scanned, -1), F.lit(1), F.size(found))
+    zipped = F.arrays_zip(pieces.alias("piece"), found.alias("match"), group.alias("group"))
+    return F.transform(zipped, lambda x: F.struct(F.length(x["piece"]).alias("p"), F.length(x["match"]).alias("m"), F.length(x["group"]).alias("g")))
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """The spans of a rule: array of (start, number, end); counted in code points."""
-    pattern = ("(?i)" if rule.any_case else "") + rule.pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["match"])
+        start = acc["at"] + x["p"]
+        end = start + x["m"]
         span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["group"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    zipped = F.arrays_zip(pieces.alias("piece"), found.alias("match"), group.alias("group"))
-    folded = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(kind))
+    folded = F.aggregate(_pieces(text, rule), zero, step, lambda acc: acc["out"])
+    return F.when(F.rlike(text, F.lit(rule.scanned)), folded).otherwise(F.array().cast(SPANS))
+
+
+def _many(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text has more matches of a rule than are folded; only texts long enough for that are looked at."""
+    most = F.greatest(*[F.regexp_count(text, F.lit(r.scanned)) for r in rules], F.lit(0))
+    return F.when(F.length(text) >= FOLD_MATCHES * LEAST_MATCH, most > FOLD_MATCHES).otherwise(False)
+
+
+def _found_by_rows(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, found of texts with many matches: a row for each match, and running sums over a text's rows."""
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
+    out = texts.select("row", F.lit(0).alias("kind"), F.array().cast("array<struct<p:int,m:int,g:int>>").alias("pieces"), F.lit(0).alias("least")).where("false")
+    for i, r in enumerate(rules):
+        out = out.unionByName(texts.select("row", F.lit(i).alias("kind"), _pieces(F.col("text"), r).alias("pieces"), F.lit(r.least).alias("least")))
+    matches = out.select("row", "kind", "least", F.posexplode("pieces").alias("pos", "x")).select("row", "kind", "least", "pos", "x.p", "x.m", "x.g")
+    end = F.sum(F.col("p") + F.col("m")).over(Window.partitionBy("row", "kind").orderBy("pos")).cast("int")
+    spans = matches.withColumn("end", end).where("g >= least").select("row", F.struct((F.col("end") - F.col("m")).alias("start"), "kind", "end").alias("span"))
+    found = spans.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("found"))
+    return texts.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
 def postings(texts: DataFrame, wanted: list[str]) -> DataFrame:
@@ -178,10 +212,16 @@ def candidates(texts: DataFrame, queries: dict[int, Query]) -> DataFrame:
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and found (start, kind as a number, end; in order) for every row."""
     texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    crowded = materialize(texts.where(_many(F.col("text"), rules)), "crowded")
+    few = _found(texts.where(~_many(F.col("text"), rules)), rules)
+    return few if crowded.isEmpty() else few.unionByName(_found_by_rows(crowded, rules))
+
+
+def _found(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     # Rows of equal key have equal texts but for a collision, which makes candidates only.
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    empty = F.array().cast(SPANS)
     plain = [_spans(F.col("text"), r, i) for i, r in enumerate(rules) if i not in queries]
     every = texts.select("doc_id", "key", F.concat(empty, *plain).alias("plain"))
     if not queries:

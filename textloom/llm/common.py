@@ -53,7 +53,8 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, bound: int, keep: Column | None = None) -> DataFrame:
     """Up to ``bound`` distinct labelled texts as (text, label), chosen by a hash of the id.
 
-    Rows without a text or a label of 0 or 1 aren't used. An id with labels of both kinds isn't used.
+    Rows without a text or a label of 0 or 1 aren't used. An id with labels of both kinds isn't used; a text whose ids have
+    both has the label 0.
     """
     marks = (
         labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -67,4 +68,4 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, bound:
     # Ids first: the texts of the other rows are never shuffled, and the bound holds before any text is read.
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = documents.select("doc_id", F.col("text").alias("text")).where("text is not null")
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "label").dropDuplicates(["text"])
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("label").alias("label"))

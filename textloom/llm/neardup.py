@@ -291,7 +291,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The shingles of the vertices in ``ids``, read again from their texts."""
+    """The shingles of the vertices in ``ids``, read again from their texts; of an id with several texts the least set in order of bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -299,7 +299,7 @@ def full_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(words(t), k, hashes).astype("<u8").tobytes() for t in b["text"]]})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(bounded(ids), "id", "left_semi")
-    return rows.mapInPandas(run, "id long, shingles binary").dropDuplicates(["id"])
+    return rows.mapInPandas(run, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
 def near_components(documents: DataFrame, k: int) -> DataFrame:
@@ -308,7 +308,7 @@ def near_components(documents: DataFrame, k: int) -> DataFrame:
     whole = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     whole = materialize(whole, "sets")
     vertices = whole.select("id", "signature", "n_shingles")
-    # An id with several texts is one vertex; the set of its first text is compared.
+    # An id with several texts is one vertex; one of its sets, the same in each run, is compared.
     found = materialize(neighbours(orders(vertices.select("id", "signature"))), "found")
     pairs = materialize(found.where("a is not null").groupBy("a", "b").agg(F.max("share").alias("share")), "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")

@@ -10,7 +10,8 @@ A bucket (the lines of a band's value) never gives all its pairs at once. First
 first one, and of these pairs each line's likeliest is verified, then those that still join two components; links make
 components by distributed union-find. A bucket that lies in one component is done, however many lines it has. In the
 others the lines outside the bucket's largest component meet one line of that, and what is left meets all lines of other components. Crowded ones of these are parted
-by further values of the signatures before, in as many ways that similar lines meet in one. Where lines are so alike that
+before, by the rarest shingles of each line: two lines that are similar enough share one of the first n - 0.8 n + 1 of their n shingles, in any fixed
+order of shingles, so no such pair is parted. Where lines are so alike that
 parting saves nothing and yet in different components, all these pairs are compared, however many they are.
 The first occurrence (smallest id, then place) of a component stays.
 
@@ -42,10 +43,10 @@ BANDS = 12
 AGREE = 14
 #: Positions of a line that are hashed in one row.
 AT_ONCE = 16
-#: Buckets of more lines are parted where that saves comparisons, LEVELS times at most. Two lines of similarity 0.8 share one of a bucket's parts with probability 0.998.
+#: Buckets of more lines are parted where that saves comparisons; parting loses no pair.
 CROWD = 256
-LEVELS = 2
-PARTS = 6
+#: Frequent shingles that are told apart by how frequent they are; at most so many can make up more than one in so many of all.
+FREQUENT = 1_000_000
 #: Ids or buckets that may be broadcast, 8 bytes each; beyond them the same joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -149,38 +150,42 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("own.id", "main_line.id").alias("a"), F.least("own.id", "main_line.id").alias("b"), "agree").distinct()
 
 
-def further_pairs(shared: DataFrame) -> DataFrame:
+def prefixes(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, prefix): hashes of each line's rarest shingles, so many that two lines of the similarity wanted share one.
+
+    The order is the same for all lines: by how often a frequent shingle stands in them, rare ones first, then by hash.
+    """
+    texts = lines.select("id", "line").join(bounded(ids), "id", "left_semi")
+    hashed = materialize(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("hashes")), "hashed")
+    total = hashed.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    counts = hashed.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > max(1, total // FREQUENT))
+    rows = hashed.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).join(F.broadcast(counts), "h", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h"))), lambda x: x["h"])
+    # A line shares 0.8 n shingles with a similar one at least, so one of any n - 0.8 n + 1.
+    least = F.ceil(F.col("n") * SIMILARITY - 1e-9)
+    return rows.groupBy("id", "n").agg(ordered.alias("hashes")).select("id", F.slice("hashes", F.lit(1), (F.col("n") - least + 1).cast("int")).alias("prefix"))
+
+
+def further_pairs(shared: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b, agree) of open buckets: lines of different components that agree, one of them outside the bucket's largest."""
-    whole = []
-    for level in range(LEVELS):
-        crowded = shared.where(F.col("n") > CROWD)
-        if crowded.isEmpty():
-            break
-        split = materialize(crowded.withColumn("w", F.explode(_parts(level))), "parts")
+    crowded = shared.where(F.col("n") > CROWD)
+    if not crowded.isEmpty():
+        ids = materialize(crowded.select(F.col("own.id").alias("id")).distinct(), "ids")
+        parts = materialize(prefixes(ids, lines), "prefixes")
+        keyed = crowded.join(parts, F.col("own.id") == F.col("id"))
+        split = materialize(keyed.select(*shared.columns, F.explode("prefix").alias("h")).withColumn("w", F.xxhash64("v", "h")).drop("h"), "parts")
         counts = materialize(split.groupBy("v", "n", "w").agg(F.count("*").alias("m")), "counts")
         # Where most lines of a bucket are alike, parts of it would be compared more often than the whole.
         saves = materialize(counts.groupBy("v", "n").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs")).where("pairs < n * (n - 1)").select("v"), "saves")
-        whole += [shared.where(F.col("n") <= CROWD), crowded.join(saves, "v", "left_anti").select(*shared.columns)]
-        shared = split.join(saves, "v", "left_semi").join(counts.select("v", "w", "m").where("m > 1"), ["v", "w"]).select(F.col("w").alias("v"), F.col("m").alias("n"), "band", "own", "root", "main")
-        shared = materialize(shared, "shared")
-    for part in whole:
-        shared = shared.unionByName(part)
+        parted = split.join(saves, "v", "left_semi").join(counts.select("v", "w", "m").where("m > 1"), ["v", "w"]).select(F.col("w").alias("v"), F.col("m").alias("n"), "band", "own", "root", "main")
+        whole = crowded.join(saves, "v", "left_anti").select(*shared.columns)
+        shared = shared.where(F.col("n") <= CROWD).unionByName(whole).unionByName(materialize(parted, "shared"))
     x = shared.where("root != main").select("v", F.col("own").alias("x"), F.col("root").alias("rx"))
     y = shared.select("v", F.col("own").alias("y"), F.col("root").alias("ry"))
     pairs = x.join(y, "v").where(F.col("rx") != F.col("ry")).where(_both("x", "y") >= AGREE)
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), _both("x", "y").alias("agree")).distinct()
 
 
-def _parts(level: int) -> Column:
-    """Keys of the parts of a bucket in which a line stands: the bucket and a byte of its signature, at PARTS places, others at each level."""
-    keys = []
-    for t in range(PARTS):
-        at = F.pmod(2 * F.col("band") + PARTS * level + t, F.lit(VALUES // 2))
-        byte = F.when(at < 8, F.call_function("shiftrightunsigned", F.col("own.s0"), 8 * F.pmod(at, F.lit(8)))).otherwise(F.call_function("shiftrightunsigned", F.col("own.s1"), 8 * F.pmod(at, F.lit(4))).cast("long"))
-        keys.append(F.xxhash64("v", at, byte.bitwiseAND(F.lit(255).cast("long"))))
-    return F.array(*keys)
-
-
 def likeliest(pairs: DataFrame) -> DataFrame:
     """The pair (a, b) of each line that agrees most."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "agree")
@@ -243,7 +248,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     roots = compared(across(pairs, roots))
     # A bucket's lines meet one of its largest component before they meet all.
     roots = compared(star_pairs(open_buckets(members, roots)))
-    left = materialize(further_pairs(open_buckets(members, roots)), "further")
+    left = materialize(further_pairs(open_buckets(members, roots), lines), "further")
     roots = compared(likeliest(left))
     return compared(across(left, roots))
 

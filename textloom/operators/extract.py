@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from textloom.operators import merge as m
-from textloom.operators.structure import extract_definitions, records
+from textloom.operators.structure import extract_definitions, records, with_patterns
 from textloom.scratch import keep
 from textloom.sources import corpus, tree
 from textloom.sources.partitioned import PartitionedCorpus, refresh
@@ -29,7 +29,7 @@ def plan(spark: SparkSession, root: str, existing: DataFrame, max_bytes: int = t
     ids = read.withColumn("id", F.concat("rel", F.lit(".file"))).withColumn("hash", F.sha2("content", 256))
     processed = m.changed_files(ids, entries)
     texts = processed.where("content is not null")
-    found = extract_definitions(texts).persist(StorageLevel.DISK_ONLY)  # records and errors come from the same pass
+    found = extract_definitions(with_patterns(texts)).persist(StorageLevel.DISK_ONLY)  # records and errors come from the same pass
     new = corpus.to_lines(records(texts, root, found)).select("abs_path", "ordinal", "json")
     gone = m.missing_files(entries, ids) if prune_deleted else None
     head = tree.manifest(files, root)

@@ -13,7 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -160,7 +160,13 @@ class Ends:
         return self.content[start:end] if end is not None else _first_units(self.content[start : start + default], default)
 
 
-def definitions(lang: str, content: str, kind: str, time_limit: float | None = None, ends: Ends | None = None) -> Iterator[tuple[str, str]]:
+@lru_cache(maxsize=1)
+def _ends(content: str) -> Ends:
+    """The index of a file, which its kinds share."""
+    return Ends(content)
+
+
+def definitions(lang: str, content: str, kind: str, time_limit: float | None = None) -> Iterator[tuple[str, str]]:
     """(name, body) of each definition; bodies of at most LEAST_BODY units and very long ones are left out.
 
     All matches are made before the first is given, so a file that takes too long gives an error and nothing else.
@@ -171,7 +177,7 @@ def definitions(lang: str, content: str, kind: str, time_limit: float | None = N
     if lang not in patterns:
         return
     found = [(m.start(), next((g for g in m.groups() if g is not None), "")) for m in regex.finditer(patterns[lang], content, timeout=time_limit)]
-    ends = ends or Ends(content)
+    ends = _ends(content)
     for start, name in found:
         if name.strip():
             text = ends.body(start, lang, kind)
@@ -183,19 +189,19 @@ def definitions(lang: str, content: str, kind: str, time_limit: float | None = N
 def extract_definitions(files: DataFrame, *kinds: str) -> DataFrame:
     """Of files (rel, lang, content): rel, lang, kind, n (order in the file and kind), name, body; or error, where a kind's patterns took too long.
 
-    A file is read once for all kinds. Rows are handed on as they are found: nested definitions may be many times as long as their file.
+    A file is read once for all kinds. Nested definitions may be many times as long as their file, so rows are handed on by their size.
     """
     kinds, limit = kinds or tuple(KINDS), TIME_LIMIT
     names = [c.split()[0] for c in DEFINITIONS.split(", ")]
 
     def found(rel: str, lang: str, content: str) -> Iterator[tuple]:
-        ends = Ends(content)
         for kind in kinds:
             try:
-                for n, (name, text) in enumerate(definitions(lang, content, kind, limit, ends)):
-                    yield rel, lang, kind, n, name, text, None
+                rows = list(definitions(lang, content, kind, limit))  # all or none
             except TimeoutError:
                 yield rel, lang, kind, -1, None, None, f"{kind} patterns took over {limit:g} s"
+            else:
+                yield from ((rel, lang, kind, n, name, text, None) for n, (name, text) in enumerate(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
@@ -209,8 +215,12 @@ def extract_definitions(files: DataFrame, *kinds: str) -> DataFrame:
                         out, size = [], 0
         yield pd.DataFrame(out, columns=names)
 
-    wanted = F.col("lang").isin(*{lang for kind in kinds for lang in KINDS[kind][0]})
-    return files.where(wanted).select("rel", "lang", "content").mapInPandas(run, DEFINITIONS)
+    return files.select("rel", "lang", "content").mapInPandas(run, DEFINITIONS)
+
+
+def with_patterns(files: DataFrame) -> DataFrame:
+    """The files of languages that have patterns; others needn't be looked at."""
+    return files.where(F.col("lang").isin(*sorted({*CLASS_PATTERNS, *FUNCTION_PATTERNS})))
 
 
 def with_context(rel, lang, content):
@@ -223,7 +233,7 @@ def records(files: DataFrame, root: str, found: DataFrame | None = None) -> Data
 
     ``ordinal`` gives their order within a file; ``found`` has the files' definitions, if they are there already.
     """
-    found = extract_definitions(files) if found is None else found
+    found = extract_definitions(with_patterns(files)) if found is None else found
     rel, lang = F.translate("rel", "\\", "/"), F.col("lang")
     hints = top_identifiers(files.select(F.col("rel").alias("key"), F.col("content").alias("text")), 5)
     named = files.join(hints.withColumnRenamed("key", "rel"), "rel", "left")

@@ -127,7 +127,7 @@ def refresh(files: DataFrame, target: PartitionedCorpus, root: str, tree: DataFr
 
     Files whose entry has the hash of their text are left alone; ``listed`` (id), all file ids that there are now, prunes the others.
     """
-    from textloom.operators.structure import extract_definitions, records
+    from textloom.operators.structure import extract_definitions, records, with_patterns
 
     if stream and target.taken.get(stream[0], -1) >= stream[1]:
         return target, files.select("rel", "error").where("false")
@@ -135,7 +135,7 @@ def refresh(files: DataFrame, target: PartitionedCorpus, root: str, tree: DataFr
     current = target.entries().where(F.col("id").endswith(".file")).select("id", "hash")
     processed = keep(merge.changed_files(ids, current), "processed")
     texts = processed.where("content is not null")
-    found = keep((parse or extract_definitions)(texts), "definitions")
+    found = keep((parse or extract_definitions)(with_patterns(texts)), "definitions")
     new = corpus.to_lines(records(texts, root, found)).select("abs_path", "ordinal", "path", "id", "hash", "json")
     gone = merge.missing_files(current, listed) if listed is not None else None
     errors = files.where("error is not null").select("rel", "error").unionByName(found.where("error is not null").select("rel", "error"))

@@ -7,7 +7,8 @@ k + w - 1 characters share a fingerprint.
 Defined cases: a null text counts as empty; the empty text has the empty fingerprint; a text
 of under k characters has one fingerprint, of its whole; one of under w hashes has one
 window. Two empty fingerprints are alike to the degree 1, an empty and another one to 0.
-Repeated ids are ordered by text, null ids come first. Extra columns are left out.
+Repeated ids are ordered by text, null ids come first. Extra columns are left out. A text of any length is fingerprinted
+whole, in memory of some bytes a character; of an only row the next document is itself; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ few bytes for each rare pre-token and text.
 
 Defined cases: a null text counts as empty, with 0 tokens; special strings in a text are one
 token each, as by the tokenizer's default. Repeated rows are counted each on its own; of extra
-columns none is read.
+columns none is read. A long text is a block of its own and counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

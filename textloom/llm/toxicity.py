@@ -9,7 +9,8 @@ The labels have one column, so the categories are learned too: the toxic trainin
 stems they share, in KINDS groups, from the largest on. No word is listed anywhere.
 
 Defined cases: a null or empty text has no stems, so its probabilities are those of the
-intercepts; without labels of both kinds every probability is the share of positive labels.
+intercepts; without labels of both kinds every probability is the share of positive labels, and without any label
+no text is rejected.
 Texts are scored whole, however long; a probability equal to the threshold rejects. Repeated rows are scored each on its own,
 an empty table gives an empty one. Other columns are passed through ``score`` unless they
 have the name of an output column.
@@ -188,6 +189,7 @@ def fit_rows(texts: list[str], labels: list[int]) -> Chain:
     chain = Chain(select_stems(texts, toxic) if len(texts) else {})
     if not len(texts):
         chain.weights = [np.array([0.0] * (1 + 2 * len(chain.columns) + i)) for i in range(len(CATEGORIES))]
+        chain.threshold = np.inf  # nothing is known, so nothing is rejected
         return chain
     cache: dict[str, tuple[int, ...]] = {}
     x = chain.features([chain.found(cache, t) for t in texts])

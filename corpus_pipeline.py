@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
 the last return the columns of documents. Between stages the rows are written to the shared
 folder and read again, so a lost executor costs at most one stage.
+
+Defined cases: rows with a null id or text and empty texts go on as they are, unless line dedup empties a text or near-dedup keeps
+another row; of repeated rows near-dedup keeps one. Without labels no document is toxic, without benchmark items none is contaminated; an empty table gives
+no rows. Texts of any length are taken whole. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations

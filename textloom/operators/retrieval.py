@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from textloom.functions.text import tokenize
-from textloom.scratch import keep
+from textloom.scratch import dealt, keep
 
 #: Tokens of each query, by their bounds, that the first threshold comes from.
 FIRST_TOKENS = 3
@@ -27,7 +27,7 @@ BROADCAST_TERMS = 500_000
 
 def term_counts(docs: DataFrame, key: str = "doc_index", text: str = "text") -> DataFrame:
     """(key, token, tf); a text without tokens has no row."""
-    rows = docs.select(key, F.col(text).alias("text")).repartition(key)
+    rows = dealt(docs.select(key, F.col(text).alias("text")), key, "text")
     return rows.select(key, F.explode(tokenize("text")).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
@@ -51,6 +51,7 @@ class TfIdfIndex:
     docs: DataFrame
     idf: DataFrame
     postings: DataFrame
+    counts: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, persist: bool = True) -> TfIdfIndex:
@@ -63,7 +64,7 @@ class TfIdfIndex:
         postings = weighted(tf, idf)
         if persist:
             idf, postings = idf.persist(StorageLevel.MEMORY_AND_DISK), postings.persist(StorageLevel.MEMORY_AND_DISK)
-        return TfIdfIndex(docs, idf, postings)
+        return TfIdfIndex(docs, idf, postings, None if persist else tf)
 
     def unpersist(self) -> None:
         self.idf.unpersist()
@@ -137,13 +138,26 @@ class TfIdfIndex:
         rows = scored.unionByName(filled).groupBy("query_id", "doc_index").agg(F.max("score").alias("score"))
         return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+    def _scored_from_counts(self, qw: DataFrame) -> DataFrame:
+        """(doc_index, score) of the documents that share a token with a query (token, qw).
+
+        For one query postings needn't be made: a document's norm and its product with the query are sums over the same rows.
+        """
+        weights = self.idf.select("token", "idf").join(F.broadcast(qw), "token", "left")
+        raw = self.counts.join(weights, "token").select("doc_index", "qw", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+        sums = raw.groupBy("doc_index").agg(F.sum(F.col("raw") * F.col("raw")).alias("square"), F.sum(F.col("raw") * F.col("qw")).alias("product"))
+        return sums.where("product is not null").select("doc_index", F.round(F.col("product") / (F.sqrt("square") + 1e-8), 6).alias("score"))
+
     def retrieve(self, query: str, k: int = 3) -> DataFrame:
         """The k best documents (doc_index, score, text), best first; ties by index."""
         if k < 1:
             raise ValueError("k must be at least 1")
         spark = self.docs.sparkSession
         qw = self.query_weights(spark.createDataFrame([(0, query)], "query_id int, text string")).select("token", "qw")
-        scored = self.postings.join(F.broadcast(qw), "token").groupBy("doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))  # a query's tokens
+        if self.counts is None:
+            scored = self.postings.join(F.broadcast(qw), "token").groupBy("doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))  # a query's tokens
+        else:
+            scored = self._scored_from_counts(qw)
         # Documents without a common token score 0; of those only the first k can be among the hits.
         first = self.docs.select("doc_index").orderBy("doc_index").limit(k).withColumn("score", F.lit(0.0))
         ranked = scored.unionByName(first).groupBy("doc_index").agg(F.max("score").alias("score"))

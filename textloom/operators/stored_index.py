@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import tokenize
-from textloom.operators.retrieval import TfIdfIndex, term_counts
+from textloom.operators.retrieval import TfIdfIndex, term_counts, weighted
 from textloom.scratch import keep
 from textloom.sources import store
 
@@ -24,6 +24,13 @@ BUCKETS = 64
 POSTINGS = "doc_index long, token string, tf long"
 #: Tokens of a query for which buckets are picked one by one.
 FEW_TOKENS = 1000
+#: Ids that may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(ids: DataFrame) -> DataFrame:
+    """Ids, to be broadcast if they aren't too many: then postings needn't be shuffled to meet them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def bucket(token: Column | str) -> Column:
@@ -57,8 +64,8 @@ class StoredIndex:
     def _live(self, name: str, schema: str) -> DataFrame:
         if len(self.generations) < 2:
             return self._all(name, schema).drop("gen")
-        replaced = self._all("gone", "doc_index long").groupBy("doc_index").agg(F.max("gen").alias("since"))
-        return self._all(name, schema).join(replaced, "doc_index", "left").where("since is null or gen >= since").drop("gen", "since")
+        replaced = self._all("gone", "doc_index long").groupBy("doc_index").agg(F.max("gen").alias("since")).where("since > 0")
+        return self._all(name, schema).join(by_ids(replaced), "doc_index", "left").where("since is null or gen >= since").drop("gen", "since")
 
     @property
     def texts(self) -> DataFrame:
@@ -94,7 +101,7 @@ class StoredIndex:
         gone = self._table(generation, "gone", "doc_index long")
         # Frequencies change by the tokens of new documents and those of the old ones that they replace.
         added = self._table(generation, "postings", POSTINGS).groupBy("token").agg(F.count("*").alias("change"))
-        lost = self.counts.join(gone, "doc_index", "left_semi").groupBy("token").agg((-F.count("*")).alias("change"))
+        lost = self.counts.join(by_ids(gone), "doc_index", "left_semi").groupBy("token").agg((-F.count("*")).alias("change"))
         added.unionByName(lost).groupBy("token").agg(F.sum("change").alias("change")).where("change <> 0").write.parquet(f"{to}/df")
         n = self.documents + docs.count() - self.texts.select("doc_index").join(gone, "doc_index", "left_semi").count()
         return self._commit((*self.generations, generation), n)
@@ -131,12 +138,16 @@ class StoredIndex:
         return self.spark.read.schema("doc_index long, norm double").parquet(to)
 
     def postings(self, tokens: list[str] | None = None) -> DataFrame:
-        """(doc_index, token, tf, w), of all tokens or of a few, for which only their buckets are read."""
+        """(doc_index, token, tf, w), of all tokens or of a few, for which only their buckets are read.
+
+        Where all postings are passed over anyway, norms come from the same pass.
+        """
         counts, idf = self.counts, self.idf
-        if tokens is not None:
-            wanted = F.col("token").isin(*tokens) if tokens else F.lit(False)
-            buckets = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in tokens], "token string").select(bucket("token")).collect()})
-            counts, idf = counts.where(F.col("bucket").isin(*buckets)).where(wanted), idf.where(wanted)
+        if tokens is None:
+            return weighted(counts.drop("bucket"), idf)
+        wanted = F.col("token").isin(*tokens) if tokens else F.lit(False)
+        buckets = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in tokens], "token string").select(bucket("token")).collect()})
+        counts, idf = counts.where(F.col("bucket").isin(*buckets)).where(wanted), idf.where(wanted)
         raw = counts.join(idf.select("token", "idf"), "token").join(self.norms, "doc_index")
         return raw.select("doc_index", "token", "tf", ((1 + F.log("tf")) * F.col("idf") / F.col("norm")).alias("w"))
 

@@ -71,9 +71,13 @@ CALM = 10.0
 WORD_RIDGE = 1.0
 #: Tokens taken at once, slices that the sums of the words' slopes are cut into.
 BATCH = 16_384
+#: Contexts scored at once; nothing but sums is kept of them, so a core's cache holds them.
+SCORED = 512
 SLICES = 16
 #: Numbers of a table that are worked on at once.
 CACHED = 64 * 1024
+#: Rows of a table that occur more often in a batch are summed one by one.
+LONG_RUN = 32
 
 
 def word_codes(names: list[bytes]) -> np.ndarray:
@@ -421,18 +425,29 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[Weights, list[float]
     return weights, likes
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, written over z, and the logs of the sums. Weights move by STEP a pass at most, so nothing overflows."""
-    total = np.empty(len(z), dtype=z.dtype)
+def _softmax(z: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (times a number for each row), written over z, and the logs of the sums. Weights move by STEP a pass at most, so nothing overflows."""
+    total, ones = np.empty(len(z), dtype=z.dtype), np.ones(z.shape[1], dtype=z.dtype)
     step = CACHED // z.shape[1]
     for a in range(0, len(z), step):  # what fits a core's cache
         part = z[a : a + step]
         np.exp(part, out=part)
-        total[a : a + step] = part.sum(axis=1)
-        part *= (1 / total[a : a + step])[:, None]
+        total[a : a + step] = part @ ones
+        share = 1 / total[a : a + step] if times is None else times[a : a + step] / total[a : a + step]
+        part *= share[:, None]
     return z, np.log(total)
 
 
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """The logs of the sums alone, where probabilities aren't needed; z is written over."""
+    total, ones = np.empty(len(z), dtype=z.dtype), np.ones(z.shape[1], dtype=z.dtype)
+    step = CACHED // z.shape[1]
+    for a in range(0, len(z), step):
+        part = z[a : a + step]
+        total[a : a + step] = np.exp(part, out=part) @ ones
+    return np.log(total)
+
+
 @dataclass
 class Words:
     """The whole model: what the classes before give, and the weights of hashed words for classes and for groups within a class."""
@@ -467,16 +482,16 @@ class Words:
 
     def class_logits(self, context: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Unscaled logs of all classes, a row for each context."""
-        z = self.classes[context]
-        z += self.near[one]
-        z += self.far[two]
+        z = self.classes.take(context, axis=0)
+        z += self.near.take(one, axis=0)
+        z += self.far.take(two, axis=0)
         return z
 
     def group_logits(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Unscaled logs of all groups within a class."""
-        z = self.groups[kind]
-        z += self.near_in[one]
-        z += self.far_in[two]
+        z = self.groups.take(kind, axis=0)
+        z += self.near_in.take(one, axis=0)
+        z += self.far_in.take(two, axis=0)
         return z
 
 
@@ -496,24 +511,38 @@ def _starts(named: np.ndarray) -> np.ndarray:
 
 
 def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """Add rows to rows of a table; rows may repeat."""
+    """Add rows to rows of a table; rows may repeat.
+
+    Those that repeat often are summed by run. The others go in rounds, in each of which no row of the table occurs
+    twice: sums of many short runs at once take several times as long.
+    """
     order = np.argsort(at.astype(np.int32), kind="stable")
-    values, named = values[order], at[order]
+    named = at[order]
     starts = _starts(named)
-    if len(at) < 8 * len(starts):
-        total[named[starts]] += np.add.reduceat(values, starts, axis=0)
-    else:  # few long runs
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-            total[named[a]] += values[a:b].sum(axis=0)
+    lengths, ones = np.diff(starts, append=len(at)), np.ones(len(at), dtype=values.dtype)
+    for k in np.flatnonzero(lengths > LONG_RUN).tolist():
+        a, n = starts[k], lengths[k]
+        total[named[a]] += ones[:n] @ values.take(order[a : a + n], axis=0)
+    starts, lengths = starts[lengths <= LONG_RUN], lengths[lengths <= LONG_RUN]
+    for k in range(LONG_RUN):
+        here = starts[lengths > k] + k
+        if not len(here):
+            break
+        total[named[here]] += values.take(order[here], axis=0)
+
+
+def _alike(context: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of tokens in which those of one context stand together, and where each context begins."""
+    key = one.astype(np.int64) << 30 | two << 14 | context
+    order = np.argsort(key)
+    return order, _starts(key[order])
 
 
 def _class_slopes(model: Words, kind: np.ndarray, context: np.ndarray, one: np.ndarray, two: np.ndarray, near: np.ndarray, far: np.ndarray) -> float:
     """Add the expected counts of the classes' weights; the log-likelihood. Tokens of one context are taken together."""
     like = 0.0
-    key = (one << 30 | two << 14 | context).astype(np.int64)
-    order = np.argsort(key)
-    first = _starts(key[order])
-    numbers = np.append(first, len(key))
+    order, first = _alike(context, one, two)
+    numbers = np.append(first, len(order))
     for a in range(0, len(first), BATCH):
         heads = first[a : a + BATCH]
         ends = numbers[a + 1 : a + 1 + len(heads)]
@@ -521,9 +550,8 @@ def _class_slopes(model: Words, kind: np.ndarray, context: np.ndarray, one: np.n
         z = model.class_logits(context[at], one[at], two[at])
         repeats = ends - heads
         like += float(z[np.repeat(np.arange(len(heads)), repeats), kind[order[heads[0] : ends[-1]]]].sum(dtype=np.float64))
-        p, logs = _softmax(z)
+        p, logs = _softmax(z, repeats.astype(np.float32))
         like -= float(logs.astype(np.float64) @ repeats)
-        p *= repeats[:, None].astype(np.float32)
         _add_rows(near, one[at], p)
         _add_rows(far, two[at], p)
     return like
@@ -607,18 +635,27 @@ def train_words(classified: DataFrame, weights: Weights, lex: Lexicon, passes: i
 
 
 def _log_p(model: Words, sizes: np.ndarray, classes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Natural logs of each token's class and group."""
+    """Natural logs of each token's class and group; tokens of one context are taken together for the class."""
     context, one, two = _context_words(sizes, classes, codes)
     out = np.empty(len(classes))
-    for a in range(0, len(classes), BATCH):
-        at = slice(a, a + BATCH)
-        kind, sub, u, v = (x[at].astype(np.int64) for x in (classes, group(codes), one, two))
-        z = model.class_logits(context[at], model.row(u), model.row(v))
-        log_p = z[np.arange(len(z)), kind].astype(np.float64) - _softmax(z)[1]
-        mid = kind > TOP
-        z = model.group_logits(kind[mid], model.row_in(u[mid], kind[mid]), model.row_in(v[mid], kind[mid]))
-        log_p[mid] += z[np.arange(len(z)), sub[mid]].astype(np.float64) - _softmax(z)[1]
-        out[at] = log_p
+    near, far = model.row(one.astype(np.int64)), model.row(two.astype(np.int64))
+    order, first = _alike(context, near, far)
+    numbers = np.append(first, len(order))
+    for a in range(0, len(first), SCORED):
+        heads = first[a : a + SCORED]
+        ends = numbers[a + 1 : a + 1 + len(heads)]
+        at, tokens = order[heads], order[heads[0] : ends[-1]]
+        z = model.class_logits(context[at], near[at], far[at])
+        own = np.repeat(np.arange(len(heads)), ends - heads)
+        log_p = z[own, classes[tokens]].astype(np.float64)
+        out[tokens] = log_p - _log_sums(z)[own]
+    middle, subs = np.flatnonzero(classes > TOP), group(codes)
+    for a in range(0, len(middle), 4 * SCORED):
+        at = middle[a : a + 4 * SCORED]
+        kind, sub, u, v = (x[at].astype(np.int64) for x in (classes, subs, one, two))
+        z = model.group_logits(kind, model.row_in(u, kind), model.row_in(v, kind))
+        log_p = z[np.arange(len(z)), sub].astype(np.float64)
+        out[at] += log_p - _log_sums(z)
     return out
 
 

@@ -4,15 +4,15 @@ Equal lines are one vertex; they are grouped by their text. A line's signature h
 five-character shingles, at every position (minima over shifted hashes xor seeds), in BANDS bands of ROWS values, each
 value in two bands: two lines of similarity 0.8 share a band with probability 0.991, of 0.9 with 0.9998.
 A pair that shares a band is a candidate if AGREE of the VALUES places of the signatures (four bits each) are equal:
-at similarity 0.8 about 19 are. Candidates are verified by the exact Jaccard similarity of all their shingles.
+at similarity 0.8 about 19 are. Of these a sketch of 512 bits (``sketches``) rules out most that aren't similar and none that are;
+what it leaves is verified by the exact Jaccard similarity of all their shingles.
 
 A bucket (the lines of a band's value) never gives all its pairs at once. First each of its lines meets the bucket's
-first one, and of these pairs each line's likeliest is verified, then those that still join two components; links make
-components by distributed union-find. A bucket that lies in one component is done, however many lines it has. In the
-others the lines outside the bucket's largest component meet one line of that, and what is left meets all lines of other components. Crowded ones of these are parted
-before, by the rarest shingles of each line: two lines that are similar enough share one of the first n - 0.8 n + 1 of their n shingles, in any fixed
-order of shingles, so no such pair is parted. Where lines are so alike that
-parting saves nothing and yet in different components, all these pairs are compared, however many they are.
+first one; links make components by distributed union-find. A bucket that lies in one component is done, however many lines it has. In the
+others the lines outside the bucket's largest component meet one line of that, and what is left meets all lines of other components. The lines of crowded ones
+meet by their rarest shingles instead: two lines that are similar enough share one of the first n - 0.8 n + 1 of their n shingles, in any fixed
+order of shingles, so no such pair is parted. Each line stands there once for each of these shingles, however many crowded buckets it is in. Where very many
+lines share a rare shingle and yet are in different components, all these pairs are looked at (by sketch), however many they are.
 The first occurrence (smallest id, then place) of a component stays.
 
 All of it is DataFrame functions.
@@ -27,6 +27,7 @@ they have the name of an output column. Lines of a text are matched to the verti
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ CROWD = 256
 FREQUENT = 1_000_000
 #: Ids or buckets that may be broadcast, 8 bytes each; beyond them the same joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words of 64 bits of a line's sketch; a power of two.
+_ODD = [f"o{i}" for i in range(8)]
 
 
 def _seed(i: int) -> int:
@@ -136,7 +139,7 @@ def first_pairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The lines of buckets that lie in more than one component, with their root and the bucket's largest component."""
-    rows = members.join(roots.select(F.col("id").alias("_id"), "root"), F.col("own.id") == F.col("_id"), "left").select("v", "n", "band", "own", F.coalesce("root", "own.id").alias("root"))
+    rows = members.join(roots.select(F.col("id").alias("_id"), "root"), F.col("own.id") == F.col("_id"), "left").select(*members.columns, F.coalesce("root", "own.id").alias("root"))
     sizes = rows.groupBy("v", "root").agg(F.count("*").alias("k")).groupBy("v").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"))
     several = bounded(materialize(sizes.where("roots > 1").select("v", "main"), "open"))
     return materialize(rows.join(several, "v"), "shared")
@@ -155,8 +158,16 @@ def prefixes(ids: DataFrame, lines: DataFrame) -> DataFrame:
 
     The order is the same for all lines: by how often a frequent shingle stands in them, rare ones first, then by hash.
     """
-    texts = lines.select("id", "line").join(bounded(ids), "id", "left_semi")
-    hashed = materialize(texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("hashes")), "hashed")
+    return rarest(materialize(hashes(lines.select("id", "line").join(bounded(ids), "id", "left_semi")), "hashed"))
+
+
+def hashes(texts: DataFrame) -> DataFrame:
+    """(id, hashes) of (id, line): 64 bits of each distinct shingle."""
+    return texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("hashes"))
+
+
+def rarest(hashed: DataFrame) -> DataFrame:
+    """The prefixes of lines (id, hashes)."""
     total = hashed.agg(F.sum(F.size("hashes"))).first()[0] or 0
     counts = hashed.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > max(1, total // FREQUENT))
     rows = hashed.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).join(F.broadcast(counts), "h", "left")
@@ -166,23 +177,29 @@ def prefixes(ids: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.groupBy("id", "n").agg(ordered.alias("hashes")).select("id", F.slice("hashes", F.lit(1), (F.col("n") - least + 1).cast("int")).alias("prefix"))
 
 
-def further_pairs(shared: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, agree) of open buckets: lines of different components that agree, one of them outside the bucket's largest."""
-    crowded = shared.where(F.col("n") > CROWD)
+def parted(crowded: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The lines of crowded buckets in buckets of a rare shingle: (v, at, own), each line once for each of its rarest ones and not for each of its buckets; ``at`` is the shingle's place among the line's."""
+    own = crowded.groupBy("own.id").agg(F.first("own").alias("own"))
+    own = materialize(own, "crowded")
+    return own.join(rarest(materialize(hashed.join(bounded(own.select("id")), "id", "left_semi"), "hashed")), "id").select(F.posexplode("prefix").alias("at", "v"), "own").select("v", "at", "own")
+
+
+def further_pairs(members: DataFrame, roots: DataFrame, hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, agree) of open buckets: lines of different components that may be similar, one of them outside the bucket's largest."""
+    shared = open_buckets(members, roots)
+    crowded = shared.where(F.col("n") > CROWD).select("own")
+    shared = shared.where(F.col("n") <= CROWD).select("v", F.lit(0).alias("at"), "own", "root", "main")
     if not crowded.isEmpty():
-        ids = materialize(crowded.select(F.col("own.id").alias("id")).distinct(), "ids")
-        parts = materialize(prefixes(ids, lines), "prefixes")
-        keyed = crowded.join(parts, F.col("own.id") == F.col("id"))
-        split = materialize(keyed.select(*shared.columns, F.explode("prefix").alias("h")).withColumn("w", F.xxhash64("v", "h")).drop("h"), "parts")
-        counts = materialize(split.groupBy("v", "n", "w").agg(F.count("*").alias("m")), "counts")
-        # Where most lines of a bucket are alike, parts of it would be compared more often than the whole.
-        saves = materialize(counts.groupBy("v", "n").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs")).where("pairs < n * (n - 1)").select("v"), "saves")
-        parted = split.join(saves, "v", "left_semi").join(counts.select("v", "w", "m").where("m > 1"), ["v", "w"]).select(F.col("w").alias("v"), F.col("m").alias("n"), "band", "own", "root", "main")
-        whole = crowded.join(saves, "v", "left_anti").select(*shared.columns)
-        shared = shared.where(F.col("n") <= CROWD).unionByName(whole).unionByName(materialize(parted, "shared"))
-    x = shared.where("root != main").select("v", F.col("own").alias("x"), F.col("root").alias("rx"))
-    y = shared.select("v", F.col("own").alias("y"), F.col("root").alias("ry"))
-    pairs = x.join(y, "v").where(F.col("rx") != F.col("ry")).where(_both("x", "y") >= AGREE)
+        shared = shared.unionByName(open_buckets(parted(crowded, hashed), roots).select(*shared.columns))
+    sketch = known.select(F.col("id").alias("_id"), F.struct("n", *_ODD).alias("set"))
+    rows = materialize(shared.join(sketch, F.col("own.id") == F.col("_id")).drop("_id"), "shared")
+    side = lambda c: F.struct("own.*", "set.*", "root", "main", "at").alias(c)
+    pairs = rows.where("root != main").select("v", side("x")).join(rows.select("v", side("y")), "v")
+    pairs = pairs.where(F.col("x.root") != F.col("y.root")).where((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
+    # The first rare shingle that both have is followed by all others that both have.
+    wanted = SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n"))
+    ahead = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= wanted - 1e-9
+    pairs = pairs.where(ahead).where(_both("x", "y") >= AGREE).where(may_be_similar(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), _both("x", "y").alias("agree")).distinct()
 
 
@@ -198,26 +215,36 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
-def with_texts(pairs: DataFrame, lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The lines of the pairs with how many shingles they have: (id, line, n); those known already and others."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = materialize(ids if known is None else ids.join(known.select("id"), "id", "left_anti"), "ids")
-    texts = lines.select("id", "line").join(bounded(ids), "id", "left_semi")
-    texts = materialize(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "texts")
-    return texts if known is None else known.unionByName(texts)
+def sketches(hashed: DataFrame) -> DataFrame:
+    """(id, n, o0 to o7): how many shingles each line has, and for each of 512 bits whether an odd number of them falls on it.
 
+    Bits in which two lines differ come from shingles that one of them alone has, so there are at least as many of these.
+    """
+    rows = hashed.select("id", F.explode("hashes").alias("h"))
+    bit = "shiftleft(1L, cast(h & 63 as int))"
+    words = [F.expr(f"bit_xor(if((shiftrightunsigned(h, 6) & {len(_ODD) - 1}) = {k}, {bit}, 0L))").alias(o) for k, o in enumerate(_ODD)]
+    return rows.groupBy("id").agg(F.count("*").alias("n"), *words)
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough, by the shingles of each (n) and those of both.
 
-    Sizes that rule the similarity out are seen before shingles are compared. The shared ones are counted as a
-    variable of a function over an array of one: a filter on plain columns would count them anew for each mention.
+def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether sizes and sketches allow the similarity wanted; none of the pairs that have it is left out."""
+    fit = F.least(x("n"), y("n")) >= SIMILARITY * F.greatest(x("n"), y("n")) - 1e-9
+    differ = sum((F.bit_count(x(o).bitwiseXOR(y(o))) for o in _ODD[1:]), F.bit_count(x(_ODD[0]).bitwiseXOR(y(_ODD[0]))))
+    return fit & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (x("n") + y("n")) + 1e-9)
+
+
+def verify(pairs: DataFrame, hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines are similar enough, by the 64-bit hashes of all shingles of each.
+
+    Sizes and sketches that rule the similarity out are seen before hashes are read.
     """
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
-    fit = F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny") - 1e-9
-    shared = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
-    alike = F.exists(F.array(shared), lambda both: both >= SIMILARITY * (F.col("nx") + F.col("ny") - both) - 1e-9)
-    return joined.where(F.when(fit, alike).otherwise(False)).select("a", "b")
+    side = lambda c, to: known.select(F.col("id").alias(c), F.struct("n", *_ODD).alias(to))
+    possible = pairs.select("a", "b").join(side("a", "p"), "a").join(side("b", "q"), "b").where(may_be_similar(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}"))).select("a", "b")
+    possible = materialize(possible, "possible")
+    needed = hashed.join(bounded(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+    joined = possible.join(needed.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return joined.where(both * (1 + SIMILARITY) >= SIMILARITY * (F.size("x") + F.size("y")) - 1e-9).select("a", "b")
 
 
 def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -228,29 +255,24 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """(id, root) of the distinct lines that have a link."""
-    pairs, members = first_pairs(lines)
-    pairs = materialize(pairs, "pairs")
-    likely = materialize(likeliest(pairs), "some")
-    texts = with_texts(likely, lines)  # each line of a pair has a likeliest one
-    roots = components(materialize(verify(likely, texts), "links"), native=True)
-    seen = likely
-
-    def compared(some: DataFrame) -> DataFrame:
-        """Pairs that were compared aren't compared again."""
-        nonlocal seen, texts, roots
-        some = materialize(some.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "some")
-        seen, texts = seen.unionByName(some), with_texts(some, lines, texts)
-        links = materialize(verify(some, texts), "links")
-        if not links.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), native=True)
-        return roots
+    star, members = first_pairs(lines)
+    star = materialize(star, "pairs")
+    ids = materialize(members.select("own.id").distinct(), "ids")
+    hashed = materialize(hashes(lines.select("id", "line").join(bounded(ids), "id", "left_semi")), "hashed")
+    known = materialize(sketches(hashed), "sketches")
+    roots = components(materialize(verify(star, hashed, known), "links"), native=True)
+
+    def joined(some: DataFrame) -> DataFrame:
+        links = materialize(verify(some, hashed, known), "links")
+        return roots if links.isEmpty() else components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), native=True)
 
-    roots = compared(across(pairs, roots))
     # A bucket's lines meet one of its largest component before they meet all.
-    roots = compared(star_pairs(open_buckets(members, roots)))
-    left = materialize(further_pairs(open_buckets(members, roots), lines), "further")
-    roots = compared(likeliest(left))
-    return compared(across(left, roots))
+    roots = joined(star_pairs(open_buckets(members, roots)))
+    left = materialize(further_pairs(members, roots, hashed, known), "further")
+    if left.isEmpty():
+        return roots
+    roots = joined(likeliest(left))
+    return joined(across(left, roots))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:

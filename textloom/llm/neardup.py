@@ -12,7 +12,8 @@ still join two components; pairs within a component can't change the result.
 
 REACH bounds the first look only. A region is what shares MIN_PREFIX values in an order. Those of more vertices than
 are in reach, or cut by the edge of a task, are looked at again where they still hold several components: all
-vertices outside a region's largest component meet all of other components, by all values of their signatures.
+vertices outside a region's largest component meet all of other components, by a sketch that rules out no similar pair and nearly all of similarity 0.75
+or less where sets have up to some hundred shingles, and by all values of their signatures.
 Where very many vertices are nearly alike and yet in different components, this takes time in the square of their number.
 
 Defined cases: a text without words has the empty set and links with nothing; one with fewer words than
@@ -46,6 +47,8 @@ SKETCH_SHARE = 0.58
 SIMILARITY = (4, 5)
 #: Places of two whole signatures (four bits each) that agree, at least, in a candidate of a dense region: at similarity 0.8 130 on average with a deviation of 4.9.
 AGREE = 109
+#: Bits of a set's odd sketch; a power of two.
+ODD = 512
 #: Regions of more vertices are dealt to SALTS tasks.
 CROWD = 1000
 SALTS = 32
@@ -98,17 +101,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (best >> np.uint32(16)).astype(">u2")
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """For each of ODD bits whether an odd number of shingles falls on it.
+
+    Bits in which two sets differ come from shingles that one of them alone has, so there are at least as many of these.
+    """
+    return np.packbits(np.bincount((shingles & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).tobytes()
+
+
 def described(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for the empty set) and the signature of every row."""
+    """doc_id, n_shingles, set_key (null for the empty set), the signature and the odd sketch of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(words(t), k, hashes) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "signature": [signature(s).tobytes() if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "signature": [signature(s).tobytes() if len(s) else None for s in sets], "odd": [odd_sketch(s) if len(s) else None for s in sets]})
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, signature binary, odd binary")
 
 
 def orders(vertices: DataFrame) -> DataFrame:
@@ -221,19 +232,21 @@ def open_regions(vertices: DataFrame, regions: DataFrame, roots: DataFrame) -> D
 
 
 _WORDS = [f"w{i}" for i in range(_VALUES // 16)]
+_ODD = [f"o{i}" for i in range(ODD // 64)]
 
 
 def nibbles(vertices: DataFrame) -> DataFrame:
-    """id, n_shingles and four bits of each value of the signature, sixteen to a number."""
+    """id, n_shingles, four bits of each value of the signature, sixteen to a number, and the odd sketch in numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 low = np.frombuffer(b"".join(b["signature"]), dtype=np.uint8).reshape(len(b), _VALUES, 2)[:, :, 1] & 15
+                odd = np.frombuffer(b"".join(b["odd"]), dtype="<i8").reshape(len(b), -1)
                 packed = np.ascontiguousarray((low[:, 0::2] << 4) | low[:, 1::2]).view("<i8")
-                yield pd.DataFrame({"id": b["id"], "n_shingles": b["n_shingles"], **{w: packed[:, i] for i, w in enumerate(_WORDS)}})
+                yield pd.DataFrame({"id": b["id"], "n_shingles": b["n_shingles"], **{w: packed[:, i] for i, w in enumerate(_WORDS)}, **{w: odd[:, i] for i, w in enumerate(_ODD)}})
 
-    return vertices.select("id", "n_shingles", "signature").mapInPandas(run, "id long, n_shingles long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return vertices.select("id", "n_shingles", "signature", "odd").mapInPandas(run, "id long, n_shingles long, " + ", ".join(f"{w} long" for w in _WORDS + _ODD))
 
 
 def region_pairs(shared: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -241,7 +254,7 @@ def region_pairs(shared: DataFrame, vertices: DataFrame) -> DataFrame:
     ids = materialize(shared.select("id").distinct(), "ids")
     own = nibbles(vertices.join(bounded(ids), "id", "left_semi"))
     rows = materialize(shared.join(own, "id"), "members")
-    side = lambda c: F.struct("id", "root", "n_shingles", *_WORDS).alias(c)
+    side = lambda c: F.struct("id", "root", "n_shingles", *_WORDS, *_ODD).alias(c)
     crowded = F.col("n") > CROWD
     x = rows.where("root != main").select("tree", "prefix", F.when(crowded, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), side("x"))
     salts = F.when(crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -255,7 +268,12 @@ def region_pairs(shared: DataFrame, vertices: DataFrame) -> DataFrame:
     top, bottom = SIMILARITY
     # Sets of too different sizes can't be similar.
     sizes = F.least("x.n_shingles", "y.n_shingles") * bottom >= F.greatest("x.n_shingles", "y.n_shingles") * top
-    pairs = x.join(y, ["tree", "prefix", "salt"]).where(F.col("x.root") != F.col("y.root")).where(sizes).where(agree >= AGREE)
+    # Nor those of which more shingles differ than the sizes allow: (1 - s) / (1 + s) of both together at similarity s.
+    differ = F.lit(0)
+    for w in _ODD:
+        differ = differ + F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}")))
+    few = differ * (bottom + top) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (bottom - top)
+    pairs = x.join(y, ["tree", "prefix", "salt"]).where(F.col("x.root") != F.col("y.root")).where(sizes).where(few).where(agree >= AGREE)
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), (agree / _VALUES).alias("share")).distinct()
 
 
@@ -305,9 +323,9 @@ def full_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def near_components(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = materialize(described(documents, k), "described")
-    whole = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"), F.max("n_shingles").alias("n_shingles"))
+    whole = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("odd", "doc_id").alias("odd"), F.max("n_shingles").alias("n_shingles"))
     whole = materialize(whole, "sets")
-    vertices = whole.select("id", "signature", "n_shingles")
+    vertices = whole.select("id", "signature", "odd", "n_shingles")
     # An id with several texts is one vertex; one of its sets, the same in each run, is compared.
     found = materialize(neighbours(orders(vertices.select("id", "signature"))), "found")
     pairs = materialize(found.where("a is not null").groupBy("a", "b").agg(F.max("share").alias("share")), "pairs")

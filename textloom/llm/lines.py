@@ -184,23 +184,34 @@ def parted(crowded: DataFrame, hashed: DataFrame) -> DataFrame:
     return own.join(rarest(materialize(hashed.join(bounded(own.select("id")), "id", "left_semi"), "hashed")), "id").select(F.posexplode("prefix").alias("at", "v"), "own").select("v", "at", "own")
 
 
-def further_pairs(members: DataFrame, roots: DataFrame, hashed: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, agree) of open buckets: lines of different components that may be similar, one of them outside the bucket's largest."""
+def further_pairs(members: DataFrame, roots: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b, agree) of open buckets: lines of different components that agree, one of them outside the bucket's largest."""
     shared = open_buckets(members, roots)
     crowded = shared.where(F.col("n") > CROWD).select("own")
-    shared = shared.where(F.col("n") <= CROWD).select("v", F.lit(0).alias("at"), "own", "root", "main")
+    pairs = _agreeing(shared.where(F.col("n") <= CROWD), "own.*", "root", "main")
     if not crowded.isEmpty():
-        shared = shared.unionByName(open_buckets(parted(crowded, hashed), roots).select(*shared.columns))
-    sketch = known.select(F.col("id").alias("_id"), F.struct("n", *_ODD).alias("set"))
-    rows = materialize(shared.join(sketch, F.col("own.id") == F.col("_id")).drop("_id"), "shared")
-    side = lambda c: F.struct("own.*", "set.*", "root", "main", "at").alias(c)
-    pairs = rows.where("root != main").select("v", side("x")).join(rows.select("v", side("y")), "v")
-    pairs = pairs.where(F.col("x.root") != F.col("y.root")).where((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
-    # The first rare shingle that both have is followed by all others that both have.
-    wanted = SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n"))
-    ahead = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= wanted - 1e-9
-    pairs = pairs.where(ahead).where(_both("x", "y") >= AGREE).where(may_be_similar(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), _both("x", "y").alias("agree")).distinct()
+        ids = materialize(crowded.select("own.id").distinct(), "ids")
+        hashed = materialize(hashes(lines.select("id", "line").join(bounded(ids), "id", "left_semi")), "hashed")
+        sketch = materialize(sketches(hashed).select(F.col("id").alias("_id"), F.struct("n", *_ODD).alias("set")), "sketches")
+        rows = open_buckets(parted(crowded, hashed), roots).join(sketch, F.col("own.id") == F.col("_id")).drop("_id")
+        found = _agreeing(rows, "own.*", "set.*", "root", "main", "at")
+        # The first rare shingle that both have is followed by all others that both have.
+        wanted = SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n"))
+        found = found.where(F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= wanted - 1e-9)
+        found = found.where(may_be_similar(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+        return _named(pairs).unionByName(_named(found)).distinct()
+    return _named(pairs).distinct()
+
+
+def _agreeing(rows: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (x, y) of lines of one bucket that agree and are of different components, x outside the bucket's largest."""
+    side = lambda c: F.struct(*columns).alias(c)
+    pairs = rows.where("root != main").select("v", side("x")).join(rows.select("v", side("y")), "v").where(F.col("x.root") != F.col("y.root"))
+    return pairs.where((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id"))).where(_both("x", "y") >= AGREE)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), _both("x", "y").alias("agree"))
 
 
 def likeliest(pairs: DataFrame) -> DataFrame:
@@ -257,18 +268,27 @@ def near_lines(lines: DataFrame) -> DataFrame:
     """(id, root) of the distinct lines that have a link."""
     star, members = first_pairs(lines)
     star = materialize(star, "pairs")
-    ids = materialize(members.select("own.id").distinct(), "ids")
-    hashed = materialize(hashes(lines.select("id", "line").join(bounded(ids), "id", "left_semi")), "hashed")
-    known = materialize(sketches(hashed), "sketches")
-    roots = components(materialize(verify(star, hashed, known), "links"), native=True)
+    hashed = known = None
+
+    def linked(some: DataFrame) -> DataFrame:
+        """Only lines of pairs that agree are read again, each once."""
+        nonlocal hashed, known
+        ids = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = materialize(ids if known is None else ids.join(known.select("id"), "id", "left_anti"), "ids")
+        new = materialize(hashes(lines.select("id", "line").join(bounded(ids), "id", "left_semi")), "hashed")
+        sketched = materialize(sketches(new), "sketches")
+        hashed, known = (new, sketched) if known is None else (hashed.unionByName(new), known.unionByName(sketched))
+        return materialize(verify(some, hashed, known), "links")
+
+    roots = components(linked(star), native=True)
 
     def joined(some: DataFrame) -> DataFrame:
-        links = materialize(verify(some, hashed, known), "links")
+        links = linked(materialize(some.select("a", "b"), "some"))
         return roots if links.isEmpty() else components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), native=True)
 
     # A bucket's lines meet one of its largest component before they meet all.
     roots = joined(star_pairs(open_buckets(members, roots)))
-    left = materialize(further_pairs(members, roots, hashed, known), "further")
+    left = materialize(further_pairs(members, roots, lines), "further")
     if left.isEmpty():
         return roots
     roots = joined(likeliest(left))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.scratch import write
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` splits at exactly these, and ``bytes.lower()`` lower-cases exactly A-Z.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -39,10 +41,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    return materialize_parts([df], name)
+
+
+def materialize_parts(parts: list[DataFrame], name: str) -> DataFrame:
+    """The rows of all parts as one such table. They are written one after the other, each one's shuffle files gone before the next begins."""
+    spark = parts[0].sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for part in parts:
+        write(part, path)
+    return spark.read.schema(parts[0].schema).parquet(path)
 
 
 def id_bucket(doc_id: Column, modulus: int) -> Column:

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
 the last return the columns of documents. Between stages the rows are written to the shared
-folder and read again, so a lost executor costs at most one stage.
+folder and read again, so a lost executor costs at most one stage; they go when the next stage's are there.
 
 Defined cases: rows with a null id or text and empty texts go on as they are, unless line dedup empties a text or near-dedup keeps
 another row; of repeated rows near-dedup keeps one. Without labels no document is toxic, without benchmark items none is contaminated; an empty table gives
@@ -19,6 +19,7 @@ from textloom.llm.lines import drop_lines
 from textloom.llm.neardup import keep_one
 from textloom.llm.pieces import encode_stage
 from textloom.llm.toxicity import keep_clean
+from textloom.scratch import drop
 
 STAGES = [
     ("toxicity", keep_clean),
@@ -35,7 +36,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = materialize(docs, f"stage-{number}")
+            if number > 1:
+                drop(before)
     return docs

@@ -59,3 +59,15 @@ def test_beyond_all_limits_the_result_is_the_same_and_little_is_left(spark, monk
     # Lines, signatures and members of buckets are no longer there; what the result is made of is.
     assert not {n for n in new if n.startswith(("lines-", "members-", "shared-", "texts-", "hashed-", "parted-"))}, new
     assert any(n.startswith("again-") for n in new)
+
+
+def test_rows_of_a_stage_go_when_the_next_has_its_own(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda s, d, _, k=k: d.where(F.col("doc_id") >= k)) for k in range(4)])
+    scratch = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/textloom"
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [n[:7] for n in os.listdir(scratch) if n.startswith("stage-")] == ["stage-3"]
+    assert out.count() == 17 and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 20

@@ -4,6 +4,9 @@ Texts, not their tokens, are dealt out by their index: a text's terms are then c
 Document frequencies are joined by token. A batch of queries is answered by bounds: no document gets more from a token than
 the query's weight times the token's greatest weight in any document. Scores through each query's strongest tokens give a threshold; tokens whose
 bounds together stay below it make no candidates, and candidates that can't reach it any more aren't scored to the end.
+
+A stored index has counts, inverse frequencies and norms as tables, not the weights of all postings: these are worked out for the tokens of
+queries only, where the counts are read. Norms come from the tokens in SLICES parts, so that no more than one part of all counts is shuffled at a time.
 """
 
 from __future__ import annotations
@@ -12,10 +15,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from textloom.functions.text import tokenize
-from textloom.scratch import dealt, keep
+from textloom.scratch import dealt, drop, keep, path, write
 
 #: Tokens of each query, by their bounds, that the first threshold comes from.
 FIRST_TOKENS = 3
@@ -23,6 +25,10 @@ FIRST_TOKENS = 3
 SLACK = 2e-6
 #: Terms of a batch of queries that may be broadcast; beyond them the postings are joined by shuffle.
 BROADCAST_TERMS = 500_000
+#: Documents whose indexes or norms may be broadcast, 16 bytes each.
+BROADCAST_DOCS = 1_000_000
+#: Parts of the tokens that norms are summed up from, one after the other.
+SLICES = 4
 
 
 def term_counts(docs: DataFrame, key: str = "doc_index", text: str = "text") -> DataFrame:
@@ -44,6 +50,27 @@ def weighted(tf: DataFrame, idf: DataFrame, key: str = "doc_index") -> DataFrame
     return raw.select(key, "token", "tf", (F.col("raw") / norm).alias("w"))
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _raw() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
+
+
+def norms(tf: DataFrame, idf: DataFrame, key: str = "doc_index") -> DataFrame:
+    """(key, norm) of all texts with tokens, as a table."""
+    to = path(tf.sparkSession, "squares")
+    for k in range(SLICES):
+        own = F.pmod(F.xxhash64("token"), F.lit(SLICES)) == k
+        rows = tf.where(own).join(idf.where(own).select("token", "idf"), "token")
+        write(rows.groupBy(key).agg(F.sum(_raw() * _raw()).alias("square")), to)
+    squares = tf.sparkSession.read.parquet(to)
+    out = keep(squares.groupBy(key).agg((F.sqrt(F.sum("square")) + 1e-8).alias("norm")), "norms")
+    drop(squares)
+    return out
+
+
 @dataclass
 class TfIdfIndex:
     """Postings of a corpus (doc_index, text); build once, retrieve often."""
@@ -52,23 +79,54 @@ class TfIdfIndex:
     idf: DataFrame
     postings: DataFrame
     counts: DataFrame | None = None
+    #: Of a stored index only.
+    norms: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, persist: bool = True) -> TfIdfIndex:
         docs = docs.select("doc_index", F.coalesce("text", F.lit("")).alias("text"))
         tf = term_counts(docs)
         n = docs.count()
-        if persist:
-            tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
-        idf = inverse_frequencies(tf, n)
-        postings = weighted(tf, idf)
-        if persist:
-            idf, postings = idf.persist(StorageLevel.MEMORY_AND_DISK), postings.persist(StorageLevel.MEMORY_AND_DISK)
-        return TfIdfIndex(docs, idf, postings, None if persist else tf)
+        if not persist:
+            idf = inverse_frequencies(tf, n)
+            return TfIdfIndex(docs, idf, weighted(tf, idf), tf)
+        tf = keep(tf, "counts")
+        idf = keep(inverse_frequencies(tf, n), "idf")
+        known = norms(tf, idf)
+        postings = tf.join(idf.select("token", "idf"), "token").join(known, "doc_index").select("doc_index", "token", "tf", (_raw() / F.col("norm")).alias("w"))
+        return TfIdfIndex(docs, idf, postings, tf, known)
 
     def unpersist(self) -> None:
-        self.idf.unpersist()
-        self.postings.unpersist()
+        """The stored index's tables go."""
+        if self.norms is not None:
+            drop(self.idf, self.counts, self.norms)
+
+    def _slices(self) -> list[tuple[DataFrame, DataFrame]]:
+        """Counts and norms of a stored index in parts by document, so many that each part's norms may be broadcast and no count is shuffled for them."""
+        n = -(-self.norms.count() // BROADCAST_DOCS)
+        own = [F.pmod(F.xxhash64("doc_index"), F.lit(n)) == k for k in range(n)] if n > 1 else [F.lit(True)]
+        return [(self.counts.where(part), F.broadcast(self.norms.where(part))) for part in own]
+
+    def _with_idf(self, terms: DataFrame) -> DataFrame:
+        return _few(terms.join(self.idf.select("token", "idf"), "token"), BROADCAST_TERMS)
+
+    def _greatest(self, tokens: DataFrame) -> DataFrame:
+        """(token, greatest): the greatest weight of each of some tokens in any document."""
+        if self.norms is None:
+            return self.postings.join(_few(tokens, BROADCAST_TERMS), "token").groupBy("token").agg(F.max("w").alias("greatest"))
+        to, tokens = path(tokens.sparkSession, "greatest"), self._with_idf(tokens)
+        for counts, known in self._slices():
+            write(counts.join(tokens, "token").join(known, "doc_index").groupBy("token").agg(F.max(_raw() / F.col("norm")).alias("greatest")), to)
+        return tokens.sparkSession.read.parquet(to).groupBy("token").agg(F.max("greatest").alias("greatest"))
+
+    def _postings_of(self, tokens: DataFrame, docs: DataFrame) -> DataFrame:
+        """(doc_index, token, w) of some tokens in some documents; few enough of these are broadcast."""
+        docs = _few(docs, BROADCAST_DOCS)
+        if self.norms is None:
+            return self.postings.select("doc_index", "token", "w").join(_few(tokens, BROADCAST_TERMS), "token").join(docs, "doc_index", "left_semi")
+        rows = self.counts.join(docs, "doc_index", "left_semi").join(self._with_idf(tokens), "token")
+        known = self.norms.join(docs, "doc_index", "left_semi")
+        return rows.join(_few(known, BROADCAST_DOCS), "doc_index").select("doc_index", "token", (_raw() / F.col("norm")).alias("w"))
 
     def query_weights(self, queries: DataFrame) -> DataFrame:
         """(query_id, token, qw) of queries (query_id, text); tokens that no document has are ignored."""
@@ -76,22 +134,26 @@ class TfIdfIndex:
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_index, score) of the documents that share a token with a query, rounded to 6 places."""
-        qw = self.query_weights(queries)
-        if term_counts(queries, "query_id").count() <= BROADCAST_TERMS:
-            qw = F.broadcast(qw)
-        return self.postings.join(qw, "token").groupBy("query_id", "doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+        parts = self._partial(self.query_weights(queries))
+        return parts.select("query_id", "doc_index", F.round("part", 6).alias("score"))
 
     def bounds(self, queries: DataFrame) -> DataFrame:
         """(query_id, token, qw, bound): what a token can give a document at most."""
-        greatest = self.postings.groupBy("token").agg(F.max("w").alias("greatest"))
-        return self.query_weights(queries).join(greatest, "token").select("query_id", "token", "qw", (F.col("qw") * F.col("greatest")).alias("bound"))
+        weights = keep(self.query_weights(queries), "weights")
+        return weights.join(self._greatest(weights.select("token").distinct()), "token").select("query_id", "token", "qw", (F.col("qw") * F.col("greatest")).alias("bound"))
 
     def _partial(self, terms: DataFrame) -> DataFrame:
-        """(query_id, doc_index, part): scores through some tokens only."""
+        """(query_id, doc_index, part): scores through some tokens only, as a table."""
         terms = terms.select("query_id", "token", "qw")
-        if terms.count() <= BROADCAST_TERMS:
-            terms = F.broadcast(terms)
-        return self.postings.join(terms, "token").groupBy("query_id", "doc_index").agg(F.sum(F.col("w") * F.col("qw")).alias("part"))
+        if self.norms is None:
+            rows = self.postings.join(_few(terms, BROADCAST_TERMS), "token")
+            return keep(rows.groupBy("query_id", "doc_index").agg(F.sum(F.col("w") * F.col("qw")).alias("part")), "parts")
+        to, terms = path(terms.sparkSession, "parts"), self._with_idf(terms)
+        for counts, known in self._slices():
+            # Norms come after the sums: a text's counts are in one task already, so only sums are sent.
+            sums = counts.join(terms, "token").groupBy("query_id", "doc_index").agg(F.sum(_raw() * F.col("qw")).alias("sum"))
+            write(sums.join(known, "doc_index").select("query_id", "doc_index", (F.col("sum") / F.col("norm")).alias("part")), to)
+        return terms.sparkSession.read.parquet(to)
 
     @staticmethod
     def _threshold(parts: DataFrame, k: int) -> DataFrame:
@@ -107,12 +169,14 @@ class TfIdfIndex:
         terms = keep(self.bounds(queries), "bounds")
         strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "token")
         first = terms.withColumn("r", F.row_number().over(strongest)).where(F.col("r") <= FIRST_TOKENS)
-        least = keep(self._threshold(self._partial(first), k), "thresholds")
+        parts = self._partial(first)
+        least = keep(self._threshold(parts, k), "thresholds")
+        drop(parts)
         # Weakest first: as long as the bounds together stay below the threshold, a document needs another token.
         weakest = Window.partitionBy("query_id").orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
         terms = terms.withColumn("together", F.sum("bound").over(weakest)).join(least, "query_id", "left")
         terms = keep(terms.withColumn("needed", (F.col("together") >= F.col("least") - SLACK) | F.col("least").isNull()).drop("together"), "terms")
-        parts = keep(self._partial(terms.where("needed")), "parts")
+        parts = self._partial(terms.where("needed"))
         rest = terms.where(~F.col("needed")).groupBy("query_id").agg(F.sum("bound").alias("rest"))
         reached = self._threshold(parts, k)
         kept = parts.join(rest, "query_id", "left").join(reached, "query_id", "left")
@@ -127,7 +191,8 @@ class TfIdfIndex:
         kept, rest = self.candidates(queries, k)
         kept = keep(kept, "kept")
         # What the left-out tokens add: the postings of candidates only.
-        more = kept.join(rest, "query_id").join(self.postings.select("doc_index", "token", "w"), ["doc_index", "token"])
+        found = self._postings_of(rest.select("token").distinct(), kept.select("doc_index").distinct())
+        more = kept.join(rest, "query_id").join(found, ["doc_index", "token"])
         more = more.select("query_id", "doc_index", (F.col("w") * F.col("qw")).alias("part"))
         scored = kept.unionByName(more).groupBy("query_id", "doc_index").agg(F.round(F.sum("part"), 6).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_index")
@@ -154,8 +219,8 @@ class TfIdfIndex:
             raise ValueError("k must be at least 1")
         spark = self.docs.sparkSession
         qw = self.query_weights(spark.createDataFrame([(0, query)], "query_id int, text string")).select("token", "qw")
-        if self.counts is None:
-            scored = self.postings.join(F.broadcast(qw), "token").groupBy("doc_index").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))  # a query's tokens
+        if self.counts is None or self.norms is not None:
+            scored = self._partial(qw.select(F.lit(0).alias("query_id"), "token", "qw")).select("doc_index", F.round("part", 6).alias("score"))
         else:
             scored = self._scored_from_counts(qw)
         # Documents without a common token score 0; of those only the first k can be among the hits.
